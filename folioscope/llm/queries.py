@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import quality
+from folioscope.llm import decontamination, quality
 
 ORACLES: dict[str, str] = {}
 
@@ -15,4 +15,29 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules,)}
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.contamination(documents(spark, sf_dir), benchmark).drop("longest_match")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FOLDED = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES["op9_benchmark_decontamination"] = f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_FOLDED} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS words
+  FROM items, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
+docs AS (SELECT doc_id, {_FOLDED} AS w FROM documents),
+found AS (
+  SELECT doc_id, i, k, item
+  FROM (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS words
+        FROM docs, (SELECT DISTINCT k FROM windows) AS ks, unnest(range(1, len(w) - k + 2)) AS t(i)) AS d
+  JOIN windows USING (k, words)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n FROM found, unnest(range(i, i + k)) AS u(p) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(m.n, 0) AS BIGINT) AS n_items, sha256(coalesce(m.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM docs AS d LEFT JOIN hits AS h USING (doc_id) LEFT JOIN named AS m USING (doc_id)"""
+
+QUERIES = {f.__name__: f for f in (op4_quality_rules, op9_benchmark_decontamination)}
