@@ -45,7 +45,7 @@ def saved(df: DataFrame) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the input's bytes, without a job; it sets numbers of partitions only."""
-    return max(1, min(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()), 1 << 60))
+    return max(1, min(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), 1 << 60))
 
 
 def parts_for(df: DataFrame, bytes_each: int = 8 << 20) -> int:
