@@ -33,20 +33,23 @@ class Words:
         self.starts = np.flatnonzero(np.arange(len(codes)) + window <= ends)
 
     def anchors(self, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of each window, where its least anchor begins (the last of equals), and that anchor's hash."""
+        """The anchors that windows keep (of equal hashes the last), each once, and which of them each window keeps."""
         runs = window_hashes(self.values, anchor)
         at, least = self.starts.copy(), runs[self.starts]
         for step in range(1, window - anchor + 1):
             there = runs[self.starts + step]
-            lower = there <= least
-            at, least = np.where(lower, self.starts + step, at), np.where(lower, there, least)
-        return at, least
+            lower = np.flatnonzero(there <= least)
+            least[lower] = there[lower]
+            at[lower] = self.starts[lower] + step
+        new = np.ones(len(at), bool)
+        new[1:] = at[1:] != at[:-1]
+        return least[new], np.cumsum(new) - 1
 
 
 def _anchors(parts: int, window: int, anchor: int):
     def run(table: pa.Table) -> pa.Table:
-        _, least = Words(table, window).anchors(window, anchor)
-        return asked(table["chunk"][0].as_py(), parts, [np.unique(least)])
+        kept, _ = Words(table, window).anchors(window, anchor)
+        return asked(table["chunk"][0].as_py(), parts, [np.unique(kept)])
 
     return run
 
@@ -58,22 +61,31 @@ def _shared(table: pa.Table) -> pa.Table:
     return flags_back(table["part"][0].as_py(), chunks, counts, n[inverse] > 1)
 
 
+def _alike(first: np.ndarray, second: np.ndarray, docs: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order with equal windows together, the earliest first, and where each kind begins."""
+    by = np.argsort(first, kind="stable")
+    fresh = np.ones(len(by), bool)
+    fresh[1:] = first[by[1:]] != first[by[:-1]]
+    near = np.flatnonzero(~fresh)
+    a, b = by[near - 1], by[near]
+    if (second[a] != second[b]).any() or ((docs[a] > docs[b]) | ((docs[a] == docs[b]) & (offset[a] > offset[b]))).any():
+        by = np.lexsort((offset, docs, second, first))
+        fresh[1:] = (first[by[1:]] != first[by[:-1]]) | (second[by[1:]] != second[by[:-1]])
+    return by, fresh
+
+
 def _windows(words: Words, answers: pa.Table, parts: int, window: int, anchor: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Windows around a seed by where they start, and the distinct ones: two hashes, first document and start."""
-    at, least = words.anchors(window, anchor)
-    keys, inverse = np.unique(least, return_inverse=True)
-    seed = flags_of(answers, part_bounds(keys, parts))
+    kept, own = words.anchors(window, anchor)
+    keys, inverse, times = np.unique(kept, return_inverse=True, return_counts=True)
     # An anchor that two places of one chunk have is a seed too.
-    places = np.unique(np.stack([inverse, at], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
-    seed |= np.bincount(places[:, 0], minlength=len(keys)) > 1
-    starts = words.starts[seed[inverse]]
+    seed = flags_of(answers, part_bounds(keys, parts)) | (times > 1)
+    starts = words.starts[seed[inverse][own]] if len(own) else words.starts
     first = window_hashes(words.values, window)[starts] if len(starts) else np.zeros(0, np.uint64)
     second = window_hashes(words.values, window, 0xC2B2AE3D27D4EB4F)[starts] if len(starts) else first
     docs = pc.fill_null(words.doc_ids, int(LAST)).to_numpy(zero_copy_only=False).astype(np.int64)[words.owner[starts]]
     offset = starts - words.bounds[words.owner[starts]]
-    by = np.lexsort((offset, docs, second, first))
-    fresh = np.ones(len(by), bool)
-    fresh[1:] = (first[by[1:]] != first[by[:-1]]) | (second[by[1:]] != second[by[:-1]])
+    by, fresh = _alike(first, second, docs, offset)
     return starts, [first, second, docs, offset, by, fresh]
 
 
@@ -89,9 +101,7 @@ def _extended(parts: int, window: int, anchor: int):
 def _later(table: pa.Table) -> pa.Table:
     """Which windows another chunk has at an earlier document or start."""
     chunks, counts, (first, second, docs, offset) = met(table, [np.uint64, np.uint64, np.int64, np.int64])
-    by = np.lexsort((offset, docs, second, first))
-    fresh = np.ones(len(by), bool)
-    fresh[1:] = (first[by[1:]] != first[by[:-1]]) | (second[by[1:]] != second[by[:-1]])
+    by, fresh = _alike(first, second, docs, offset)
     lead = by[np.maximum.accumulate(np.where(fresh, np.arange(len(by)), 0))]
     later = np.zeros(len(by), bool)
     later[by] = (docs[by] != docs[lead]) | (offset[by] != offset[lead])
@@ -111,7 +121,9 @@ def _cut(parts: int, window: int, anchor: int):
         kept = pa.array(~gone)
         left = np.concatenate(([0], np.cumsum(~gone)))[words.bounds]
         lists = pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), words.words.filter(kept).cast(pa.string()))
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))) | np.isin(np.arange(len(gone) + 1), words.bounds))
+        turn = np.diff(np.concatenate(([0], gone.view(np.int8), [0]))) != 0
+        turn[words.bounds] = True
+        edge = np.flatnonzero(turn)
         spans: list[list[dict]] = [[] for _ in range(len(words.doc_ids))]
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
             if a < b and gone[a]:
@@ -140,7 +152,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     doc_id count as one document, so repeated rows are not earlier than each other. A null or empty text keeps
     nothing and loses nothing. Columns besides doc_id and text aren't read.
     """
-    texts, parts = in_chunks(short_batches(docs), "doc_id", "text")
+    texts, _, parts = in_chunks(short_batches(docs), "doc_id", "text")
     grouped = texts.groupBy("chunk")
     seeds = grouped.applyInArrow(_anchors(parts, window, anchor), ASKED).groupBy("part").applyInArrow(_shared, ANSWERED)
     sent = grouped.cogroup(seeds.groupBy("chunk")).applyInArrow(_extended(parts, window, anchor), ASKED)
