@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that Spark puts in one Arrow batch for the operators here: texts may be long, so batches stay short.
 ARROW_ROWS = 256
@@ -43,14 +44,9 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input's bytes, without a job; it sets numbers of partitions only."""
-    return max(1, min(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), 1 << 60))
-
-
-def parts_for(df: DataFrame, bytes_each: int = 8 << 20) -> int:
-    """How many parts to deal an exchange over, in proportion to the input's bytes."""
-    return max(16, -(-plan_bytes(df) // bytes_each))
+def text_bytes(docs: DataFrame, column: str = "text") -> int:
+    """UTF-8 bytes of a column, measured; it sets numbers of partitions only."""
+    return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
 def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:

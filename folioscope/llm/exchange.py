@@ -15,19 +15,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import parts_for, plan_bytes
+from folioscope.llm.common import text_bytes
 
-#: Input bytes (as Catalyst estimates them) for each chunk and each part.
-CHUNK_INPUT, PART_INPUT = 4 << 20, 4 << 20
+#: Bytes of text for each chunk and each part.
+CHUNK_TEXT, PART_TEXT = 8 << 20, 8 << 20
 ASKED = "part int, chunk int, body binary"
 ANSWERED = "chunk int, part int, body binary"
 
 
-def in_chunks(docs: DataFrame, *columns: str) -> tuple[DataFrame, int]:
-    """The columns with a chunk number by a hash of doc_id and text (nulls too), and the number of parts to use."""
-    n = max(16, -(-plan_bytes(docs) // CHUNK_INPUT))
+def in_chunks(docs: DataFrame, *columns: str) -> tuple[DataFrame, int, int]:
+    """The columns with a chunk number by a hash of doc_id and text (nulls too), and how many chunks and parts to use."""
+    size = text_bytes(docs)
+    n = max(16, -(-size // CHUNK_TEXT))
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
-    return docs.select(*columns, chunk.alias("chunk")), parts_for(docs, PART_INPUT)
+    return docs.select(*columns, chunk.alias("chunk")), n, max(16, -(-size // PART_TEXT))
 
 
 def part_bounds(keys: np.ndarray, parts: int) -> np.ndarray:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontamination, quality, simhash, substring_dedup
+from folioscope.llm import byte_bpe, decontamination, language_model, quality, simhash, substring_dedup, toxicity
 
 ORACLES: dict[str, str] = {}
 
@@ -62,4 +62,21 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op7_substring_dedup, op8_simhash_near_dedup, op9_benchmark_decontamination)}
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(documents(spark, sf_dir))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        found = byte_bpe.encoded(documents(spark, sf_dir), file.read(), public_tokenizers.PATTERN)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_quality_rules, op5_lm_scoring, op6_byte_bpe, op7_substring_dedup, op8_simhash_near_dedup, op9_benchmark_decontamination)}
