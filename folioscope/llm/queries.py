@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import byte_bpe, decontamination, language_model, quality, simhash, substring_dedup, toxicity
+from folioscope.llm import byte_bpe, decontamination, kd_shards, language_model, quality, simhash, substring_dedup, toxicity, warc
 
 ORACLES: dict[str, str] = {}
 
@@ -79,4 +79,26 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_quality_rules, op5_lm_scoring, op6_byte_bpe, op7_substring_dedup, op8_simhash_near_dedup, op9_benchmark_decontamination)}
+def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.shards(documents(spark, sf_dir))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+_BITS = "list_reduce(list_prepend('', list_transform(string_split(sha1(coalesce(html, '')), ''), lambda d: lpad(bin(strpos('0123456789abcdef', d) - 1), 4, '0'))), lambda a, b: a || b)"
+
+ORACLES["op10_warc"] = f"""
+WITH bits AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest, {_BITS} AS b FROM pages),
+coded AS (
+  SELECT page_id, n, min(page_id) OVER (PARTITION BY digest, n) AS first,
+    list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + list_reduce(list_transform(range(1, 6), lambda k: CAST(substr(b, 5 * i + k, 1) AS INTEGER)), lambda x, y: 2 * x + y), 1)), lambda x, y: x || y) AS code
+  FROM bits)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, code AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM coded"""
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_kd_sharding, op10_warc, op4_quality_rules, op5_lm_scoring, op6_byte_bpe, op7_substring_dedup, op8_simhash_near_dedup, op9_benchmark_decontamination)}
