@@ -23,10 +23,10 @@ ASKED = "part int, chunk int, body binary"
 ANSWERED = "chunk int, part int, body binary"
 
 
-def in_chunks(docs: DataFrame, *columns: str) -> tuple[DataFrame, int, int]:
+def in_chunks(docs: DataFrame, *columns: str, chunk_text: int = CHUNK_TEXT) -> tuple[DataFrame, int, int]:
     """The columns with a chunk number by a hash of doc_id and text (nulls too), and how many chunks and parts to use."""
     size = text_bytes(docs)
-    n = max(16, -(-size // CHUNK_TEXT))
+    n = max(16, -(-size // chunk_text))
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
     return docs.select(*columns, chunk.alias("chunk")), n, max(16, -(-size // PART_TEXT))
 

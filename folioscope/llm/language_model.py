@@ -21,6 +21,8 @@ from folioscope.llm.exchange import ASKED, answered, asked, in_chunks, met, pack
 
 ORDER, PRIOR = 2, 8.0
 FOLDS, HELD_OUT = 5, 1
+#: Bytes of text for each chunk: its automaton is held in dictionaries, some 200 bytes for each byte of text.
+CHUNK_TEXT = 2 << 20
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _COUNTS = "chunk int, part int, body binary, tokens long, kinds long"
 
@@ -188,7 +190,7 @@ def scored(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, folds: int
     Columns besides doc_id and text aren't read.
     """
     apart = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held_out
-    texts, chunks, parts = in_chunks(short_batches(docs).select("doc_id", "text", apart.alias("held_out")), "doc_id", "text", "held_out")
+    texts, chunks, parts = in_chunks(short_batches(docs).select("doc_id", "text", apart.alias("held_out")), "doc_id", "text", "held_out", chunk_text=CHUNK_TEXT)
     grouped = texts.groupBy("chunk")
     sent = grouped.applyInArrow(_ask(parts, order), ASKED).groupBy("part")
     totals = sent.applyInArrow(_total, "tokens long, kinds long").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds"))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import byte_bpe, decontamination, kd_shards, language_model, quality, simhash, substring_dedup, toxicity, warc
+from folioscope.llm import byte_bpe, decontamination, kd_shards, language_model, pii, quality, simhash, substring_dedup, toxicity, warc
 
 ORACLES: dict[str, str] = {}
 
@@ -87,6 +87,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 _BITS = "list_reduce(list_prepend('', list_transform(string_split(sha1(coalesce(html, '')), ''), lambda d: lpad(bin(strpos('0123456789abcdef', d) - 1), 4, '0'))), lambda a, b: a || b)"
 
 ORACLES["op10_warc"] = f"""
@@ -101,4 +105,4 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, code AS payload_digest,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM coded"""
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_kd_sharding, op10_warc, op4_quality_rules, op5_lm_scoring, op6_byte_bpe, op7_substring_dedup, op8_simhash_near_dedup, op9_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_kd_sharding, op3_pii, op10_warc, op4_quality_rules, op5_lm_scoring, op6_byte_bpe, op7_substring_dedup, op8_simhash_near_dedup, op9_benchmark_decontamination)}
