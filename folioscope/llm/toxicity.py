@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import mixed, owners, short_batches, split_words, text_chunks, texts_of, word_codes
 
 FOLDS, HELD_OUT = 5, 0
+#: Words whose subwords are worked out at once in training.
+_BLOCK = 20_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -25,8 +27,8 @@ _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 class Settings:
     """negatives and positives bound the training sample, in documents; the rest is the model's shape and training."""
 
-    positives: int = 2500
-    negatives: int = 5000
+    positives: int = 1800
+    negatives: int = 3200
     buckets: int = 1 << 18
     size: int = 8
     shortest: int = 3
@@ -103,12 +105,14 @@ def fit(doc: np.ndarray, word: np.ndarray, count: np.ndarray, names: pa.Array, l
     if len(label) == 0 or label.min() == label.max():
         share = share if len(label) else 0.0
         return Model(np.zeros(s.buckets), float(np.log(share + 1e-6) - np.log(1 - share + 1e-6)), s)
-    buckets, bounds = subwords(names, s)
-    owner = np.repeat(np.arange(len(names)), np.diff(bounds))
+    blocks = [subwords(names.slice(i, _BLOCK), s) for i in range(0, len(names), _BLOCK)]
+    buckets, sizes = np.concatenate([b.astype(np.int32) for b, _ in blocks]), np.concatenate([np.diff(e) for _, e in blocks])
+    del blocks
+    owner = np.repeat(np.arange(len(names), dtype=np.int32), sizes)
     common = np.bincount(buckets, weights=np.bincount(word, minlength=len(names))[owner], minlength=s.buckets) >= s.least
     buckets, owner = buckets[common[buckets]], owner[common[buckets]]
     weight = count / np.bincount(doc, weights=count, minlength=len(label))[doc] * s.scale
-    fan = 1.0 / np.diff(bounds)
+    fan = 1.0 / sizes
     rng = np.random.default_rng(s.seed)
     table = rng.normal(0, 0.1, (s.buckets, s.size))
     out, bias = rng.normal(0, 0.1, (s.size, 2)), np.zeros(2)
