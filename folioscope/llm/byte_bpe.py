@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from folioscope.llm.common import short_batches, text_chunks, texts_of
 
 #: Pieces that a task remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 _NEVER = 1 << 40
 
 
@@ -69,7 +69,7 @@ class Vocabulary:
         key = left << 32 | right
         got = self.beside.get(key)
         if got is None:
-            if len(self.beside) > 2 * REMEMBERED:
+            if len(self.beside) > REMEMBERED:
                 self.beside.clear()
             got = self.beside[key] = self._seam_holds(left, right)
         return got
@@ -105,6 +105,7 @@ class Prefixes:
         """Tokens are walked from each start, so that a position's last token is known before tokens begin there."""
         old, self.data = len(self.data), self.data + data
         get, fits, last, whole, longest = self.vocabulary.begun.get, self.vocabulary.fits, self.last, self.data, self.vocabulary.longest
+        beside = self.vocabulary.beside.get
         last += [-1] * len(data)
         for start in range(max(0, old - longest + 1), len(whole)):
             before = last[start]
@@ -112,8 +113,10 @@ class Prefixes:
                 token = get(whole[start:stop])
                 if token is None:
                     break
-                if token >= 0 and stop > old and last[stop] < 0 and (not start or fits(before, token)):
-                    last[stop] = token
+                if token >= 0 and last[stop] < 0:
+                    fit = beside(before << 32 | token) if start else True
+                    if fits(before, token) if fit is None else fit:
+                        last[stop] = token
 
     def _last_token(self, stop: int) -> int:
         v, data, last = self.vocabulary, self.data, self.last
