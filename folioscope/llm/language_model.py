@@ -12,7 +12,6 @@ P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)). It needs nothing but counts and sums to
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +20,8 @@ from folioscope.llm.exchange import ASKED, answered, asked, in_chunks, met, pack
 
 ORDER, PRIOR = 2, 8.0
 FOLDS, HELD_OUT = 5, 1
-#: Bytes of text for each chunk: its automaton is held in dictionaries, some 200 bytes for each byte of text.
-CHUNK_TEXT = 2 << 20
+#: Bytes of text for each chunk: its automaton takes some 50 bytes for each.
+CHUNK_TEXT = 4 << 20
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _COUNTS = "chunk int, part int, body binary, tokens long, kinds long"
 
@@ -43,7 +42,6 @@ class Tokens:
         body = np.ones(len(self.codes), bool)
         body[self.ends] = False
         self.codes[body] = codes
-        self.width = len(distinct) + 1
         values = np.append(hashes(distinct), np.uint64(0x5851F42D4C957F2D))[self.codes]
         place = np.arange(len(self.codes)) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
         self.keys, run = [], mixed(values)
@@ -102,54 +100,42 @@ def _total(table: pa.Table) -> pa.Table:
 
 
 class Automaton:
-    """Arcs by state and token, and each state's failure arc; weights are log10 probabilities."""
+    """The part of the automaton that a chunk's tokens can reach, laid out by the places where they stand.
+
+    A state is a seen n-gram of fewer than order words; at a place it is told by its length. arcs[n][i] is the weight
+    of the arc by token i from the state of the n words before it (nan: no such arc), price[n][i] that of the failure
+    arc of the state of the n words up to i, and length[i] tells the state that arcs by token i lead to. Weights are
+    log10 probabilities.
+    """
 
     def __init__(self, tokens: Tokens, counts: np.ndarray, total: int, kinds: int, prior: float):
         order = len(tokens.keys)
         seen = np.concatenate((np.zeros(tokens.unused, np.int64), counts))
         c = [seen[at] for at in tokens.at]
-        self.width = tokens.width
         self.single = c[0]
         self.base = np.log10((c[0] + 0.5) / (total + 0.5 * (kinds + 1)))
-        state = np.zeros(len(tokens.codes), np.int64)
-        states = [state]
+        probability, arcs, price = 10.0**self.base, [self.base], []
+        length = np.zeros(len(tokens.codes), np.int64)
         for n in range(1, order):
-            state = np.where(c[n - 1] > 0, tokens.at[n - 1] + 1, state)
-            states.append(state)
-        self.failure = np.zeros(len(tokens.distinct) + 1, np.int64)
-        self.price = np.zeros(len(tokens.distinct) + 1)
-        probability, arcs, weights, targets = 10.0**self.base, [], [], []
-        for n in range(1, order + 1):
-            if n > 1:
-                before = np.concatenate(([0], c[n - 2][:-1])) * (tokens.keys[n - 1] != 0)
-                probability = (c[n - 1] + prior * probability) / (before + prior)
-            own = np.ones(len(state), bool) if n == 1 else c[n - 1] > 0
-            places = np.flatnonzero(own)
-            source = np.zeros(len(places), np.int64) if n == 1 else np.concatenate(([0], tokens.at[n - 2][:-1] + 1))[places]
-            arcs.append(source * self.width + tokens.codes[places])
-            weights.append(np.log10(probability[places]))
-            targets.append(states[min(n, order - 1)][places])
-            if n < order:
-                at = tokens.at[n - 1][own]
-                self.failure[at + 1] = states[n - 1][own]
-                self.price[at + 1] = np.log10(prior / (seen[at] + prior))
-        keys, first = np.unique(np.concatenate(arcs), return_index=True)
-        self.arcs = dict(zip(keys.tolist(), range(len(keys))))
-        self.weights, self.targets = np.concatenate(weights)[first].tolist(), np.concatenate(targets)[first].tolist()
-        self.failure, self.price = self.failure.tolist(), self.price.tolist()
-
-    def score(self, tokens: list[int]) -> float:
-        """The tokens' log10 probability, in one pass from the root."""
-        get, width, weights, targets, failure, price = self.arcs.get, self.width, self.weights, self.targets, self.failure, self.price
+            length[c[n - 1] > 0] = n
+            price.append(np.log10(prior / (c[n - 1] + prior)))
+            before = np.concatenate(([0], c[n - 1][:-1])) * (tokens.keys[n] != 0)
+            probability = (c[n] + prior * probability) / (before + prior)
+            arcs.append(np.where(c[n] > 0, np.log10(probability), np.nan))
+        self.arcs, self.price, self.length = [x.tolist() for x in arcs], [[], *(x.tolist() for x in price)], length.tolist()
+
+    def score(self, start: int, stop: int) -> float:
+        """The log10 probability of the tokens from start on, in one pass from the root that carries the state."""
+        arcs, price, length = self.arcs, self.price, self.length
         state, total = 0, 0.0
-        for token in tokens:
-            arc = get(state * width + token)
-            while arc is None:
-                total += price[state]
-                state = failure[state]
-                arc = get(state * width + token)
-            total += weights[arc]
-            state = targets[arc]
+        for i in range(start, stop):
+            weight = arcs[state][i]
+            while weight != weight:
+                total += price[state][i - 1]
+                state -= 1
+                weight = arcs[state][i]
+            total += weight
+            state = length[i]
         return total
 
 
@@ -168,7 +154,6 @@ def _score(parts: int, order: int, prior: float):
                 counts[bounds[row["part"]] : bounds[row["part"] + 1]] = unpacked(row["body"], [np.uint64, np.int64])[1]
         model = Automaton(tokens, counts, total, kinds, prior)
         edges = tokens.bounds.tolist()
-        codes = tokens.codes.tolist()
         return pa.table({
             "doc_id": table["doc_id"].cast(pa.int64()),
             "held_out": table["held_out"],
@@ -176,7 +161,7 @@ def _score(parts: int, order: int, prior: float):
             "n_known": pa.array(np.add.reduceat(model.single > 0, tokens.bounds[:-1], dtype=np.int64)),
             "train_tokens": pa.array(np.full(table.num_rows, total, np.int64)),
             "base_score": pa.array(np.add.reduceat(model.base, tokens.bounds[:-1])),
-            "score": pa.array([model.score(codes[a:b]) for a, b in zip(edges, edges[1:])], pa.float64()),
+            "score": pa.array([model.score(a, b) for a, b in zip(edges, edges[1:])], pa.float64()),
         })
 
     return run
