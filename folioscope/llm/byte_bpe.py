@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from folioscope.llm.common import short_batches, text_chunks, texts_of
 
@@ -233,3 +234,9 @@ def encoded(docs: DataFrame, body: bytes, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks().cast(pa.int64()), ids, decoded.cast(pa.binary())], ["doc_id", "ids", "decoded"])
 
     return short_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id long, {RESULT}")
+
+
+def digests(rows: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and SHA-256 of the ids (decimal, joined by one space) and of the decoded bytes."""
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -1,5 +1,6 @@
 """The numbered queries: each applies its operator, with production parameters, to the whole table."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,12 +68,8 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
-        found = byte_bpe.encoded(documents(spark, sf_dir), file.read(), public_tokenizers.PATTERN)
-    ids = F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+        return byte_bpe.digests(byte_bpe.encoded(documents(spark, sf_dir), file.read(), public_tokenizers.PATTERN))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
