@@ -1,4 +1,6 @@
-"""The library's queries by name, and the SQL that DuckDB runs for the same rows."""
+"""All queries of the library by name, and the SQL that DuckDB runs for the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from folioscope.plans import collections, library, terms, texts, work  # noqa: F401
+from folioscope.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
