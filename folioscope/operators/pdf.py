@@ -37,3 +37,42 @@ def gutters(runs: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc", "page").orderBy("x", "seq")
     reach = F.max(F.col("x") + F.col("width")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return runs.withColumn("gap", F.col("x") - reach).groupBy("doc", "page").agg(F.max("gap").alias("gutter"))
+
+#: Runs within so many points share a line; a line so much larger than the body is a heading.
+SAME_LINE, HEADING = 2.0, 1.15
+
+
+def text_lines(runs: DataFrame) -> DataFrame:
+    """Lines of a page from its runs (doc, page, seq, text, size, y): runs at nearly one height, in order."""
+    w = Window.partitionBy("doc", "page").orderBy("seq")
+    new = F.when(F.abs(F.col("y") - F.lag("y").over(w)) <= SAME_LINE, 0).otherwise(1)
+    numbered = runs.withColumn("_new", new).withColumn("line", F.sum("_new").over(w))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda r: r["text"]), " ")
+    return numbered.groupBy("doc", "page", "line").agg(F.trim(F.regexp_replace(joined, r"\s+", " ")).alias("text"), F.max("size").alias("size"), F.max("y").alias("y"))
+
+
+def to_markdown(runs: DataFrame) -> DataFrame:
+    """A document's runs as Markdown: running lines left out, larger lines as headings, lists, paragraphs of near lines.
+
+    Paragraphs part where the gap between lines is more than one and a half of the page's usual one.
+    """
+    lines = text_lines(runs).where("text <> ''")
+    nth = F.row_number().over(Window.partitionBy("doc", "page").orderBy("line")) - 1
+    key = F.trim(F.regexp_replace("text", r"\d+", "#"))
+    running = furniture(lines.withColumn("nth", nth)).select("doc", "key")
+    placed = lines.withColumn("nth", nth).withColumn("key", key).withColumn("last", F.max("nth").over(Window.partitionBy("doc", "page")))
+    edge = (F.col("nth") < EDGE_LINES) | (F.col("last") - F.col("nth") < EDGE_LINES)
+    kept = placed.join(running.withColumn("running", F.lit(True)), ["doc", "key"], "left").where(~(F.coalesce("running", F.lit(False)) & edge))
+    sized = kept.join(body_size(runs), "doc")
+    page = Window.partitionBy("doc", "page").orderBy("line")
+    gap = F.abs(F.col("y") - F.lag("y").over(page))
+    usual = F.percentile("gap", F.lit(0.5)).over(Window.partitionBy("doc", "page"))
+    kind = F.when(F.col("size") >= F.col("body_size") * HEADING, "heading").when(F.col("text").rlike(r"^(?:[-•*]|\d{1,3}[.)])\s"), "item").otherwise("text")
+    parted = sized.withColumn("gap", gap).withColumn("kind", kind).withColumn("usual", usual)
+    whole = Window.partitionBy("doc").orderBy("page", "line")
+    same = (F.col("kind") == F.lag("kind").over(whole)) & (F.col("kind") == "text") & (F.col("gap") <= F.col("usual") * 1.5)
+    blocks = parted.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("block", F.sum("new").over(whole))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line", "text"))), lambda r: r["text"]), " ")
+    joined = blocks.groupBy("doc", "block").agg(F.first("kind").alias("kind"), text.alias("text"))
+    shown = F.when(F.col("kind") == "heading", F.concat(F.lit("## "), F.col("text"))).when(F.col("kind") == "item", F.concat(F.lit("- "), F.regexp_replace("text", r"^(?:[-•*]|\d{1,3}[.)])\s+", ""))).otherwise(F.col("text"))
+    return joined.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", shown.alias("t")))), lambda b: b["t"]), "\n\n").alias("markdown"))
