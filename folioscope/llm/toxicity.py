@@ -35,9 +35,9 @@ class Settings:
     longest: int = 6
     least: int = 6
     scale: float = 150.0
-    rounds: int = 60
+    rounds: int = 150
     rate: float = 0.08
-    decay: float = 1e-6
+    decay: float = 3e-5
     seed: int = 7
 
 
