@@ -64,3 +64,81 @@ def to_markdown(html: Column) -> Column:
     ):
         out = F.regexp_replace(out, pattern, by)
     return F.btrim(unescape(out), F.lit(" \n"))
+
+
+def meta(html: Column, name: str) -> Column:
+    """The content that a page's meta element of a name or property has, else null."""
+    before = F.regexp_extract(html, rf'(?is)<meta\b[^>]*\b(?:name|property)="{name}"[^>]*\bcontent="([^"]*)"', 1)
+    after = F.regexp_extract(html, rf'(?is)<meta\b[^>]*\bcontent="([^"]*)"[^>]*\b(?:name|property)="{name}"', 1)
+    return F.nullif(squeezed(unescape(F.when(before != "", before).otherwise(after))), F.lit(""))
+
+
+def claims(html: Column) -> Column:
+    """What a page says of itself: its title, description, author, date and picture, each from its first source."""
+    linked = F.regexp_extract(html, r'(?is)<script\b[^>]*type="application/ld\+json"[^>]*>(.*?)</script>', 1)
+    said = F.from_json(linked, "headline string, description string, datePublished string, image string, author struct<name:string>")
+    return F.struct(
+        F.coalesce(meta(html, "og:title"), meta(html, "twitter:title"), said["headline"], F.nullif(title(html), F.lit(""))).alias("title"),
+        F.coalesce(meta(html, "og:description"), meta(html, "description"), meta(html, "twitter:description"), said["description"]).alias("description"),
+        F.coalesce(meta(html, "author"), said["author"]["name"]).alias("author"),
+        F.coalesce(meta(html, "article:published_time"), said["datePublished"]).alias("published_at"),
+        F.coalesce(meta(html, "og:image"), said["image"]).alias("image"),
+    )
+
+
+def shown_title(html: Column) -> Column:
+    """The first h1 if the page's claims or title have its words, else what it claims."""
+    key = lambda t: F.lower(F.regexp_replace(F.coalesce(t, F.lit("")), r"[^\p{L}\p{N}]+", ""))
+    h1 = squeezed(unescape(F.regexp_replace(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), "<[^>]*>", "")))
+    claim = claims(html)["title"]
+    return F.when((h1 != "") & ((F.instr(key(claim), key(h1)) > 0) | (F.instr(key(title(html)), key(h1)) > 0) | claim.isNull()), h1).otherwise(F.coalesce(claim, h1))
+
+
+def absolute(url: Column, base: Column) -> Column:
+    """A reference as an absolute http(s) URL, or null if it leads elsewhere; dot segments at its start are resolved."""
+    site = F.regexp_extract(base, r"^(https?://[^/?#]*)", 1)
+    folder = F.regexp_replace(F.regexp_extract(base, r"^https?://[^/?#]*([^?#]*)", 1), r"[^/]*$", "")
+    folder = F.when(folder == "", "/").otherwise(folder)
+    up = F.regexp_count(F.regexp_extract(url, r"^((?:\.\./)*)", 1), F.lit(r"\.\./"))
+    parts = F.filter(F.split(folder, "/"), lambda p: p != "")
+    kept = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - up, F.lit(0)))
+    rest = F.regexp_replace(url, r"^(?:\./|\.\./)*", "")
+    relative = F.concat(site, F.lit("/"), F.when(F.size(kept) > 0, F.concat(F.array_join(kept, "/"), F.lit("/"))).otherwise(""), rest)
+    return (
+        F.when(url.rlike("(?i)^https?://"), url)
+        .when(url.startswith("//"), F.concat(F.regexp_extract(base, "^(https?:)", 1), url))
+        .when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(url.startswith("/"), F.concat(site, url))
+        .when(url.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), url))
+        .when(url.startswith("?"), F.concat(F.regexp_replace(base, "[?#].*$", ""), url))
+        .otherwise(relative)
+    )
+
+
+def picture_key(url: Column) -> Column:
+    """One text for the sizes and formats that a picture is served in."""
+    bare = F.regexp_replace(F.lower(F.coalesce(F.try_url_decode(F.regexp_replace(url, r"\+", "%2B")), url)), r"[?#].*$", "")
+    inner = F.regexp_extract(bare, r"(https?://[^/]+/.*)$", 1)
+    name = F.regexp_extract(F.when(inner != "", F.regexp_replace(bare, r"^.*(https?://)", "$1")).otherwise(bare), r"([^/]+)$", 1)
+    return F.regexp_replace(F.regexp_replace(name, r"\.(?:jpe?g|png|webp|avif|gif)$", ""), r"(?:[-_@]\d+x\d+|[-_]\d+w|@\dx)$", "")
+
+
+def main_part(html: Column) -> Column:
+    """The article's markup: of article, main and body, the one with the most text that isn't linked, the innermost of equals."""
+    found = F.array(*[F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}>", 1) for tag in ("article", "main", "body")])
+
+    def score(part: Column) -> Column:
+        unlinked = F.regexp_replace(part, r"(?is)<a\b[^>]*>.*?</a>", " ")
+        return F.length(text(unlinked)) - 2 * (F.length(text(part)) - F.length(text(unlinked)))
+
+    scored = F.transform(F.filter(found, lambda p: p != ""), lambda p, i: F.struct(score(p).alias("n"), (-i).alias("i"), p.alias("part")))
+    return F.coalesce(F.array_max(scored)["part"], html)
+
+
+def is_sign_in(url: Column) -> Column:
+    """Whether an address is a page to sign in at."""
+    return url.rlike(r"(?i)^https?://(?:login|signin|auth|accounts|sso)\.") | F.exists(F.split(F.regexp_extract(url, r"^https?://[^/?#]*([^?#]*)", 1), "/"), lambda p: F.lower(p).isin("login", "signin", "sign-in", "log-in", "auth", "sso"))
+
+
+def sent_to_sign_in(asked: Column, landed: Column) -> Column:
+    return is_sign_in(landed) & ~is_sign_in(asked)

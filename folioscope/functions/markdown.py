@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioscope.functions.spans import inside, matches
+
 
 def blocks(text: Column) -> Column:
     """array<struct<pos, type, text>>: fenced code is one block; elsewhere blank lines part blocks."""
@@ -35,3 +37,64 @@ def counts(text: Column) -> Column:
 def repair_emphasis(text: Column) -> Column:
     """Spaces just inside of strong marks go, so that they mark again."""
     return F.regexp_replace(text, r"\*\*[ \t]+([^*\n]+?)[ \t]*\*\*|\*\*([^*\n]+?)[ \t]+\*\*", "**$1$2**")
+
+
+CODE = r"(?ms)^(?:```|~~~)[^\n]*\n.*?(?:^(?:```|~~~)[ \t]*$|\z)|`[^`\n]+`"
+MATH = r"(?s)\$\$.+?\$\$|(?<![\\$])\$(?![\s$])[^$\n]+?(?<![\s\\])\$(?!\d)"
+LINK = r"!?\[[^\]\n]*\]\([^)\s]+(?:\s+\"[^\"\n]*\")?\)"
+
+
+def code_ranges(text: Column) -> Column:
+    return matches(text, CODE)
+
+
+def math_ranges(text: Column) -> Column:
+    """Math that stands outside of code."""
+    codes = code_ranges(text)
+    return F.filter(matches(text, MATH), lambda m: ~inside(m["start"], codes))
+
+
+def links(text: Column) -> Column:
+    """array<struct<start, end, image, label, target>> of inline links and images outside of code."""
+    codes = code_ranges(text)
+    found = F.filter(matches(text, LINK), lambda m: ~inside(m["start"], codes))
+    return F.transform(found, lambda m: F.struct(m["start"], m["end"], m["value"].startswith("!").alias("image"), F.regexp_extract(m["value"], r"^!?\[([^\]]*)\]", 1).alias("label"), F.regexp_extract(m["value"], r"\]\(([^)\s]+)", 1).alias("target")))
+
+
+def plain_text(text: Column) -> Column:
+    """What a reader sees: no images, marks or targets; code and link labels stay."""
+    out = text
+    for pattern, by in (
+        (r"(?m)^(?:```|~~~)[^\n]*$", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?i)<br\s*/?>", " "), (r"<[^>\n]+>", ""),
+        (r"(?m)^ {0,3}(?:#{1,6}[ \t]+|>[ \t]?|[-*+][ \t]+|\d{1,9}[.)][ \t]+)", ""), (r"(\*\*|__|\*|`)(\S(?:[^\n]*?\S)?)\1", "$2"), (r"\s+", " "),
+    ):
+        out = F.regexp_replace(out, pattern, by)
+    return F.trim(out)
+
+
+def joined(rows: Column) -> Column:
+    """Blocks as one text: a blank line between them, one newline at the end."""
+    return F.concat(F.regexp_replace(F.array_join(F.transform(rows, lambda b: b["text"]), "\n\n"), r"\s+$", ""), F.lit("\n"))
+
+
+def alignment_errors(a: Column, b: Column) -> Column:
+    """Why two versions' blocks don't pair up: another number, other types, code or math that was changed."""
+    pairs = F.arrays_zip(F.slice(a, 1, F.least(F.size(a), F.size(b))).alias("a"), F.slice(b, 1, F.least(F.size(a), F.size(b))).alias("b"))
+    number = F.when(F.size(a) != F.size(b), F.array(F.concat(F.size(a).cast("string"), F.lit(" blocks, "), F.size(b).cast("string")))).otherwise(F.array().cast("array<string>"))
+    each = F.transform(pairs, lambda p, i: F.when(p["a"]["type"] != p["b"]["type"], F.concat(i.cast("string"), F.lit(": "), p["a"]["type"], F.lit(", "), p["b"]["type"])).when(p["a"]["type"].isin("code", "math") & (p["a"]["text"] != p["b"]["text"]), F.concat(i.cast("string"), F.lit(": changed"))))
+    return F.concat(number, F.array_compact(each))
+
+
+def is_image_only(block: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(block, r"!\[[^\]]*\]\([^)]*\)", ""), r"\s", "").eqNullSafe(F.lit("")) & block.contains("![")
+
+
+def with_lead(body: Column, dek: Column, picture: Column) -> Column:
+    """struct<kind, text>: the body with a missing opening sentence or picture in front; unchanged if both are there."""
+    start = F.lower(F.regexp_replace(F.substring(plain_text(body), 1, 2000), r"[^\p{L}\p{N}]+", ""))
+    wanted = F.lower(F.regexp_replace(F.coalesce(dek, F.lit("")), r"[^\p{L}\p{N}]+", ""))
+    add_dek = (wanted != "") & (F.instr(start, wanted) == 0)
+    add_picture = F.coalesce(picture, F.lit("")) != ""
+    add_picture = add_picture & ~body.contains(F.coalesce(picture, F.lit("\0")))
+    front = F.concat_ws("\n\n", F.when(add_dek, dek), F.when(add_picture, F.concat(F.lit("![]("), picture, F.lit(")"))))
+    return F.when(front == "", F.struct(F.lit("unchanged").alias("kind"), body.alias("text"))).otherwise(F.struct(F.lit("merged").alias("kind"), F.concat(front, F.lit("\n\n"), body).alias("text")))
