@@ -21,8 +21,7 @@ def index(docs: DataFrame) -> DataFrame:
     """
     raw = docs.select("slug", F.posexplode("tags").alias("pos", "label")).withColumn("term", tags.slug(F.col("label")))
     spelled = raw.groupBy("term", "label").agg(F.count("*").alias("n"), F.min(F.struct("slug", "pos")).alias("first"))
-    by_spelling = spelled.groupBy("term").agg(F.max_by("label", F.struct("n", F.lit(None).cast("int"))).alias("any"), F.max("n").alias("most"))
-    best = spelled.join(by_spelling.select("term", "most"), "term").where(F.col("n") == F.col("most")).groupBy("term").agg(F.min_by("label", "first").alias("label"))
+    best = spelled.groupBy("term").agg(F.min_by("label", F.struct((-F.col("n")).alias("n"), "first")).alias("label"))
     items = raw.groupBy("term").agg(F.count_distinct("slug").alias("items"))
     return best.join(items, "term").select("term", "label", "items")
 
@@ -34,8 +33,7 @@ def spellings(docs: DataFrame, aliases=None) -> DataFrame:
 def vocabulary(docs: DataFrame, aliases=None, size: int = VOCABULARY_SIZE) -> DataFrame:
     """Settled tags of two documents at least, the most used first, each in its most used spelling."""
     settled = spellings(docs, aliases).where(~tags.undecided(F.col("tag")))
-    sums = settled.groupBy("key").agg(F.sum("n").alias("articles"), F.max(F.struct("n", "tag")).alias("_"), F.max("n").alias("most"))
-    best = settled.join(sums.select("key", "most", "articles"), "key").where(F.col("n") == F.col("most")).groupBy("key", "articles").agg(F.min("tag").alias("tag"))
+    best = settled.groupBy("key").agg(F.sum("n").alias("articles"), F.min_by("tag", F.struct((-F.col("n")).alias("n"), "tag")).alias("tag"))
     return best.where(F.col("articles") >= LEAST_DOCUMENTS).orderBy(F.desc("articles"), "key").limit(size)
 
 
