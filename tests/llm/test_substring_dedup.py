@@ -4,8 +4,6 @@ import re
 
 from folioscope.llm import substring_dedup
 
-LAST = (1, 0)
-
 
 def brute(docs, window=20):
     order = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0))
