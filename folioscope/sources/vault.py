@@ -15,7 +15,10 @@ _REQUIRED = ("url", "title", "domain", "clipped_at")
 
 
 def parsed(text: str) -> dict:
-    """A file's fields and body; problem says why it is none. Unknown fields are left out."""
+    """A file's fields and body; problem says why it is none. Unknown fields are left out.
+
+    The time of processing is in the one nested mapping that has it, whatever its name.
+    """
     match = FRONT.match(text)
     if not match:
         return {"problem": "no front matter", "body": text}
@@ -26,7 +29,7 @@ def parsed(text: str) -> dict:
     if not isinstance(data, dict):
         return {"problem": "no fields", "body": text[match.end() :]}
     missing = [k for k in _REQUIRED if not str(data.get(k) or "").strip()]
-    extra = data.get("tiro") if isinstance(data.get("tiro"), dict) else {}
+    extra = next((v for v in data.values() if isinstance(v, dict) and "processed_at" in v), {})
     tags = [str(t) for t in data["tags"]] if isinstance(data.get("tags"), list) else None
     text_of = lambda k: None if data.get(k) is None else str(data[k])
     return {k: text_of(k) for k in ("url", "title", "domain", "clipped_at", "excerpt", "author", "published_at", "lang", "title_zh", "summary", "category")} | {

@@ -1,7 +1,7 @@
 from folioscope.sources import vault
 from folioscope.streaming import edits, inbox
 
-HEAD = "---\nurl: https://x.org/{0}\ntitle: T {0}\ndomain: x.org\nclipped_at: 2026-01-01T00:00:00Z\ntags: [a, b]\ntiro:\n  processed_at: 2026-01-02\n---\n\nBody {0}\n"
+HEAD = "---\nurl: https://x.org/{0}\ntitle: T {0}\ndomain: x.org\nclipped_at: 2026-01-01T00:00:00Z\ntags: [a, b]\nwork:\n  processed_at: 2026-01-02\n---\n\nBody {0}\n"
 
 
 def put(root, name, text):
