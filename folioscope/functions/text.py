@@ -74,6 +74,10 @@ def retry_after_ms(header: Column) -> Column:
     return F.when(F.trim(header).rlike(r"^\d+$"), F.trim(header).cast("long") * 1000)
 
 
-#: Failure classes by status.
-def failure_class(status: Column) -> Column:
-    return F.when(status.isin(401, 403), "auth").when(status == 404, "missing").when(status == 429, "limited").when(status >= 500, "server").when(status >= 400, "client").otherwise("none")
+#: Refusals that may pass when asked again.
+PASSING = (408, 425, 429)
+
+
+def is_settled_failure(status: Column) -> Column:
+    """Whether asking again would be refused again."""
+    return status.between(400, 499) & ~status.isin(*PASSING)

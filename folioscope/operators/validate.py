@@ -23,3 +23,45 @@ def violations(articles: DataFrame, items: DataFrame, translations: DataFrame) -
         of("translation-orphan", translations.join(articles.select("slug"), "slug", "left_anti"), "slug"),
     ]
     return reduce(DataFrame.unionByName, checks)
+
+
+def translation_problems(articles: DataFrame) -> DataFrame:
+    """Articles (slug, lang, processed, failed, blocks, zh_blocks) whose translation should not be there, or should, or doesn't fit.
+
+    blocks and zh_blocks are arrays of blocks; zh_blocks is null where there is no translation.
+    """
+    from folioscope.functions import markdown
+
+    there, done, failed = F.col("zh_blocks").isNotNull(), F.coalesce("processed", F.lit(False)), F.coalesce("failed", F.lit(False))
+    chinese = F.coalesce(F.col("lang") == "zh", F.lit(False))
+    problem = (
+        F.when(~there & done & ~chinese & ~failed, "missing")
+        .when(there & chinese, "of a Chinese article")
+        .when(there & failed, "marked as failed")
+        .when(there & done & (F.size(markdown.alignment_errors(F.col("blocks"), F.col("zh_blocks"))) > 0), "not aligned")
+    )
+    return articles.select("slug", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def moved_slugs(articles: DataFrame) -> DataFrame:
+    """Articles whose slug is not the one that their URL gives."""
+    from folioscope.functions import urls
+
+    return articles.select("slug", urls.slug(F.col("url")).alias("expected")).where(~F.col("slug").eqNullSafe(F.col("expected")))
+
+
+def collection_problems(collections: DataFrame, items: DataFrame, docs: DataFrame) -> DataFrame:
+    """The first rule that a collection (id, title, cover_slug) breaks: its id, title, members or cover; docs have slug and unlisted."""
+    twice = items.groupBy("collection", "slug").count().where("count > 1").select(F.col("collection").alias("id"), F.lit(True).alias("twice")).distinct()
+    dangling = items.join(docs.select("slug"), "slug", "left_anti").select(F.col("collection").alias("id"), F.lit(True).alias("dangling")).distinct()
+    cover = docs.select(F.col("slug").alias("cover_slug"), F.coalesce("unlisted", F.lit(False)).alias("hidden"))
+    joined = collections.join(twice, "id", "left").join(dangling, "id", "left").join(cover, "cover_slug", "left")
+    problem = (
+        F.when(~F.col("id").rlike("^[a-z0-9][a-z0-9-]{0,68}$"), "id")
+        .when(F.coalesce(F.trim("title"), F.lit("")) == "", "title")
+        .when(F.col("twice"), "member twice")
+        .when(F.col("dangling"), "member dangling")
+        .when(F.col("cover_slug").isNotNull() & F.col("hidden").isNull(), "cover dangling")
+        .when(F.col("hidden"), "cover unlisted")
+    )
+    return joined.select("id", problem.alias("problem")).where("problem IS NOT NULL")

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from folioscope.functions import html, markdown, urls
-from folioscope.operators import pages
+from folioscope.operators import assets, library, pages, validate
 from folioscope.plans.registry import query
-from folioscope.plans.tables import TAGGED, table, tagged
+from folioscope.plans.tables import ITEMS, TAGGED, items, table, tagged
+from folioscope.sources import sinks
 
 
 @query(f"""WITH {TAGGED}, a AS (SELECT slug || '-' || substr(sha256(slug), 1, 8) AS slug, 'https://x.org/' || slug AS url, tags FROM tagged),
@@ -78,3 +79,83 @@ def main_parts(spark, sf_dir):
 @query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^www\\.', '') AS domain FROM pages")
 def page_domains(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_extract(urls.origin(F.col("url")), "://([^/?#:]*)", 1), r"^www\.", "").alias("domain"))
+
+
+@query("SELECT page_id, list_distinct(regexp_extract_all(html, '(?i)<img\\b[^>]*\\bsrc=\"([^\"]+)\"', 1)) = [] AS none FROM pages".replace("\\\\", "\\"))
+def pages_without_pictures(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", (F.size(assets.pictures(F.col("html"))) == 0).alias("none"))
+
+
+@query("""SELECT l_orderkey AS slug, pos, row_number() OVER w <= 3 AND sum(bytes) OVER w <= 90 AS taken FROM (SELECT l_orderkey, l_linenumber * 100000 + l_partkey AS pos, l_quantity AS bytes FROM lineitem)
+WINDOW w AS (PARTITION BY l_orderkey ORDER BY pos ROWS UNBOUNDED PRECEDING)""")
+def picture_caps(spark, sf_dir):
+    c = F.col
+    found = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("slug"), (c("l_linenumber") * 100000 + c("l_partkey")).alias("pos"), c("l_quantity").alias("bytes"))
+    return assets.within_caps(found, 3, 90).select("slug", "pos", "taken")
+
+
+@query("""SELECT 'd' || CAST(p_partkey AS VARCHAR) AS slug, substr(sha256(CAST(p_partkey AS VARCHAR)), 1, 12) || '.webp' AS file FROM part WHERE p_partkey % 3 > 0""")
+def asset_reconcile(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey").cast("string")
+    name = F.concat(F.substring(F.sha2(k, 256), 1, 12), F.lit(".webp"))
+    docs = p.select(F.concat(F.lit("d"), k).alias("slug"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("![](./assets/"), name, F.lit(")"))).otherwise("none").alias("body"))
+    files = p.select(F.concat(F.lit("d"), k).alias("slug"), name.alias("file")).unionByName(p.select(F.concat(F.lit("d"), k).alias("slug"), F.lit("own.png").alias("file")))
+    return assets.left_over(files, docs)
+
+
+@query("""SELECT p_partkey, CASE WHEN p_retailprice > 1200 AND p_size * 0.02 <= 0.8 THEN 'copy' ELSE 'original' END AS served FROM part""")
+def served_copies(spark, sf_dir):
+    c = F.col
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit("a.png").alias("file"), (c("p_retailprice") * 250).alias("bytes"), F.lit(800).alias("width"), F.lit(600).alias("height"), (c("p_retailprice") * 250 * c("p_size") * 0.02).alias("copy_bytes"))
+    return assets.served(rows).select("p_partkey", "served")
+
+
+@query("""SELECT right(slug, 8) AS id, '/s/' || right(slug, 8) || '/  /articles/' || slug || '/  301' AS line FROM (SELECT 'p' || CAST(page_id AS VARCHAR) || '-' || substr(sha256(CAST(page_id AS VARCHAR)), 1, 8) AS slug FROM pages)""")
+def redirect_lines(spark, sf_dir):
+    k = F.col("page_id").cast("string")
+    slugs = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), k, F.lit("-"), F.substring(F.sha2(k, 256), 1, 8)).alias("slug"))
+    return sinks.redirect_lines(library.short_links(slugs).where("given"))
+
+
+@query("""SELECT page_id AS slug, '<item><title>' || replace(replace(url, '&', '&amp;'), '<', '&lt;') || '</title><link>' || replace(replace(url, '&', '&amp;'), '<', '&lt;') || '</link><description></description></item>' AS item FROM pages""")
+def feed_items(spark, sf_dir):
+    docs = table(spark, sf_dir, "pages").select(F.col("page_id").alias("slug"), F.col("url").alias("title"), "url", F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("excerpt"))
+    return sinks.feed_items(docs)
+
+
+@query("""WITH o AS (SELECT lpad(CAST(event_id AS VARCHAR), 8, '0') AS slug, event_type AS outcome FROM events),
+f AS (SELECT outcome, string_agg(slug, ', ' ORDER BY slug) AS slugs FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY outcome ORDER BY slug) <= 20) GROUP BY outcome)
+SELECT outcome, n, '- ' || outcome || ': ' || CAST(n AS VARCHAR) || ' (' || slugs || ')' AS line FROM (SELECT outcome, count(*) AS n FROM o GROUP BY outcome) JOIN f USING (outcome)""")
+def run_report(spark, sf_dir):
+    return sinks.run_report(table(spark, sf_dir, "events").select(F.lpad(F.col("event_id").cast("string"), 8, "0").alias("slug"), F.col("event_type").alias("outcome")))
+
+
+@query("SELECT md5(text) AS key, min(conv_id) AS value FROM conversations WHERE role = 'user' AND turn < 4 GROUP BY 1")
+def checkpoint_retain(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("key", F.md5("text"))
+    cache = c.groupBy("key").agg(F.min("conv_id").alias("value")).select("key", "value", F.lit("zh").alias("target"), F.lit("m").alias("model"))
+    old = cache.withColumn("model", F.lit("other"))
+    live = c.where("turn < 4").select("key")
+    kept = c.where("turn < 4").groupBy("key").agg(F.min("conv_id").alias("value"))
+    return sinks.retained(cache.unionByName(old), live, "zh", "m").select("key").join(kept, "key").select("key", "value")
+
+
+@query("""SELECT doc_id AS slug, CASE doc_id % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'of a Chinese article' WHEN 2 THEN 'marked as failed' WHEN 3 THEN 'not aligned' END AS problem FROM documents WHERE doc_id % 5 < 4""")
+def translation_problems(spark, sf_dir):
+    k = F.col("doc_id") % 5
+    block = lambda kind: F.array(F.struct(F.lit(0).alias("pos"), F.lit(kind).alias("type"), F.lit("x").alias("text")))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("slug"), F.when(k == 1, "zh").otherwise("en").alias("lang"), F.lit(True).alias("processed"), (k == 2).alias("failed"), block("paragraph").alias("blocks"), F.when(k == 3, block("list")).when(k != 0, block("paragraph")).alias("zh_blocks"))
+    return validate.translation_problems(rows)
+
+
+@query(f"""WITH {ITEMS}, docs AS (SELECT p_partkey AS slug, p_size > 45 AS unlisted FROM part WHERE p_partkey % 200 > 0),
+c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN ' ' ELSE c_name END AS title, CASE WHEN c_custkey % 3 = 0 THEN c_custkey END AS cover FROM customer)
+SELECT CAST(id AS VARCHAR) AS id, problem FROM (SELECT id, CASE WHEN trim(title) = '' THEN 'title' WHEN id IN (SELECT collection FROM items GROUP BY collection, slug HAVING count(*) > 1) THEN 'member twice'
+  WHEN id IN (SELECT collection FROM items ANTI JOIN docs USING (slug)) THEN 'member dangling' WHEN cover IS NOT NULL AND cover NOT IN (SELECT slug FROM docs) THEN 'cover dangling' WHEN cover IN (SELECT slug FROM docs WHERE unlisted) THEN 'cover unlisted' END AS problem FROM c) WHERE problem IS NOT NULL""")
+def collection_problems(spark, sf_dir):
+    docs = table(spark, sf_dir, "part").where("p_partkey % 200 > 0").select(F.col("p_partkey").alias("slug"), (F.col("p_size") > 45).alias("unlisted"))
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(k.cast("string").alias("id"), F.when(k % 10 == 0, " ").otherwise(F.col("c_name")).alias("title"), F.when(k % 3 == 0, k).alias("cover_slug"))
+    own = items(spark, sf_dir).withColumn("collection", F.col("collection").cast("string"))
+    return validate.collection_problems(c, own, docs)

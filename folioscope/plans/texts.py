@@ -59,10 +59,10 @@ def thin_documents(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", text.visible_length(F.col("text")).alias("visible")).where("visible < 500")
 
 
-@query("SELECT CAST(status AS INTEGER) AS status, class FROM (VALUES (200, 'none'), (401, 'auth'), (403, 'auth'), (404, 'missing'), (418, 'client'), (429, 'limited'), (500, 'server'), (503, 'server')) AS t(status, class)")
+@query("SELECT CAST(status AS INTEGER) AS status, status BETWEEN 400 AND 499 AND status NOT IN (408, 425, 429) AS settled FROM (VALUES (200), (401), (404), (408), (418), (425), (429), (500), (503)) AS t(status)")
 def failure_class(spark, sf_dir):
-    rows = spark.createDataFrame([(s,) for s in (200, 401, 403, 404, 418, 429, 500, 503)], "status int")
-    return rows.select("status", text.failure_class(F.col("status")).alias("class"))
+    rows = spark.createDataFrame([(s,) for s in (200, 401, 404, 408, 418, 425, 429, 500, 503)], "status int")
+    return rows.select("status", text.is_settled_failure(F.col("status")).alias("settled"))
 
 
 _UNESCAPED = "replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&')"
