@@ -61,3 +61,19 @@ def test_effective_membership_as_a_stream(spark, tmp_path):
     spark.sql("SELECT 1L collection, 2L slug, 'remove' action, timestamp'2026-01-01' at, 3L seq UNION ALL SELECT 1L, 3L, 'remove', timestamp'2026-01-03', 4L").write.mode("append").parquet(source)
     drain()
     assert sorted((s[1], s[2]) for s in seen) == [(2, "add"), (3, "add"), (3, "remove")]
+
+
+def test_debounced_stream_gives_what_the_batch_gives(spark, tmp_path):
+    source, out = str(tmp_path / "events"), str(tmp_path / "out")
+    rows = "SELECT * FROM VALUES (1, timestamp'2026-01-01 00:00:00'), (1, timestamp'2026-01-01 00:10:00'), (1, timestamp'2026-01-01 01:00:00'), (2, timestamp'2026-01-01 00:05:00') AS t(user_id, ts)"
+    spark.sql(rows).write.parquet(source)
+    stream = edits.debounced(spark.readStream.schema("user_id int, ts timestamp").parquet(source), "user_id", "ts", "30 minutes", "1 hour")
+    run = lambda: stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    run()
+    spark.sql("SELECT 9 user_id, timestamp'2026-01-02 00:00:00' ts").write.mode("append").parquet(source)
+    run()
+    spark.sql("SELECT 9 user_id, timestamp'2026-01-03 00:00:00' ts").write.mode("append").parquet(source)
+    run()
+    got = {tuple(r) for r in spark.read.parquet(out).where("user_id < 9").collect()}
+    want = {tuple(r) for r in edits.debounced(spark.sql(rows), "user_id", "ts", "30 minutes").collect()}
+    assert got == want
