@@ -4,7 +4,8 @@ Protected entities are the values that the patterns find. Around each place of o
 points are its context. Over the whole corpus, how strongly a term t reveals an entity e is measured by
     P(e | t) = n(t, e) / n(t)   and   PMI(t, e) = log2(n(t, e) N / (n(t) n(e))), as a share of e's information log2(N / n(e)),
 with n(t, e) and n(e) in distinct contexts (copies of a passage count once), n(t) and N in documents. Where both
-exceed their thresholds, with support from at least MIN_CONTEXTS contexts, the term is generalised beside the entity.
+exceed their thresholds, with support from at least MIN_CONTEXTS contexts, the term is generalised wherever
+it stands in the corpus: REACH bounds what counts as a context and not what is generalised.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,8 @@ _SIGNS = ("[@]", r"[0-9]\.[0-9]", "[0-9]", r"\+[0-9]")
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 REACH, SHORTEST_TERM = 64, 4
 MIN_CONTEXTS, MIN_CHANCE, MIN_SHARE = 2, 0.5, 0.5
+#: Bits of the filter that goes to every task, whatever the number of terms.
+MASK_BITS = 1 << 17
 _SPAN = "array<struct<start:int,rank:int,end:int,entity:bigint,context:bigint,terms:array<struct<start:int,end:int,value:string>>>>"
 
 
@@ -115,13 +118,17 @@ def found(docs: DataFrame) -> DataFrame:
     return saved(base.select("doc_id", "key", spans.alias("spans")))
 
 
+def _words(text: Column) -> Column:
+    """The distinct terms of a text: its runs of letters in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"\p{{L}}{{{SHORTEST_TERM},}}"), F.lit(0)), F.lower))
+
+
 def revealing(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """entity, term, chance P(e | t) and share PMI / IC of the pairs that exceed the thresholds."""
     near = rows.select(F.explode("spans").alias("s")).select("s.entity", "s.context", F.explode_outer("s.terms.value").alias("term")).distinct()
     entities = near.groupBy("entity").agg(F.count_distinct("context").alias("n_entity"))
     pairs = near.where("term IS NOT NULL").groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_CONTEXTS)
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(rf"\p{{L}}{{{SHORTEST_TERM},}}"), F.lit(0)))
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    terms = docs.select(F.explode(_words(F.coalesce(F.col("text"), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     n = docs.agg(F.count("*")).first()[0]
     joined = pairs.join(terms, "term").join(entities, "entity")
     pmi = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_term") * F.col("n_entity")))
@@ -129,12 +136,47 @@ def revealing(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return joined.where((F.col("chance") >= MIN_CHANCE) & (F.col("share") >= MIN_SHARE))
 
 
+def _mask(terms: DataFrame) -> Column:
+    """An array of MASK_BITS bits with those of the terms' hashes set: it only spares the join below what can't match."""
+    bit = F.pmod(F.xxhash64("term"), F.lit(MASK_BITS)).cast("int")
+    words = terms.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, bit % 64)")).alias("bits"))
+    bits = [0] * (MASK_BITS // 64)
+    for row in words.collect():
+        bits[row["at"]] = row["bits"]
+    return F.from_json(F.lit(str(bits)), "array<bigint>")
+
+
+def _may_reveal(term: Column, mask: Column) -> Column:
+    bit = F.pmod(F.xxhash64(term), F.lit(MASK_BITS)).cast("int")
+    return F.getbit(F.get(mask, F.floor(bit / 64).cast("int")), bit % 64) == 1
+
+
+def _places(text: Column, terms: Column) -> Column:
+    """Where the terms stand as whole runs of letters in the text; the array grows by what is found only."""
+    found = F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))
+    pairs = F.arrays_zip(F.slice(F.split(text, r"\p{L}+", -1), F.lit(1), F.size(found)).alias("gap"), found.alias("value"))
+    none = F.expr("named_struct('at', 0, 'out', CAST(array() AS array<struct<start:int,end:int,value:string>>))")
+
+    def add(done: Column, x: Column) -> Column:
+        start = done["at"] + F.length(x["gap"])
+        end = start + F.length(x["value"])
+        value = F.lower(x["value"])
+        more = F.concat(done["out"], F.array(F.struct(start.alias("start"), end.alias("end"), value.alias("value"))))
+        return F.struct(end.alias("at"), F.when(F.array_contains(terms, value), more).otherwise(done["out"]).alias("out"))
+
+    return F.aggregate(pairs, none, add, lambda done: done["out"])
+
+
 def _added(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """By key, the spans of revealing terms beside their entities."""
-    places = rows.select("key", F.explode("spans").alias("s")).select("key", "s.entity", F.explode("s.terms").alias("t")).select("key", "entity", F.col("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-    hit = places.join(revealing(docs, rows).select("entity", "term"), ["entity", "term"])
-    span = F.struct("start", F.lit(len(KINDS) - 1).alias("rank"), "end")
-    return hit.groupBy("key").agg(F.collect_set(span).alias("added"))
+    """By key, the spans of revealing terms, wherever they stand in the whole texts of the corpus."""
+    terms = saved(revealing(docs, rows).select("term").distinct())
+    mask = _mask(terms)
+    texts = docs.select(_key().alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    some = texts.withColumn("terms", F.filter(_words(F.col("text")), lambda t: _may_reveal(t, mask))).where(F.size("terms") > 0)
+    # A row for each document and term, with all its places: repeats in one text weigh nothing in the join.
+    at = some.select("key", "terms", _places(F.col("text"), F.col("terms")).alias("places")).select("key", "places", F.explode("terms").alias("term"))
+    span = F.transform(F.filter("places", lambda p: p["value"] == F.col("term")), lambda p: F.struct(p["start"], F.lit(len(KINDS) - 1).alias("rank"), p["end"]))
+    return at.select("key", "term", span.alias("spans")).join(terms, "term").groupBy("key").agg(F.flatten(F.collect_set("spans")).alias("added"))
 
 
 def sanitised_spans(docs: DataFrame) -> DataFrame:
@@ -142,7 +184,8 @@ def sanitised_spans(docs: DataFrame) -> DataFrame:
     rows = found(docs)
     base = F.transform("spans", lambda s: F.struct(s["start"], s["rank"], s["end"]))
     none = F.expr("CAST(array() AS array<struct<start:int,rank:int,end:int>>)")
-    return rows.select("doc_id", "key", base.alias("base")).join(_added(docs, rows), "key", "left").select("doc_id", "key", "base", F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"))
+    clear = F.filter(F.coalesce("added", none), lambda t: ~F.exists("base", lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"])))
+    return rows.select("doc_id", "key", base.alias("base")).join(_added(docs, rows), "key", "left").select("doc_id", "key", "base", F.array_sort(F.concat("base", clear)).alias("spans"))
 
 
 def _named(spans: str) -> Column:

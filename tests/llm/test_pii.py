@@ -59,6 +59,21 @@ def test_terms_that_reveal_an_entity_are_added(spark, awkward):
         assert [text[a:b] for a, b in terms] == (["nightjar"] if d >= 100 else [])
 
 
+def test_revealing_terms_go_wherever_they_stand(spark, awkward):
+    """Far from the entity, in documents without it, beside another one, but not inside a base span or a longer word."""
+    far = "plain " * 30
+    more = [(200, f"{far}Nightjar, alone. 😀 nightjar"), (201, f"nightjar other@place.net {far} nightjar"), (202, "nightjars nightjar@secret.org")]
+    docs = secret_corpus()
+    docs = [(d, f"{t} {far} nightjar" if d == 100 else t) for d, t in docs] + more
+    rows = {r.doc_id: r.spans for r in pii.report(awkward(docs)).collect()}
+    for d, text in docs:
+        terms = [tuple(map(int, s.split(":")[1:])) for s in rows[d].split(",") if s.startswith("term")]
+        want = [m.span() for m in re.finditer(r"\b[Nn]ightjar\b(?!@)", text)]
+        assert terms == want, (d, terms, want)
+    got = {r.doc_id: r.text for r in pii.sanitise(awkward(docs)).collect()}
+    assert [d for d, t in got.items() if re.search(r"\bnightjar\b", t, re.I)] == []
+
+
 def test_copies_of_one_context_reveal_nothing(spark, awkward):
     docs = [(i, f"filler{'x' * (i % 3)} nightjar agent@secret.org words") for i in range(0, 9, 3)] + [(50 + i, "plain words here") for i in range(30)]
     assert not any("term" in r.spans for r in pii.report(awkward(docs)).collect())
