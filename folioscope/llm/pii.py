@@ -3,8 +3,8 @@
 Protected entities are the values that the patterns find. Around each place of one, the letters within REACH code
 points are its context. Over the whole corpus, how strongly a term t reveals an entity e is measured by
     P(e | t) = n(t, e) / n(t)   and   PMI(t, e) = log2(n(t, e) N / (n(t) n(e))), as a share of e's information log2(N / n(e)),
-with n(t, e) and n(e) in distinct contexts (copies of a passage count once), n(t) and N in documents. Where both
-exceed their thresholds, with support from at least MIN_CONTEXTS contexts, the term is generalised wherever
+all four in distinct texts, so that copies of a document cancel: n(t, e) are the texts with the term in a context of the
+entity. Where both exceed their thresholds, with support from at least MIN_CONTEXTS distinct contexts, the term is generalised wherever
 it stands in the corpus: REACH bounds what counts as a context and not what is generalised.
 """
 
@@ -112,10 +112,10 @@ def _key() -> Column:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """doc_id, a key of the row's content, and its spans with contexts; saved, since four later steps read it."""
+    """doc_id, a key of the row's content and one of its text, and its spans with contexts; saved, since four later steps read it."""
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("key", _key()).withColumn("base", _spans(F.col("text")))
     spans = F.when(F.size("base") > 0, _with_context(F.col("text"), F.col("base"))).otherwise(F.expr(f"CAST(array() AS {_SPAN})"))
-    return saved(base.select("doc_id", "key", spans.alias("spans")))
+    return saved(base.select("doc_id", "key", F.xxhash64("text").alias("copy"), spans.alias("spans")))
 
 
 def _words(text: Column) -> Column:
@@ -124,15 +124,17 @@ def _words(text: Column) -> Column:
 
 
 def revealing(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """entity, term, chance P(e | t) and share PMI / IC of the pairs that exceed the thresholds."""
-    near = rows.select(F.explode("spans").alias("s")).select("s.entity", "s.context", F.explode_outer("s.terms.value").alias("term")).distinct()
-    entities = near.groupBy("entity").agg(F.count_distinct("context").alias("n_entity"))
-    pairs = near.where("term IS NOT NULL").groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_CONTEXTS)
-    terms = docs.select(F.explode(_words(F.coalesce(F.col("text"), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    n = docs.agg(F.count("*")).first()[0]
+    """entity, term, chance P(e | t) and share PMI / IC of the pairs that exceed the thresholds; copies of a text count once."""
+    near = rows.select("copy", F.explode("spans").alias("s")).select("copy", "s.entity", "s.context", F.explode_outer("s.terms.value").alias("term")).distinct()
+    entities = near.groupBy("entity").agg(F.count_distinct("copy").alias("n_entity"))
+    pairs = near.where("term IS NOT NULL").groupBy("entity", "term").agg(F.count_distinct("copy").alias("n_both"), F.count_distinct("context").alias("n_contexts")).where(F.col("n_contexts") >= MIN_CONTEXTS)
+    # Partial aggregation leaves a row of each text to a task, so a large group of copies weighs one row for each.
+    texts = docs.select(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("copy"), _words(F.coalesce(F.col("text"), F.lit(""))).alias("words")).groupBy("copy").agg(F.first("words").alias("words"))
+    terms = texts.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    n = rows.select("copy").distinct().count()
     joined = pairs.join(terms, "term").join(entities, "entity")
     pmi = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_term") * F.col("n_entity")))
-    joined = joined.select("entity", "term", (F.col("n_both") / F.col("n_term")).alias("chance"), (pmi / F.log2(F.lit(float(max(n, 2))) / F.col("n_entity"))).alias("share"))
+    joined = joined.select("entity", "term", (F.col("n_both") / F.col("n_term")).alias("chance"), F.try_divide(pmi, F.log2(F.lit(float(max(n, 2))) / F.col("n_entity"))).alias("share"))
     return joined.where((F.col("chance") >= MIN_CHANCE) & (F.col("share") >= MIN_SHARE))
 
 
@@ -197,8 +199,8 @@ def _named(spans: str) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """A row per document with the base counts, the digest of the base spans, and all spans.
 
-    A null or empty text has none; a null doc_id keeps its row; repeated rows each get their row and count as
-    documents, their contexts once. Columns besides doc_id and text aren't read.
+    A null or empty text has none; a null doc_id keeps its row; repeated rows each get their row, and
+    equal texts count once. Columns besides doc_id and text aren't read.
     """
 
     def count(rank: int) -> Column:

@@ -79,6 +79,21 @@ def test_copies_of_one_context_reveal_nothing(spark, awkward):
     assert not any("term" in r.spans for r in pii.report(awkward(docs)).collect())
 
 
+def test_copies_of_a_document_change_nothing(spark, awkward):
+    """The same pairs with the same measures, whether or not one document stands 1,001 times; no chance exceeds 1."""
+    docs = secret_corpus()
+    many = [(300, " ".join(f"w{'abcdefgh'[i]}rd heron agent@lake.org {'stone ' * 20}" for i in range(8)))]
+    copies = [(1000 + i, docs[-1][1]) for i in range(1000)]
+
+    def pairs(rows):
+        df = awkward(rows)
+        return sorted((r.entity, r.term, r.chance, r.share) for r in pii.revealing(df, pii.found(df)).collect())
+
+    once = pairs(docs + many)
+    assert once == pairs(docs + many + copies)
+    assert "nightjar" in {p[1] for p in once} and all(p[2] <= 1 for p in once)
+
+
 def test_sanitise(spark, awkward):
     docs = awkward([*secret_corpus(), (1, None), (2, "call +1 (017) 555-7713, 9.9.9.9"), (2, "call +1 (017) 555-7713, 9.9.9.9")], extra=("_x",))
     got = pii.sanitise(docs)
