@@ -22,6 +22,10 @@ def flattened(turns: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["line"]), "\n\n").alias("thread"), F.count("*").alias("turns"))
 
 
+#: Fixed value: clips that a user's history keeps.
+HISTORY_CAP = 500
+
+
 def latest(rows: DataFrame, key: str, at: str, tie: str, k: int) -> DataFrame:
     """The k newest rows of each key."""
     nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at), F.desc(tie)))

@@ -135,3 +135,10 @@ def clip_history_newest(spark, sf_dir):
     from folioscope.operators.similar import latest
 
     return latest(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 5).select("user_id", "event_id", "ts", F.col("nth").cast("long").alias("nth"))
+
+
+@query("""SELECT user_id, event_id, ts, nth FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth <= 500""")
+def clip_history_topk(spark, sf_dir):
+    from folioscope.operators.similar import HISTORY_CAP, latest
+
+    return latest(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", HISTORY_CAP).select("user_id", "event_id", "ts", F.col("nth").cast("long").alias("nth"))

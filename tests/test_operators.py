@@ -48,3 +48,13 @@ def test_violations_of_nothing(spark):
     articles = spark.createDataFrame([("a", "https://x.org/a", "T", ["ok"])], "slug string, url string, title string, tags array<string>")
     items = spark.createDataFrame([("c", "a")], "collection string, slug string")
     assert validate.violations(articles, items, spark.createDataFrame([("a",)], "slug string")).count() == 0
+
+
+def test_clip_history_keeps_500_for_each_user(spark, tmp_path):
+    """One of 501 events loses the oldest; shorter histories stay whole."""
+    from folioscope.plans.catalog import QUERIES
+
+    rows = spark.range(521).select(F.when(F.col("id") < 501, 1).otherwise(2).cast("long").alias("user_id"), F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id")).alias("ts"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["clip_history_topk"](spark, str(tmp_path)).collect()
+    assert sorted(r.event_id for r in got) == list(range(1, 521))
