@@ -58,6 +58,13 @@ def collection_order(spark, sf_dir):
     return top.select("id", F.row_number().over(Window.orderBy(*collections.order())).cast("long").alias("nth"))
 
 
+@query("""WITH c AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END AS updated_at FROM customer UNION ALL SELECT 'favorites', NULL)
+SELECT id, row_number() OVER (ORDER BY id <> 'favorites', updated_at DESC NULLS LAST, id) AS nth FROM c""")
+def collection_order_all(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.when(F.col("c_custkey") % 4 > 0, F.col("c_acctbal")).alias("updated_at"))
+    return collections.numbered(collections.with_favorites(c)).select("id", "nth")
+
+
 @query(f"""WITH {OPS} SELECT collection, slug, arg_max(action, ("at", seq)) AS action, max("at") AS "at" FROM ops GROUP BY collection, slug""")
 def effective_membership(spark, sf_dir):
     return collections.effective(ops(spark, sf_dir))

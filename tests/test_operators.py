@@ -58,3 +58,13 @@ def test_clip_history_keeps_500_for_each_user(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/events.parquet")
     got = QUERIES["clip_history_topk"](spark, str(tmp_path)).collect()
     assert sorted(r.event_id for r in got) == list(range(1, 521))
+
+
+def test_every_collection_is_numbered(spark):
+    """More than 50, with ties, missing times and favorites."""
+    c = spark.range(1000).select(F.concat(F.lit("c"), F.col("id")).alias("id"), F.when(F.col("id") % 3 > 0, F.timestamp_seconds(F.col("id") % 7)).alias("updated_at"))
+    rows = c.collect()
+    want = ["favorites", *(r.id for r in sorted(rows, key=lambda r: (r.updated_at is None, -r.updated_at.timestamp() if r.updated_at else 0, r.id)))]
+    got = sorted(collections.numbered(collections.with_favorites(c)).collect(), key=lambda r: r.nth)
+    assert [r.id for r in got] == want and [r.nth for r in got] == list(range(1, 1002))
+    assert collections.numbered(c.limit(0)).count() == 0
