@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import hashes, lower_ascii, mixed, short_batches, split_words, texts_of, word_codes
 from folioscope.llm.exchange import ASKED, answered, asked, in_chunks, met, packed, part_bounds, unpacked
 
-ORDER, PRIOR = 2, 8.0
+ORDER, PRIOR = 3, 8.0
 FOLDS, HELD_OUT = 5, 1
 #: Bytes of text for each chunk: its automaton takes some 50 bytes for each.
 CHUNK_TEXT = 4 << 20

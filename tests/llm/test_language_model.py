@@ -56,6 +56,16 @@ def test_matches_brute_force(spark, awkward):
         assert rows == brute(docs, order, 2.0)
 
 
+def test_the_query_scores_by_trigrams(spark, awkward, tmp_path):
+    from folioscope.llm.queries import QUERIES
+
+    docs = some_docs()
+    awkward(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op5_lm_scoring"](spark, str(tmp_path)).collect()
+    rows = sorted(((r[0], r[1], r[2], r[3], r[4], round(r[5], 6), round(r[6], 6)) for r in got), key=str)
+    assert rows == brute(docs, 3, lm.PRIOR)
+
+
 def test_sums_to_one(spark, awkward):
     """Over the known words, the end and one unknown word, after any history."""
     docs = [(i, "a b a c b a a") for i in range(4) if fold(i) != 1]
