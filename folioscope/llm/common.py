@@ -10,18 +10,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that Spark puts in one Arrow batch for the operators here: texts may be long, so batches stay short.
-ARROW_ROWS = 256
+#: Bytes that Spark puts in one Arrow batch for the operators here; a longer row is a batch of its own.
+ARROW_BYTES = 4 << 20
 #: Bytes of text that one numpy pass takes at once (a longer document is a pass of its own).
 CHUNK_BYTES = 1 << 21
 
 
 def short_batches(df: DataFrame) -> DataFrame:
-    """Lower the session's Arrow batch length, which counts rows and not bytes, before Python reads texts."""
+    """Bound the session's Arrow batches by bytes before Python reads texts (the plan reads the setting when it runs)."""
     conf = df.sparkSession.conf
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
-        conf.set(key, str(ARROW_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key).rstrip("b")) > ARROW_BYTES:
+        conf.set(key, f"{ARROW_BYTES}b")
     return df
 
 
@@ -121,6 +121,12 @@ def hashes(distinct: pa.Array, seed: int = 0) -> np.ndarray:
     return np.fromiter((digest(w, seed) for w in distinct.cast(pa.large_binary()).to_pylist()), dtype=np.uint64, count=len(distinct))
 
 
+def distinct_sorted(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order; sorting is much faster here than the hash table of np.unique."""
+    out = np.sort(x)
+    return out[np.concatenate(([True], out[1:] != out[:-1]))] if len(out) else out
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit (the finaliser of SplitMix64)."""
     x = x.astype(np.uint64, copy=True)

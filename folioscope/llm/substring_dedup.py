@@ -3,7 +3,8 @@
 A window is WINDOW consecutive words. Documents are joined on winnowed anchors: hashes of ANCHOR words of which each
 run of WINDOW - ANCHOR + 1 keeps the least, so equal windows keep an equal anchor at an equal place. Only anchors
 that occur twice are seeds. From a seed the match is extended both ways to every window around it; windows whose 128
-bits occur earlier elsewhere are matches, and their unions are the maximal repeats of at least WINDOW words.
+bits occur earlier elsewhere are matches (extension goes by listing the windows that a seed serves, each of which is
+compared whole, and not by growing pairs, so copies meet once each), and their unions are the maximal repeats of at least WINDOW words.
 Both joins send a hash once for each chunk of documents (see exchange), so no group of copies is ever paired up.
 """
 
@@ -12,8 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from folioscope.llm.common import covered, hashes, owners, short_batches, split_words, texts_of, window_hashes, word_codes
-from folioscope.llm.exchange import ANSWERED, ASKED, asked, flags_back, flags_of, in_chunks, met, part_bounds
+from folioscope.llm.common import covered, distinct_sorted, hashes, owners, split_words, texts_of, window_hashes, word_codes
+from folioscope.llm.exchange import ANSWERED, ASKED, Plan, asked, flags_back, flags_of, in_chunks, met, shared, shortened, unpacked_rows
 
 WINDOW, ANCHOR = 20, 10
 LAST = np.iinfo(np.int64).max
@@ -46,21 +47,14 @@ class Words:
         return least[new], np.cumsum(new) - 1
 
 
-def _anchors(parts: int, window: int, anchor: int):
-    def run(table: pa.Table) -> pa.Table:
-        kept, _ = Words(table, window).anchors(window, anchor)
-        return asked(table["chunk"][0].as_py(), parts, [np.unique(kept)])
+def _anchors(plan: Plan, window: int, anchor: int):
+    def run(rows: pa.Table) -> pa.Table:
+        kept, _ = Words(unpacked_rows(rows), window).anchors(window, anchor)
+        return asked(rows["chunk"][0].as_py(), plan.part_bits, [shortened(distinct_sorted(kept), plan.short_bits)[0]], plan.short_bits)
 
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Which anchors two chunks have."""
-    chunks, counts, (keys,) = met(table, [np.uint64])
-    _, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
-    return flags_back(table["part"][0].as_py(), chunks, counts, n[inverse] > 1)
-
-
 def _alike(first: np.ndarray, second: np.ndarray, docs: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order with equal windows together, the earliest first, and where each kind begins."""
     by = np.argsort(first, kind="stable")
@@ -74,12 +68,13 @@ def _alike(first: np.ndarray, second: np.ndarray, docs: np.ndarray, offset: np.n
     return by, fresh
 
 
-def _windows(words: Words, answers: pa.Table, parts: int, window: int, anchor: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def _windows(words: Words, answers: pa.Table, plan: Plan, window: int, anchor: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Windows around a seed by where they start, and the distinct ones: two hashes, first document and start."""
     kept, own = words.anchors(window, anchor)
     keys, inverse, times = np.unique(kept, return_inverse=True, return_counts=True)
+    short, one = shortened(keys, plan.short_bits)
     # An anchor that two places of one chunk have is a seed too.
-    seed = flags_of(answers, part_bounds(keys, parts)) | (times > 1)
+    seed = flags_of(answers, short, plan.part_bits, plan.short_bits)[one] | (times > 1)
     starts = words.starts[seed[inverse][own]] if len(own) else words.starts
     first = window_hashes(words.values, window)[starts] if len(starts) else np.zeros(0, np.uint64)
     second = window_hashes(words.values, window, 0xC2B2AE3D27D4EB4F)[starts] if len(starts) else first
@@ -89,13 +84,13 @@ def _windows(words: Words, answers: pa.Table, parts: int, window: int, anchor: i
     return starts, [first, second, docs, offset, by, fresh]
 
 
-def _extended(parts: int, window: int, anchor: int):
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        _, (first, second, docs, offset, by, fresh) = _windows(Words(table, window), answers, parts, window, anchor)
+def _extended(plan: Plan, window: int, anchor: int):
+    def run(_, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        _, (first, second, docs, offset, by, fresh) = _windows(Words(unpacked_rows(rows), window), answers, plan, window, anchor)
         lead = by[fresh]
-        return asked(table["chunk"][0].as_py(), parts, [first[lead], second[lead], docs[lead], offset[lead]])
+        return asked(rows["chunk"][0].as_py(), plan.part_bits, [first[lead], second[lead], docs[lead], offset[lead]])
 
-    return lambda _, table, answers: run(table, answers) if table.num_rows else asked(0, parts, [np.zeros(0, np.uint64)])
+    return run
 
 
 def _later(table: pa.Table) -> pa.Table:
@@ -108,13 +103,14 @@ def _later(table: pa.Table) -> pa.Table:
     return flags_back(table["part"][0].as_py(), chunks, counts, later)
 
 
-def _cut(parts: int, window: int, anchor: int):
-    def run(table: pa.Table, seeds: pa.Table, later: pa.Table) -> pa.Table:
-        words = Words(table, window)
-        starts, (first, _, docs, offset, by, fresh) = _windows(words, seeds, parts, window, anchor)
+def _cut(plan: Plan, window: int, anchor: int):
+    def run(_, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        seeds, later = (answers.filter(pc.equal(answers["step"], k)) for k in range(2))
+        words = Words(unpacked_rows(rows), window)
+        starts, (first, _, docs, offset, by, fresh) = _windows(words, seeds, plan, window, anchor)
         group = np.cumsum(fresh) - 1
         lead = by[fresh]
-        elsewhere = flags_of(later, part_bounds(first[lead], parts))
+        elsewhere = flags_of(later, first[lead], plan.part_bits)
         repeat = np.zeros(len(by), bool)
         repeat[by] = elsewhere[group] | (docs[by] != docs[lead][group]) | (offset[by] != offset[lead][group])
         gone = covered(starts[repeat], np.full(repeat.sum(), window), len(words.words))
@@ -150,17 +146,13 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     A word goes if a window over it has the same words as one that starts earlier (smaller doc_id, or the same
     document and an earlier start), judged on the input. A null doc_id comes after all others; rows with equal
     doc_id count as one document, so repeated rows are not earlier than each other. A null or empty text keeps
-    nothing and loses nothing. Columns besides doc_id and text aren't read.
+    nothing and loses nothing; a very long one is a chunk of its own. An empty table gives no rows. Columns besides doc_id and text aren't read.
     """
-    texts, _, parts = in_chunks(short_batches(docs), "doc_id", "text")
+    texts, plan = in_chunks(docs, "doc_id", "text")
     grouped = texts.groupBy("chunk")
-    seeds = grouped.applyInArrow(_anchors(parts, window, anchor), ASKED).groupBy("part").applyInArrow(_shared, ANSWERED)
-    sent = grouped.cogroup(seeds.groupBy("chunk")).applyInArrow(_extended(parts, window, anchor), ASKED)
-    later = sent.groupBy("part").applyInArrow(_later, ANSWERED)
+    asking = grouped.applyInArrow(_anchors(plan, window, anchor), ASKED)
+    seeds = plan.by(plan.by(asking, "part").groupBy("part").applyInArrow(shared, ANSWERED), "chunk")
+    sent = grouped.cogroup(seeds.groupBy("chunk")).applyInArrow(_extended(plan, window, anchor), ASKED)
+    later = plan.by(sent, "part").groupBy("part").applyInArrow(_later, ANSWERED)
     both = seeds.selectExpr("chunk", "part", "body", "0 AS step").union(later.selectExpr("chunk", "part", "body", "1 AS step"))
-    cut = _cut(parts, window, anchor)
-
-    def last(_, table: pa.Table, answers: pa.Table) -> pa.Table:
-        return cut(table, answers.filter(pc.equal(answers["step"], 0)), answers.filter(pc.equal(answers["step"], 1)))
-
-    return grouped.cogroup(both.groupBy("chunk")).applyInArrow(last, CUT)
+    return grouped.cogroup(plan.by(both, "chunk").groupBy("chunk")).applyInArrow(_cut(plan, window, anchor), CUT)
