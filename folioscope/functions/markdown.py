@@ -98,3 +98,21 @@ def with_lead(body: Column, dek: Column, picture: Column) -> Column:
     add_picture = add_picture & ~body.contains(F.coalesce(picture, F.lit("\0")))
     front = F.concat_ws("\n\n", F.when(add_dek, dek), F.when(add_picture, F.concat(F.lit("![]("), picture, F.lit(")"))))
     return F.when(front == "", F.struct(F.lit("unchanged").alias("kind"), body.alias("text"))).otherwise(F.struct(F.lit("merged").alias("kind"), F.concat(front, F.lit("\n\n"), body).alias("text")))
+
+
+def block_math(text: Column) -> Column:
+    """Display math on one line gets a line for each of its marks, outside of fenced code."""
+    parts = F.regexp_extract_all(text, F.lit(r"(?ms)^(?:```|~~~)[^\n]*\n.*?(?:^(?:```|~~~)[ \t]*$|\z)|(?:(?!^(?:```|~~~)).)+"), F.lit(0))
+    one = lambda p: F.when(p.rlike(r"^(?:```|~~~)"), p).otherwise(F.regexp_replace(p, r"(?m)^[ \t]*\$\$[ \t]*([^$\n]*[^$\s])[ \t]*\$\$[ \t]*$", "\\$\\$\n$1\n\\$\\$"))
+    return F.array_join(F.transform(parts, one), "")
+
+
+def front_length(text: Column) -> Column:
+    """Where a file's body begins after its front matter, in code points; null without any."""
+    return F.nullif(F.length(F.regexp_extract(text, r"(?s)\A---\r?\n(?:.*?\r?\n)?---(?:\r?\n|\z)", 0)), F.lit(0))
+
+
+def reader_view(blocks_: Column, translated: Column, failed: Column) -> Column:
+    """How a document is shown: single without a usable translation, paired where blocks align, else stacked."""
+    there = translated.isNotNull() & (F.size(translated) > 0) & ~F.coalesce(failed, F.lit(False))
+    return F.when(~F.coalesce(there, F.lit(False)), "single").when(F.size(alignment_errors(blocks_, translated)) == 0, "paired").otherwise("stacked")

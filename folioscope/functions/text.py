@@ -81,3 +81,13 @@ PASSING = (408, 425, 429)
 def is_settled_failure(status: Column) -> Column:
     """Whether asking again would be refused again."""
     return status.between(400, 499) & ~status.isin(*PASSING)
+
+
+def acceptable_title(title: Column, original: Column) -> Column:
+    """Whether a translated title is one: it has Han letters and isn't the original."""
+    return F.coalesce(title.rlike(r"\p{IsHan}") & (F.trim(title) != F.trim(F.coalesce(original, F.lit("")))), F.lit(False))
+
+
+def counted_label(n: Column, one: str, more: str) -> Column:
+    """A number with its noun."""
+    return F.concat(n.cast("string"), F.when(n == 1, F.lit(f" {one}")).otherwise(F.lit(f" {more}")))

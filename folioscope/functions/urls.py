@@ -103,3 +103,31 @@ def private_ipv4(host: Column) -> Column:
     """Whether a dotted address is in a range that isn't public."""
     ranges = r"^(?:0|10|127)\.|^169\.254\.|^172\.(?:1[6-9]|2[0-9]|3[01])\.|^192\.168\.|^192\.0\.[02]\.|^100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|^198\.(?:1[89]|51\.100)\.|^203\.0\.113\.|^(?:22[4-9]|2[34][0-9]|25[0-5])\."
     return host.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$") & host.rlike(ranges)
+
+
+def private_ipv6(host: Column) -> Column:
+    """Whether an IPv6 address, with or without brackets, isn't public: loopback, local, multicast, documentation, or a
+    private IPv4 address inside it."""
+    bare = F.lower(F.regexp_replace(host, r"^\[|\]$|%.*$", ""))
+    inner = F.regexp_extract(bare, r"^(?:::ffff:|64:ff9b::)(\d{1,3}(?:\.\d{1,3}){3})$", 1)
+    ranges = r"^(?:::1?$|(?:0{1,4}:){7}0{0,3}[01]$|f[cd][0-9a-f]{2}:|fe[89abcdef][0-9a-f]:|ff[0-9a-f]{2}:|2001:0?db8:|100::)"
+    return bare.contains(":") & (bare.rlike(ranges) | private_ipv4(inner))
+
+
+def same_page(a: Column, b: Column) -> Column:
+    """Whether two URLs have one normal form."""
+    return F.coalesce(normalize(a) == normalize(b), F.lit(False))
+
+
+def file_stem(url: Column) -> Column:
+    """The last segment of a path without its extension; '' where there is none."""
+    last = F.regexp_extract(F.regexp_replace(url, "[?#].*$", ""), "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*/(?:.*/)?([^/]+)/*$", 1)
+    plain = F.coalesce(F.try_url_decode(F.regexp_replace(last, r"\+", "%2B")), last)
+    return F.regexp_replace(plain, r"(?<=.)\.[A-Za-z0-9]{1,8}$", "")
+
+
+def placeholder_title(title: Column, url: Column) -> Column:
+    """Whether a title is none of its own: empty, the host, or the file's name."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1)), r"^www\.", "")
+    own = F.lower(F.trim(F.coalesce(title, F.lit(""))))
+    return (own == "") | (F.regexp_replace(own, r"^www\.", "") == host) | ((own == F.lower(file_stem(url))) & (own != ""))

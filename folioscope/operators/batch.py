@@ -56,3 +56,16 @@ def aligned(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     left = a.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "type"))), lambda x: x["type"]).alias("left"))
     right = b.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "type"))), lambda x: x["type"]).alias("right"))
     return left.join(right, key, "left").select(key, F.coalesce(F.col("left") == F.col("right"), F.lit(False)).alias("aligned"))
+
+
+def checkpoint_rows(files: DataFrame, version: int, target: str, model: str, stamp: str | None = None) -> DataFrame:
+    """key and value of the blocks in checkpoint files (slug, text: JSON) whose header is as wanted; others count as absent.
+
+    A file with a value that is no text is left out whole.
+    """
+    said = F.from_json("text", "version int, target string, model string, stamp string, blocks map<string,string>")
+    kinds = F.from_json("text", "blocks map<string,variant>")["blocks"]
+    rows = files.select("slug", said.alias("c"), kinds.alias("kinds"))
+    as_wanted = (F.col("c.version") == version) & (F.col("c.target") == target) & (F.col("c.model") == model) & F.col("c.stamp").eqNullSafe(F.lit(stamp))
+    texts = F.forall(F.map_values("kinds"), lambda v: F.schema_of_variant(v) == "STRING")
+    return rows.where(as_wanted & texts).select("slug", F.explode("c.blocks").alias("key", "value"))

@@ -101,3 +101,18 @@ def dangling(items: DataFrame, docs: DataFrame) -> DataFrame:
 
 def repeated(items: DataFrame) -> DataFrame:
     return items.groupBy("collection", "slug").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def refreshed(collections: DataFrame, ops: DataFrame) -> DataFrame:
+    """Collections (id, updated_at) with the later of their time and that of their latest edit: a late edit never sets it back."""
+    latest = ops.groupBy(F.col("collection").alias("id")).agg(F.max("at").alias("_latest"))
+    return collections.join(latest, "id", "left").withColumn("updated_at", F.greatest("updated_at", "_latest")).drop("_latest")
+
+
+def payload(slug: Column, member: Column, names: Column, version: int = 1) -> Column:
+    """What a page tells a script of its collections, as JSON that an HTML script element may hold."""
+    return F.replace(F.to_json(F.struct(F.lit(version).alias("v"), slug.alias("slug"), member.alias("member"), names.alias("collections"))), F.lit("<"), F.lit(r"\u003c"))
+
+
+def read_payload(text: Column) -> Column:
+    return F.from_json(text, "v int, slug string, member boolean, collections array<string>")

@@ -77,3 +77,20 @@ def short_links(slugs: DataFrame) -> DataFrame:
 def date_label(at: Column, year: int) -> Column:
     """Day and month, with the year unless it is this one."""
     return F.when(F.year(at) == year, F.date_format(at, "MM-dd")).otherwise(F.date_format(at, "yyyy-MM-dd"))
+
+
+def of_both_kinds(articles: DataFrame, sites: DataFrame) -> DataFrame:
+    """Articles and saved sites as one table with their kind; fields that one kind lacks are null."""
+    return articles.withColumn("kind", F.lit("article")).unionByName(sites.withColumn("kind", F.lit("site")), allowMissingColumns=True)
+
+
+def site_rows(sites: DataFrame) -> DataFrame:
+    """What a saved site's page shows (slug, url, title, title_zh, description, summary, note, preview): the translated texts first."""
+    return sites.select(
+        "slug",
+        "url",
+        F.coalesce(F.nullif(F.trim("title_zh"), F.lit("")), "title").alias("title"),
+        F.coalesce(F.nullif(F.trim("summary"), F.lit("")), "description").alias("description"),
+        "note",
+        F.when(F.col("preview").isNotNull(), F.concat(F.lit("/sites/"), "slug", F.lit("/"), F.regexp_replace("preview", r"^\./", ""))).alias("preview"),
+    )

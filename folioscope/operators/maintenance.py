@@ -43,3 +43,23 @@ def retag_buckets(articles: DataFrame, attempts: int) -> DataFrame:
     todo = articles.withColumn("settled", tags.settled(F.col("tags")))
     ranked = todo.where(~F.col("settled")).orderBy("slug").limit(attempts).select("slug", F.lit("tried").alias("bucket"))
     return todo.join(F.broadcast(ranked), "slug", "left").select("slug", F.coalesce("bucket", F.when(F.col("settled"), "settled").otherwise("remaining")).alias("bucket"))
+
+
+def title_buckets(articles: DataFrame) -> DataFrame:
+    """Each article's bucket of a backfill of titles (slug, lang, processed_at, title_zh)."""
+    bucket = (
+        F.when(F.col("processed_at").isNull(), "pending")
+        .when(F.col("lang") == "zh", "chinese")
+        .when(F.coalesce(F.trim("title_zh"), F.lit("")) != "", "there")
+        .otherwise("todo")
+    )
+    return articles.select("slug", bucket.alias("bucket"))
+
+
+def flushed(ops: DataFrame, docs: DataFrame, clipped: DataFrame, now, grace: str = "1 hour") -> DataFrame:
+    """What becomes of queued edits (slug, action, …): sent if the document is there or it is removed, deferred if it was
+    clipped within grace before now (clipped: slug, at), else refused."""
+    recent = clipped.where((F.col("at") > now - F.expr(f"INTERVAL {grace}")) & (F.col("at") <= now)).select("slug", F.lit(True).alias("_recent")).distinct()
+    joined = ops.join(docs.select("slug", F.lit(True).alias("_there")).distinct(), "slug", "left").join(recent, "slug", "left")
+    fate = F.when(F.col("_there") | (F.col("action") == "remove"), "sent").when(F.col("_recent"), "deferred").otherwise("refused")
+    return joined.withColumn("fate", fate).drop("_there", "_recent")

@@ -1,6 +1,6 @@
 """Layout of printed pages from positioned runs of text: furniture, body size, monospaced fonts, gutters."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Share of pages a running line stands on, lines looked at from each edge, a monospaced font's limits.
@@ -76,3 +76,11 @@ def to_markdown(runs: DataFrame) -> DataFrame:
     joined = blocks.groupBy("doc", "block").agg(F.first("kind").alias("kind"), text.alias("text"))
     shown = F.when(F.col("kind") == "heading", F.concat(F.lit("## "), F.col("text"))).when(F.col("kind") == "item", F.concat(F.lit("- "), F.regexp_replace("text", r"^(?:[-•*]|\d{1,3}[.)])\s+", ""))).otherwise(F.col("text"))
     return joined.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", shown.alias("t")))), lambda b: b["t"]), "\n\n").alias("markdown"))
+
+
+def distinct_sizes(sizes: Column, tolerance: float = 0.5) -> Column:
+    """Sizes from the largest down, without those within tolerance of the one kept before."""
+    start = F.expr("CAST(array() AS array<double>)")
+    ordered = F.sort_array(F.transform(sizes, lambda s: s.cast("double")), asc=False)
+    far = lambda kept, s: (F.size(kept) == 0) | (F.get(kept, F.size(kept) - 1) - s > tolerance)
+    return F.aggregate(ordered, start, lambda kept, s: F.when(far(kept, s), F.concat(kept, F.array(s))).otherwise(kept))

@@ -1,6 +1,6 @@
 """Terms of documents: groups by route, vocabularies and reports. A document is (slug, tags)."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import tags
@@ -62,3 +62,32 @@ def report(docs: DataFrame) -> DataFrame:
     known = vocabulary(docs).agg(F.count("*").alias("vocabulary"))
     one = F.lit(1)
     return docs_row.withColumn("k", one).join(terms.withColumn("k", one), "k").join(known.withColumn("k", one), "k").drop("k")
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """Terms by route with their number of articles and of sites; docs have slug, kind and tags."""
+    raw = docs.select("slug", "kind", F.explode(F.array_distinct(F.transform("tags", tags.slug))).alias("term"))
+    count = lambda kind: F.coalesce(F.sum((F.col("kind") == kind).cast("long")), F.lit(0)).alias(f"{kind}s")
+    return raw.groupBy("term").agg(count("article"), count("site"))
+
+
+def members(docs: DataFrame, at: str, size: int = 12) -> DataFrame:
+    """Each term's documents (slug, kind, tags, a time) by page, newest first: positions within days, whose sizes add up.
+
+    A term that a third of all documents have is a task for each day of it, and not one for the term.
+    """
+    raw = docs.select("slug", "kind", at, F.explode(F.array_distinct(F.transform("tags", tags.slug))).alias("term")).withColumn("_day", F.date_trunc("day", at))
+    days = raw.groupBy("term", "_day").agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("term").orderBy(F.desc_nulls_last("_day")).rowsBetween(Window.unboundedPreceding, -1))
+    nth = F.row_number().over(Window.partitionBy("term", "_day").orderBy(F.desc_nulls_last(at), "slug")) - 1
+    starts = days.select(F.col("term").alias("_term"), F.col("_day").alias("_of"), F.coalesce(earlier, F.lit(0)).alias("_before"))
+    placed = raw.withColumn("_nth", nth).join(starts, (F.col("term") == F.col("_term")) & F.col("_day").eqNullSafe(F.col("_of")))
+    position = F.col("_before") + F.col("_nth")
+    return placed.select("term", "slug", "kind", position.alias("position"), (F.floor(position / size) + 1).cast("long").alias("page"))
+
+
+def tally(rows: DataFrame, column: str) -> DataFrame:
+    """One row: the column's values with how often each stands, the most frequent first, as `value×n`."""
+    counts = rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).where("value IS NOT NULL")
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "value")))
+    return counts.agg(F.array_join(F.transform(ranked, lambda r: F.concat(r["value"], F.lit("×"), (-r["n"]).cast("string"))), ", ").alias("tally"))

@@ -65,3 +65,38 @@ def collection_problems(collections: DataFrame, items: DataFrame, docs: DataFram
         .when(F.col("hidden"), "cover unlisted")
     )
     return joined.select("id", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def alias_problems(aliases: DataFrame) -> DataFrame:
+    """What is unsound in a table of aliases (tag, target; a null target drops the tag): key and problem, one row for each.
+
+    twice: a key with two targets; itself: a target with the alias's own key; chain: a target that is an alias too;
+    spelling: targets with one key that are written in two ways.
+    """
+    rows = aliases.select("tag", "target", tags.key(F.col("tag")).alias("key"), tags.key(F.col("target")).alias("goal"))
+    per_key = rows.groupBy("key").agg(F.count_distinct(F.coalesce("target", F.lit(""))).alias("n")).where("n > 1")
+    leads_on = rows.where("goal <> key").join(rows.select(F.col("key").alias("goal")).distinct(), "goal", "left_semi")
+    spelled = rows.where("goal IS NOT NULL").groupBy("goal").agg(F.count_distinct("target").alias("n")).where("n > 1")
+    of = lambda df, key, problem: df.select(F.col(key).alias("key"), F.lit(problem).alias("problem")).distinct()
+    return reduce(DataFrame.unionByName, [of(per_key, "key", "twice"), of(rows.where("goal = key"), "key", "itself"), of(leads_on, "key", "chain"), of(spelled, "goal", "spelling")])
+
+
+def site_problems(sites: DataFrame, files: DataFrame, most_bytes: int) -> DataFrame:
+    """Rules over saved sites (slug, url, title, preview) and the files there are (slug, file, size): rule and slug."""
+    of = lambda rule, rows: rows.select(F.lit(rule).alias("rule"), "slug")
+    shown = sites.where("preview IS NOT NULL").select("slug", F.regexp_replace("preview", r"^\./", "").alias("file"))
+    there = shown.join(files, ["slug", "file"])
+    checks = [
+        of("title-empty", sites.where(F.coalesce(F.trim("title"), F.lit("")) == "")),
+        of("url-invalid", sites.where(~F.coalesce(F.col("url"), F.lit("")).rlike(r"^https?://[^/\s]+"))),
+        of("preview-name", shown.where(~F.col("file").rlike(r"^assets/[0-9a-f]{12}\.webp$"))),
+        of("preview-missing", shown.join(files, ["slug", "file"], "left_anti")),
+        of("preview-size", there.where((F.col("size") == 0) | (F.col("size") > most_bytes))),
+        of("translation", files.where("file = 'zh.md'").join(sites.select("slug"), "slug", "left_semi")),
+    ]
+    return reduce(DataFrame.unionByName, checks)
+
+
+def messages(problems: DataFrame, subject: str, problem: str) -> DataFrame:
+    """One row for each subject, its problems in order joined by `; `."""
+    return problems.groupBy(subject).agg(F.array_join(F.array_sort(F.collect_set(problem)), "; ").alias("message"))

@@ -53,6 +53,102 @@ def read(spark: SparkSession, root: str, kind: str = "articles") -> DataFrame:
     return main.join(named.where("file = 'zh.md'").select("slug", F.col("text").alias("zh_body")), "slug", "left")
 
 
+SITE = "url string, title string, domain string, clipped_at string, description string, preview string, note string, unlisted boolean, lang string, title_zh string, summary string, category string, tags array<string>, processed_at string, problem string, body string"
+COLLECTION = "title string, description string, cover string, created_at string, updated_at string, items array<struct<slug:string,added_at:string,section:string>>, problem string, body string"
+COLLECTION_ID = r"^[a-z0-9][a-z0-9-]{0,68}$"
+
+
+def loosely(text: str | None) -> tuple[str, dict[str, str] | None]:
+    """What a file's front matter is: none, unreadable, or ok with its plain fields as texts; nothing is required."""
+    match = FRONT.match(text or "")
+    if not match:
+        return "none", None
+    try:
+        data = yaml.load(match[1], Loader=yaml.BaseLoader)
+    except yaml.YAMLError:
+        return "unreadable", None
+    if not data:
+        return "none", None
+    return ("ok", {str(k): v for k, v in data.items() if isinstance(v, str)}) if isinstance(data, dict) else ("unreadable", None)
+
+
+def _shelf(text: str) -> dict:
+    """A collection's fields; items are in their order, those without a slug left out."""
+    match = FRONT.match(text)
+    kind, _ = loosely(text)
+    if kind != "ok":
+        return {"problem": "no front matter" if kind == "none" else "unreadable", "body": text}
+    data = yaml.load(match[1], Loader=yaml.BaseLoader)
+    listed = data.get("items") if isinstance(data.get("items"), list) else []
+    items = [{k: i.get(k) for k in ("slug", "added_at", "section")} for i in (x if isinstance(x, dict) else {"slug": x} for x in listed) if isinstance(i.get("slug"), str) and i["slug"]]
+    text_of = lambda k: data[k] if isinstance(data.get(k), str) and data[k] else None
+    return {k: text_of(k) for k in ("title", "description", "cover", "created_at", "updated_at")} | {"items": items, "problem": None if text_of("title") else "missing title", "body": text[match.end() :].lstrip("\n")}
+
+
+def _site(text: str) -> dict:
+    found = parsed(text)
+    match = FRONT.match(text)
+    data = yaml.load(match[1], Loader=yaml.BaseLoader) if match and not (found["problem"] or "").startswith("unreadable") else {}
+    more = data if isinstance(data, dict) else {}
+    return found | {k: more[k] if isinstance(more.get(k), str) and more[k] else None for k in ("description", "preview", "note")}
+
+
+def _table(files: DataFrame, key: str, schema: str, parse) -> DataFrame:
+    names = [f.split()[0] for f in re.split(r", (?=\w+ )", schema)]
+
+    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [parse(t) for t in part["text"]]
+            yield pd.DataFrame([{key: k} | {n: r.get(n) for n in names} for k, r in zip(part[key], rows)], columns=[key, *names]).astype(object)
+
+    return files.select(key, "text").mapInPandas(run, f"{key} string, {schema}")
+
+
+def _files(spark: SparkSession, pattern: str) -> DataFrame:
+    files = spark.read.format("text").option("wholetext", True).load(pattern)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def sites(spark: SparkSession, root: str) -> DataFrame:
+    """One row for each saved site: sites/<slug>/index.md."""
+    return _table(_files(spark, f"{root}/sites/*/index.md").withColumn("slug", F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1)), "slug", SITE, _site)
+
+
+def collections(spark: SparkSession, root: str) -> DataFrame:
+    """One row for each collection: collections/<id>.md; a file whose name is no id has that as its problem."""
+    rows = _table(_files(spark, f"{root}/collections/*.md").withColumn("id", F.regexp_extract("path", r"/([^/]+)\.md$", 1)), "id", COLLECTION, _shelf)
+    return rows.withColumn("problem", F.when(~F.col("id").rlike(COLLECTION_ID), "id").otherwise(F.col("problem")))
+
+
+def items(shelves: DataFrame) -> DataFrame:
+    """collection, pos, slug, added_at, section: a row for each member in its place."""
+    return good(shelves).select(F.col("id").alias("collection"), F.posexplode("items").alias("pos", "i")).select("collection", "pos", "i.slug", "i.added_at", "i.section")
+
+
+def loose(files: DataFrame) -> DataFrame:
+    """path, kind and fields of files (path, text), valid or not."""
+
+    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [loosely(t) for t in part["text"]]
+            yield pd.DataFrame({"path": part["path"], "kind": [k for k, _ in found], "fields": [f for _, f in found]})
+
+    return files.select("path", "text").mapInPandas(run, "path string, kind string, fields map<string,string>")
+
+
+def signatures(spark: SparkSession, root: str) -> DataFrame:
+    """path, time and size of every file below root; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return files.select("path", F.col("modificationTime").alias("at"), F.col("length").alias("size"))
+
+
+def changed(before: DataFrame, now: DataFrame) -> DataFrame:
+    """path and change (added, removed, changed) between two signatures: what must be read again."""
+    a, b = (df.select("path", F.struct("at", "size").alias(name)) for df, name in ((before, "old"), (now, "new")))
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")
+    return a.join(b, "path", "full").select("path", change.alias("change")).where("change IS NOT NULL")
+
+
 def good(docs: DataFrame) -> DataFrame:
     return docs.where("problem IS NULL")
 

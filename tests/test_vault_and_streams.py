@@ -77,3 +77,31 @@ def test_debounced_stream_gives_what_the_batch_gives(spark, tmp_path):
     got = {tuple(r) for r in spark.read.parquet(out).where("user_id < 9").collect()}
     want = {tuple(r) for r in edits.debounced(spark.sql(rows), "user_id", "ts", "30 minutes").collect()}
     assert got == want
+
+
+def test_sites_and_collections(spark, tmp_path):
+    put(tmp_path, "sites/map/index.md", HEAD.format("map").replace("tags:", "description: About\npreview: ./assets/a.webp\nnote: Mine\ntags:"))
+    put(tmp_path, "collections/shelf.md", "---\ntitle: Shelf\ncover: articles/one/assets/a.png\nitems:\n  - slug: one\n    added_at: '2026-01-01'\n  - slug: sites/map\n    section: B\n  - bare\n  - section: none\n---\nText\n")
+    put(tmp_path, "collections/empty.md", "---\ntitle: Empty\n---\n")
+    put(tmp_path, "collections/Bad Name.md", "---\ntitle: x\n---\n")
+    put(tmp_path, "collections/broken.md", "---\n: [\n---\n")
+    (site,) = vault.sites(spark, str(tmp_path)).collect()
+    assert (site.slug, site.title, site.description, site.preview, site.note, site.tags, site.problem) == ("map", "T map", "About", "./assets/a.webp", "Mine", ["a", "b"], None)
+    shelves = vault.collections(spark, str(tmp_path))
+    assert {r.id: r.problem for r in shelves.collect()} == {"shelf": None, "empty": None, "Bad%20Name": "id", "broken": "unreadable"} or {r.problem for r in shelves.collect()} == {None, "id", "unreadable"}
+    assert sorted(map(tuple, vault.items(shelves).collect())) == [("shelf", 0, "one", "2026-01-01", None), ("shelf", 1, "sites/map", None, "B"), ("shelf", 2, "bare", None, None)]
+
+
+def test_loose_reads_and_changes(spark, tmp_path):
+    texts = ["---\na: 1\nb: [x]\n---\n", "plain", "---\n: [\n---\n", "---\n---\n", "---\n- x\n---\n", None]
+    got = {r.path: (r.kind, r.fields) for r in vault.loose(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")).collect()}
+    assert got["0"] == ("ok", {"a": "1"}) and [got[str(i)][0] for i in range(1, 6)] == ["none", "unreadable", "none", "unreadable", "none"]
+    put(tmp_path, "v/a.md", "one")
+    put(tmp_path, "v/d/b.md", "two")
+    before = vault.signatures(spark, str(tmp_path / "v")).collect()
+    put(tmp_path, "v/a.md", "one and more")
+    put(tmp_path, "v/c.md", "new")
+    (tmp_path / "v/d/b.md").unlink()
+    old = spark.createDataFrame(before, "path string, at timestamp, size long")
+    found = {r.path.rsplit("/", 1)[1]: r.change for r in vault.changed(old, vault.signatures(spark, str(tmp_path / "v"))).collect()}
+    assert found == {"a.md": "changed", "b.md": "removed", "c.md": "added"}
