@@ -66,3 +66,45 @@ def test_empty(spark, awkward):
     assert decontamination.contamination(awkward([]), none).count() == 0
     (row,) = decontamination.contamination(awkward([(1, "some words")]), none).collect()
     assert (row.n_words, row.n_hit, row.contaminated) == (2, 0, False)
+
+
+def test_long_items_and_long_documents():
+    """An item of 100,000 words, its copy in a document and items that share a template, in memory in proportion."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    long = " ".join(rng.choice(words) for _ in range(100_000))
+    template = " ".join(rng.choice(words) for _ in range(14))
+    items = [(0, long)] + [(k, f"{template} {rng.choice(words)} {rng.choice(words)} x{k}") for k in range(1, 2001)]
+    texts = [long, f"{template} y " * 2000, "nothing here"]
+    tracemalloc.start()
+    found = decontamination.found_in(pa.table({"doc_id": [1, 2, 3], "text": texts}), decontamination.TestSet(items, 10), 10, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 600 << 20
+    n_hit = [sum(s["end"] - s["start"] for s in spans) for spans in found["hits"].to_pylist()]
+    assert n_hit == [100_000, 28_000, 0] and [len(x) for x in found["items"].to_pylist()] == [1, 2000, 0]
+    lengths = found["match_lengths"].to_pylist()
+    assert lengths[0] == [100_000 - i for i in range(99_991)] and max(lengths[1]) == 14
+
+
+def test_longest_match_against_every_item(spark, awkward):
+    rng = random.Random(9)
+    some = lambda n: [rng.choice("abcd") for _ in range(n)]
+    items = [(k, " ".join(some(rng.choice([4, 15, 40])))) for k in range(30)]
+    docs = [(k, " ".join(some(300) + (items[k][1].split() if k < 10 else []))) for k in range(15)]
+    got = {r.doc_id: r for r in decontamination.matches(awkward(docs), spark.createDataFrame(items, "item_id long, text string"), 8).collect()}
+    for d, text in docs:
+        w, best = text.split(), {}
+        for _, item in items:
+            v = item.split()
+            k = min(8, len(v))
+            for i in range(len(v) - k + 1):
+                for p in range(len(w) - k + 1):
+                    if w[p : p + k] == v[i : i + k]:
+                        n = next((n for n in range(k, min(len(v) - i, len(w) - p)) if v[i + n] != w[p + n]), min(len(v) - i, len(w) - p))
+                        best[p] = max(best.get(p, 0), n)
+        assert dict(zip(got[d].match_words, got[d].match_lengths)) == best
