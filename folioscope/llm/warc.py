@@ -2,8 +2,10 @@
 
 Writers put a partition's records into monolithic gzip files, as crawlers without seekable output do. The normaliser
 inflates such a file once, from front to back in bounded memory, rewrites every record as a gzip member of its own,
-and writes a sidecar index of offsets. Readers go by the index, so one record is one seek and one small inflate.
-Files are named after their content's partition and appear by a rename, so a task that runs twice leaves one file.
+and writes a sidecar index of offsets. Readers go by the sidecar, so one record is one seek and one small inflate.
+Every attempt of a task writes files of its own name, and only those that its committed result names are read: a task
+that runs twice, or beside a twin, in whatever order of rows, never mixes its bytes with another's offsets. Files of
+attempts that failed stay in the folder until it is removed.
 """
 
 import base64
@@ -24,10 +26,14 @@ from folioscope.llm.common import saved, shared_dir, short_batches
 
 #: Uncompressed bytes after which a writer begins another file.
 FILE_BYTES = 128 << 20
-_READ = 1 << 18
+_READ, _INFLATED = 1 << 18, 1 << 20
+#: Records of an archive that are read in one go.
+RANGE = 1000
+#: Bytes of archives for each task that reads.
+TASK_BYTES = 32 << 20
 _LEVEL = 2
 _EPOCH = "1970-01-01T00:00:00Z"
-INDEX = "file string, offset long, length long, record_id string, kind string"
+RANGES = "file string, start long, length long, records long, bytes long"
 
 
 def payload_digest(payload: bytes) -> str:
@@ -94,14 +100,15 @@ class Parser:
 
 
 def inflated(file) -> Iterator[bytes]:
-    """The content of a gzip file, of one member or more, in portions."""
+    """The content of a gzip file, of one member or more, in portions of at most _INFLATED bytes but for the last."""
     member = zlib.decompressobj(31)
     while data := file.read(_READ):
         while data:
-            yield member.decompress(data)
-            data = member.unused_data
+            yield member.decompress(data, _INFLATED)
             if member.eof:
-                member = zlib.decompressobj(31)
+                data, member = member.unused_data, zlib.decompressobj(31)
+            else:
+                data = member.unconsumed_tail
     yield member.flush()
 
 
@@ -185,7 +192,7 @@ def normalise(folder: Folder, source: str, target: str) -> Iterator[tuple[str, i
                 member = _gzip(record.body())
                 end = file.write(member)
                 row = (target, at, end - at, record.headers["WARC-Record-ID"], record.headers["WARC-Type"])
-                index.write(("\t".join(map(str, row[1:])) + "\n").encode())
+                index.write(_line(row[1:]))
                 yield row
                 at = end
         parser.close()
@@ -224,57 +231,75 @@ def planned(pages: DataFrame) -> DataFrame:
     return keyed.join(least, ["sha1", "size"]).select("page_id", "url", "payload", "first", (~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
 
 
+def _ranges(index: Iterator[tuple[str, int, int, str, str]], most: int = RANGE) -> Iterator[tuple[str, int, int, int, int]]:
+    """Where runs of RANGE records lie in the sidecar: file, start and length there, records, and their bytes."""
+    file, start, length, records, size = None, 0, 0, 0, 0
+    for file, *row in index:
+        length, records, size = length + len(_line(row)), records + 1, size + row[1]
+        if records == most:
+            yield file, start, length, records, size
+            start, length, records, size = start + length, 0, 0, 0
+    if records:
+        yield file, start, length, records, size
+
+
+def _line(row: Iterable[object]) -> bytes:
+    return ("\t".join(map(str, row)) + "\n").encode()
+
+
 def write_archives(pages: DataFrame, uri: str) -> DataFrame:
-    """Write the pages to normalised archives under uri; returns the offset index, a row for each record."""
+    """Write the pages to normalised archives under uri; returns the runs of their sidecars (RANGES).
+
+    Its rows must be saved before they are read twice: computing them again writes other files.
+    """
     folder = Folder(uri)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task = TaskContext.get().partitionId()
+        own = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         rows = (row for batch in batches for row in zip(*(batch[k].to_pylist() for k in ("page_id", "url", "payload", "first", "revisit"))))
         row, n = next(rows, None), 0
         while row is not None:
-            name = f"part-{task:06d}-{n:04d}.warc.gz"
+            name = f"{own}-{n:04d}.warc.gz"
 
             def records() -> Iterator[Record]:
                 nonlocal row
                 size = 0
                 while row is not None and size < FILE_BYTES:
                     page_id, url, payload, first, revisit = row
-                    size += len(payload)
-                    yield page_record(page_id, url, payload, payload_digest(payload), first, revisit)
+                    record = page_record(page_id, url, payload, payload_digest(payload), first, revisit)
+                    size += len(record.head()) + len(record.block)
+                    yield record
                     row = next(rows, None)
 
-            whole = f"whole/{TaskContext.get().taskAttemptId()}-{name}"
-            write_monolithic(folder, whole, records())
-            index = list(zip(*normalise(folder, whole, f"records/{name}")))
-            folder.remove(whole)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(index, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["file", "offset", "length", "record_id", "kind"])
+            write_monolithic(folder, f"whole/{name}", records())
+            for found in _ranges(normalise(folder, f"whole/{name}", f"records/{name}")):
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in found], ["file", "start", "length", "records", "bytes"])
+            folder.remove(f"whole/{name}")
             n += 1
 
-    return short_batches(planned(pages)).mapInArrow(run, INDEX)
+    return short_batches(planned(pages)).mapInArrow(run, RANGES)
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read_archives(index: DataFrame, uri: str) -> DataFrame:
-    """Each record of the index, read by its offset."""
+def read_archives(ranges: DataFrame, uri: str) -> DataFrame:
+    """Each record of the ranges, read by the offset that its sidecar tells."""
     folder = Folder(uri)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, file = None, None
         for batch in batches:
-            found = []
-            for own, offset, length in zip(*(batch[k].to_pylist() for k in ("file", "offset", "length"))):
-                if own != name:
-                    name, file = own, folder.read_at(own)
-                found.append(_page_result(read_record(file, offset, length)))
-            if found:
+            for name, start, length in zip(*(batch[k].to_pylist() for k in ("file", "start", "length"))):
+                lines = folder.read_at(f"{name}.idx").read_at(length, start).decode().splitlines()
+                file = folder.read_at(name)
+                found = [_page_result(read_record(file, *map(int, line.split("\t")[:2]))) for line in lines]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return index.mapInArrow(run, READ)
+    tasks = -(-(ranges.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES)
+    cores = ranges.sparkSession.sparkContext.defaultParallelism
+    return ranges.repartition(max(tasks, cores), "file", "start").mapInArrow(run, READ)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

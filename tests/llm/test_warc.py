@@ -59,3 +59,31 @@ def test_a_cut_archive_is_an_error(tmp_path):
 
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_a_task_that_runs_twice_in_another_order(spark, tmp_path, monkeypatch):
+    """Each attempt's own result reads its own files; small files and ranges make several of each."""
+    from folioscope.llm.common import saved
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 5000)
+    pages = [(i, "u", f"<p>{i % 40}</p>" * (i % 30)) for i in range(150)] + [(900 + i, "u", "") for i in range(40)]
+    uri = f"file://{tmp_path}"
+    orders = [pages, pages[::-1]]
+    ranges = [saved(warc.write_archives(spark.createDataFrame([(*p, "x", 1) for p in rows], PAGES).coalesce(1), uri)) for rows in orders]
+    for own in ranges:
+        assert own.count() > 5 and sorted(map(tuple, warc.read_archives(own, uri).collect()), key=str) == brute(pages)
+
+
+def test_well_compressed_input_comes_in_portions():
+    data = gzip.compress(b"\0" * 50_000_000) + gzip.compress(b"end")
+    sizes = [len(x) for x in warc.inflated(io.BytesIO(data))]
+    assert sum(sizes) == 50_000_003 and max(sizes) <= 1 << 20
+
+
+def test_ranges_cover_the_sidecar(tmp_path):
+    folder = warc.Folder(f"file://{tmp_path}")
+    warc.write_monolithic(folder, "a", (warc.page_record(i, "u", b"x" * i, "D", i, False) for i in range(20)))
+    ranges = list(warc._ranges(warc.normalise(folder, "a", "b"), 7))
+    lines = [(tmp_path / "b.idx").read_bytes()[start : start + length].decode().splitlines() for _, start, length, _, _ in ranges]
+    assert [len(x) for x in lines] == [7, 7, 6] == [r[3] for r in ranges] and sum(lines, []) == (tmp_path / "b.idx").read_text().splitlines()
+    assert sum(r[4] for r in ranges) == (tmp_path / "b").stat().st_size
