@@ -4,7 +4,8 @@ Fingerprints that differ in at most RADIUS of 64 bits agree on at least B - RADI
 fingerprint is sent once for each choice of so many blocks; those that agree on a choice meet, and the Hamming
 distance decides. B grows with the number of distinct fingerprints so that chance meetings stay rare; every B finds
 the same links. Equal fingerprints are one class from the start, and where many meet, only a spanning tree of the
-links leaves the task, so copies are never expanded into pairs.
+links leaves the task, so copies are never expanded into pairs. A class is named by its least doc_id, so the least
+name of a component is the answer. Joins on a star's centre are inner joins, which adaptive execution splits.
 """
 
 from collections.abc import Iterable, Iterator
@@ -21,6 +22,8 @@ from folioscope.llm.common import lower_ascii, saved, short_batches, split_words
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 BITS = 64
+#: Names a class without any doc_id; it comes after all others.
+_LAST = (1 << 63) - 1
 
 
 def shingle_hashes(texts: pa.Array, size: int = SHINGLE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -75,66 +78,98 @@ def block_masks(n: int, radius: int = RADIUS) -> list[int]:
     return [m - (1 << BITS) if m >= 1 << (BITS - 1) else m for m in masks]
 
 
+#: So many fingerprints of one key are searched at once; more are split by blocks of the bits in which they differ.
+_FEW = 1024
+
+
 def spanning_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links from each component's least fingerprint to its others, by breadth-first search over what is left."""
-    out, left = [], np.sort(fps)
+    """Links, by place, that join the fingerprints within radius to the same components as all of them would."""
+    differ = np.bitwise_or.reduce(fps ^ fps[0]).view(np.uint64) if len(fps) else np.uint64(0)
+    bits = [k for k in range(BITS) if int(differ) >> k & 1]
+    if len(fps) <= _FEW or len(bits) <= radius + 1:
+        return _searched(fps, radius)
+    out = []
+    for k in range(radius + 1):
+        mask = sum(1 << bit for bit in bits[k * len(bits) // (radius + 1) : (k + 1) * len(bits) // (radius + 1)])
+        keys = fps.view(np.uint64) & np.uint64(mask)
+        by = np.argsort(keys, kind="stable")
+        starts = np.append(np.flatnonzero(np.concatenate(([True], keys[by[1:]] != keys[by[:-1]]))), len(by))
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            if b > a + 1:
+                own = by[a:b]
+                found = spanning_links(fps[own], radius) if b - a < 0.75 * len(fps) else _searched(fps[own], radius)
+                out += [(own[x], own[y]) for x, y in found]
+    return out
+
+
+def _searched(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Breadth-first search over what is left; only what lies as far from the root as a neighbour can is looked at."""
+    out, left = [], np.arange(len(fps))
     while len(left) > 1:
-        root, left, frontier = left[0], left[1:], [left[0]]
+        root, left = left[0], left[1:]
+        far = np.bitwise_count((fps[left] ^ fps[root]).view(np.uint64)).astype(np.int64)
+        by = np.argsort(far, kind="stable")
+        left, far = left[by], far[by]
+        frontier = [(root, 0)]
         while frontier and len(left):
-            near = np.bitwise_count((left ^ frontier.pop()).view(np.uint64)) <= radius
-            if near.any():
-                found, left = left[near], left[~near]
-                frontier.extend(found)
-                out.append((np.full(len(found), root), found))
+            at, distance = frontier.pop()
+            a, b = np.searchsorted(far, (distance - radius, distance + radius + 1))
+            near = a + np.flatnonzero(np.bitwise_count((fps[left[a:b]] ^ fps[at]).view(np.uint64)) <= radius)
+            if len(near):
+                out.append((np.full(len(near), root), left[near]))
+                frontier += zip(left[near].tolist(), far[near].tolist())
+                left, far = np.delete(left, near), np.delete(far, near)
     return out
 
 
 def _linked(radius: int):
-    """Links among the fingerprints of each key; a key's rows come one after the other."""
+    """Links among the classes of each key (rows of choice, key, fp and name); a key's rows come one after the other."""
 
-    def links(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))) if len(keys) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(starts, len(keys)))
+    def links(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        fps = np.ascontiguousarray(rows[:, 2])
+        starts = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))) if len(rows) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, len(rows)))
         two = starts[sizes == 2]
         near = np.bitwise_count((fps[two] ^ fps[two + 1]).view(np.uint64)) <= radius
-        found = [(fps[two[near]], fps[two[near] + 1])]
+        found = [(two[near], two[near] + 1)]
         for a, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            found += spanning_links(fps[a : a + n], radius)
+            found += [(a + x, a + y) for x, y in spanning_links(fps[a : a + n], radius)]
         a, b = (np.concatenate([f[k] for f in found]) for k in range(2))
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            swap = (rows[a, 3] > rows[b, 3]) | ((rows[a, 3] == rows[b, 3]) & (rows[a, 2] > rows[b, 2]))
+            ends = [rows[np.where(swap, x, y)] for x, y in ((b, a), (a, b))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, k])) for e in ends for k in (3, 2)], ["a_name", "a_fp", "b_name", "b_fp"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps, held = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), []
+        rows, held = np.zeros((0, 4), np.int64), []
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) >= 1 << 16:
-                keys, fps = _joined(keys, fps, held)
-                held = []
-                whole = np.flatnonzero((keys != keys[-1]).any(axis=1))
+            if sum(b.num_rows for b in held) >= max(1 << 16, len(rows)):
+                rows, held = _joined(rows, held), []
+                whole = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
                 cut = int(whole[-1]) + 1 if len(whole) else 0
-                yield from links(keys[:cut], fps[:cut])
-                keys, fps = keys[cut:], fps[cut:]
-        yield from links(*_joined(keys, fps, held))
+                yield from links(rows[:cut])
+                rows = rows[cut:]
+        yield from links(_joined(rows, held))
 
     return run
 
 
-def _joined(keys: np.ndarray, fps: np.ndarray, held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+def _joined(rows: np.ndarray, held: list[pa.RecordBatch]) -> np.ndarray:
     if not held:
-        return keys, fps
+        return rows
     table = pa.Table.from_batches(held)
-    new = np.stack([table["choice"].to_numpy().astype(np.int64), table["key"].to_numpy()], 1)
-    return np.concatenate([keys, new]), np.concatenate([fps, table["fp"].to_numpy()])
+    return np.concatenate([rows, np.stack([table[k].to_numpy().astype(np.int64) for k in ("choice", "key", "fp", "name")], 1)])
 
 
 def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links a < b that join all distinct fingerprints within radius (column fp) to the same components."""
+    """Links a < b that join all classes (distinct fp, and name) within radius to the same components; a and b are (name, fp)."""
     masks = block_masks(classes.count(), radius)
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)]))
-    met = classes.select("fp", keys.alias("k")).select("k.choice", "k.key", "fp")
+    met = classes.select("fp", "name", keys.alias("k")).select("k.choice", "k.key", "fp", "name")
     met = met.repartition("choice", "key").sortWithinPartitions("choice", "key")
-    return met.mapInArrow(_linked(radius), "a long, b long").distinct()
+    found = met.mapInArrow(_linked(radius), "a_name long, a_fp long, b_name long, b_fp long")
+    return found.select(*[F.struct(F.col(f"{k}_name").alias("name"), F.col(f"{k}_fp").alias("fp")).alias(k) for k in "ab"]).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -164,13 +199,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Texts without words, null ones too, have fingerprint zero and are linked like any other. A null doc_id keeps its
     row and never names a component unless all of its component's are null. Repeated rows each get their row.
-    Columns besides doc_id and text aren't read.
+    A very long text is worked on alone. An empty table gives no rows. Columns besides doc_id and text aren't read.
     """
     fps = saved(fingerprints(docs))
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    rooted = classes.join(components(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = rooted.join(named, "root").select("fp", "component_id")
+    classes = saved(fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(_LAST)).alias("name")))
+    rooted = components(links(classes, radius)).select(F.col("node.fp").alias("fp"), F.col("root.name").alias("root"))
+    of_class = classes.join(rooted, "fp", "left").select("fp", F.nullif(F.coalesce("root", "name"), F.lit(_LAST)).alias("component_id"))
     return fps.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -84,3 +84,46 @@ def test_keep_one(spark, awkward):
 
 def test_empty(spark, awkward):
     assert simhash.near_duplicates(awkward([])).count() == 0
+
+
+def test_spanning_links_of_large_groups():
+    """A dense cluster, a chain and strangers under one key: the same components as all pairs have, few links."""
+    import numpy as np
+
+    rng = random.Random(6)
+    centre, fps = rng.getrandbits(48), set()
+    for _ in range(2500):
+        x = centre
+        for b in rng.sample(range(40), rng.randrange(9)):
+            x ^= 1 << b
+        fps.add(x)
+    x = rng.getrandbits(40)
+    for _ in range(300):
+        for b in rng.sample(range(40), 3):
+            x ^= 1 << b
+        fps.add(x)
+    fps |= {rng.getrandbits(48) for _ in range(2000)}
+    values = np.array(sorted(fps, key=lambda v: rng.random()), np.uint64).view(np.int64)
+
+    def roots(pairs):
+        root = list(range(len(values)))
+
+        def find(i):
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return [find(i) for i in range(len(values))]
+
+    every = ((i, int(j)) for i in range(len(values)) for j in np.flatnonzero(np.bitwise_count((values ^ values[i]).view(np.uint64)) <= 4))
+    found = [(int(a), int(b)) for x, y in simhash.spanning_links(values) for a, b in zip(x, y)]
+    assert roots(found) == roots(every) and len(found) < 8 * len(values)
+
+
+def test_repeated_doc_ids_with_other_texts_stay_apart(spark, awkward):
+    docs = [(1, "alpha beta gamma delta " * 3), (1, "entirely different words stand over here now"), (2, "alpha beta gamma delta " * 3), (None, "lonely nameless text of no number")]
+    assert sorted(map(tuple, simhash.near_duplicates(awkward(docs)).collect()), key=str) == brute(docs)
