@@ -91,7 +91,7 @@ def is_image_only(block: Column) -> Column:
 
 def with_lead(body: Column, dek: Column, picture: Column) -> Column:
     """struct<kind, text>: the body with a missing opening sentence or picture in front; unchanged if both are there."""
-    start = F.lower(F.regexp_replace(F.substring(plain_text(body), 1, 2000), r"[^\p{L}\p{N}]+", ""))
+    start = F.lower(F.regexp_replace(plain_text(body), r"[^\p{L}\p{N}]+", ""))
     wanted = F.lower(F.regexp_replace(F.coalesce(dek, F.lit("")), r"[^\p{L}\p{N}]+", ""))
     add_dek = (wanted != "") & (F.instr(start, wanted) == 0)
     add_picture = F.coalesce(picture, F.lit("")) != ""

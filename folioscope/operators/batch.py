@@ -1,8 +1,8 @@
 """Incremental batches: what is pending, what fits a budget, packs of blocks, runs of failures, caches."""
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,29 +11,42 @@ def pending(docs: DataFrame, done: DataFrame, key: str = "slug") -> DataFrame:
     return docs.join(done.select(key), key, "left_anti")
 
 
-def within_budget(docs: DataFrame, cost: str, order: list, group: str, budget: float) -> DataFrame:
-    """Documents of each group in order until their cost would exceed the budget."""
-    so_far = F.sum(cost).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return docs.withColumn("so_far", so_far).withColumn("fits", F.col("so_far") <= budget)
+def within_budget(docs: DataFrame, cost: str, order: list, group: str, budget: float, bucket: Column | None = None) -> DataFrame:
+    """Documents of each group in order until their cost would exceed the budget.
+
+    bucket never falls along the order: costs are summed up by bucket first, so a group that a third of all documents
+    have is a task for each bucket. Without one, a group is one task.
+    """
+    step = docs.withColumn("_bucket", F.lit(0) if bucket is None else bucket)
+    sums = step.groupBy(group, "_bucket").agg(F.sum(cost).alias("_sum"))
+    earlier = F.sum("_sum").over(Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select(F.col(group).alias("_group"), F.col("_bucket").alias("_of"), F.coalesce(earlier, F.lit(0)).alias("_before"))
+    inside = F.sum(cost).over(Window.partitionBy(group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    placed = step.withColumn("_inside", inside).join(starts, F.col(group).eqNullSafe(F.col("_group")) & F.col("_bucket").eqNullSafe(F.col("_of")))
+    so_far = F.col("_before") + F.col("_inside")
+    return placed.withColumn("so_far", so_far).withColumn("fits", so_far <= budget).drop("_bucket", "_group", "_of", "_before", "_inside")
 
 
 def packed(blocks: DataFrame, key: str, limit: int) -> DataFrame:
     """Blocks (key, pos, size) with the number of their batch: a new one where the next block would not fit.
 
-    Each document's blocks are one fold, in order, in the task that has the document.
+    Blocks come to a task sorted by document and place, and are folded as they pass; no document is held.
     """
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            part = part.sort_values("pos")
-            batch, held, numbers = 0, 0, []
-            for size in part["size"]:
-                if held and held + size > limit:
-                    batch, held = batch + 1, 0
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, number, held = object(), 0, 0
+        for batch in batches:
+            numbers = []
+            for at, size in zip(batch[key].to_pylist(), batch["size"].to_pylist()):
+                if at != own:
+                    own, number, held = at, 0, 0
+                elif held + size > limit and held:
+                    number, held = number + 1, 0
                 held += size
-                numbers.append(batch)
-            yield part.assign(batch=numbers)[[key, "pos", "size", "batch"]]
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], [*batch.schema.names, "batch"])
 
-    return blocks.select(key, "pos", "size").groupBy(key).applyInPandas(lambda p: next(fold(iter([p]))), f"{key} long, pos long, size long, batch long")
+    rows = blocks.select(F.col(key).cast("long"), F.col("pos").cast("long"), F.col("size").cast("long"))
+    return rows.repartition(key).sortWithinPartitions(key, "pos").mapInArrow(fold, f"{key} long, pos long, size long, batch long")
 
 
 def failure_runs(events: DataFrame, group: str, order: list, failed: Column, trip: int = 3) -> DataFrame:

@@ -20,9 +20,9 @@ def bm25(docs: DataFrame, query: str) -> DataFrame:
     """Documents with one of the query's terms and their score; only the terms asked for leave the scan."""
     asked = sorted({w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()})
     words = docs.select("doc_id", tokens(F.col("text")).alias("w")).withColumn("length", F.size("w"))
-    n, mean = words.agg(F.count("*"), F.avg("length")).first()
+    whole = words.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).withColumn("k", F.lit(1))
     hits = words.select("doc_id", "length", F.explode(F.filter("w", lambda w: w.isin(asked))).alias("term")).groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
+    df = hits.groupBy("term").agg(F.count("*").alias("df")).withColumn("k", F.lit(1)).join(F.broadcast(whole), "k")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return hits.join(F.broadcast(df), "term").groupBy("doc_id").agg(F.sum(part).alias("score"))

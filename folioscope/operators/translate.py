@@ -29,7 +29,7 @@ def translated(blocks: DataFrame, cache: DataFrame, chat: Callable[[list[str]],
         for part in parts:
             yield pd.DataFrame({"key": part["key"], "value": chat(list(part["masked"]))})
 
-    known = cache.select("key", "value").unionByName(misses.mapInPandas(ask, "key string, value string"))
+    known = cache.select("key", "value").dropDuplicates(["key"]).unionByName(misses.mapInPandas(ask, "key string, value string"))
     joined = masks.join(known, "key", "left")
     restored = repair.unmasked(F.col("value"), F.col("spans"))
     return joined.select("doc_id", "pos", "type", "text", F.when(F.col("type").isin(*VERBATIM), F.col("text")).otherwise(F.coalesce(restored, F.col("text"))).alias("translation"), (~F.col("type").isin(*VERBATIM) & restored.isNull()).alias("failed"))

@@ -93,7 +93,9 @@ def html_headings(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(html.headings(F.col("html")), "|").alias("headings"))
 
 
-@query()
+@query(r"""WITH pieces AS (SELECT page_id, i, regexp_extract(ps[i], '(?is)^(.*?)(?:</p>|</div>|</article>|</body>|\z)', 1) AS p FROM (SELECT page_id, string_split(html, '<p>') AS ps FROM pages), unnest(range(2, len(ps) + 1)) AS u(i)),
+plain AS (SELECT page_id, i, trim(regexp_replace(replace(replace(regexp_replace(p, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '[ \t\r\n\f]+', ' ', 'g')) AS text FROM pieces)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, text FROM plain WHERE text <> ''""")
 def html_paragraphs(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(html.paragraphs(F.col("html"))).alias("pos", "text"))
 
@@ -103,12 +105,17 @@ def clip_markdown(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"), html.to_markdown(F.col("html")).alias("markdown"))
 
 
-@query()
+_BLOCKS = r"""parts AS (SELECT doc_id, i - 1 AS pos, ps[i] AS b FROM (SELECT doc_id, regexp_extract_all(text, '(?m)^[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)*') AS ps FROM documents), unnest(range(1, len(ps) + 1)) AS u(i)),
+blocks AS (SELECT doc_id, pos, regexp_replace(b, '\s+\z', '') AS text, CASE WHEN regexp_matches(b, '\A#{1,6}\s') OR regexp_matches(b, '\A[^\n]+\n(?:=+|-+)[ \t]*\z') THEN 'heading' WHEN regexp_matches(b, '\A {0,3}(?:[-*_][ \t]*){3,}\z') THEN 'thematicBreak'
+  WHEN regexp_matches(b, '\A {0,3}>') THEN 'blockquote' WHEN regexp_matches(b, '\A {0,3}(?:[-*+]|\d{1,9}[.)])\s') THEN 'list' WHEN regexp_matches(b, '\A {0,3}\$\$') THEN 'math' WHEN regexp_matches(b, '\A {0,3}<[A-Za-z!/]') THEN 'html' ELSE 'paragraph' END AS type FROM parts)"""
+
+
+@query(f"WITH {_BLOCKS} SELECT doc_id, pos, type, text FROM blocks")
 def block_table(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.explode(markdown.blocks(F.col("text"))).alias("b")).select("doc_id", "b.pos", "b.type", "b.text")
 
 
-@query()
+@query(f"WITH {_BLOCKS} SELECT type, count(*) AS n FROM blocks GROUP BY type")
 def block_counts(spark, sf_dir):
     blocks = _docs(spark, sf_dir).select(F.explode(markdown.blocks(F.col("text"))).alias("b"))
     return blocks.groupBy("b.type").agg(F.count("*").alias("n"))

@@ -16,7 +16,7 @@ def pending_cheapest_first(spark, sf_dir):
 @query("""SELECT source, doc_id, CAST(so_far AS BIGINT) AS so_far, so_far <= 20000 AS fits FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) AS so_far FROM documents)""")
 def budget_prefix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return batch.within_budget(docs, "n_chars", [F.col("n_chars"), F.col("doc_id")], "source", 20000).select("source", "doc_id", "so_far", "fits")
+    return batch.within_budget(docs, "n_chars", [F.col("n_chars"), F.col("doc_id")], "source", 20000, F.floor(F.col("n_chars") / 64)).select("source", "doc_id", "so_far", "fits")
 
 
 @query("""WITH RECURSIVE turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn AS pos, length(text) AS size FROM conversations),
