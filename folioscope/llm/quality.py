@@ -1,8 +1,10 @@
 """Quality rules from repetition inside a document, found with suffix arrays.
 
 Each task builds one suffix array over the words of a chunk of whole documents (documents never compare with each
-other), takes the longest common prefixes of neighbouring suffixes, reads maximal repeated substrings off the
-LCP intervals, unions their spans, and limits the covered share of words and the longest repeat. No shuffle.
+other), takes the longest common prefixes of neighbouring suffixes, and forms their LCP intervals. An interval whose
+suffixes don't all follow the same word is a maximal repeated substring. Its spans are unioned, and the covered share
+of words and the longest repeat are limited. The union needs the deepest interval of each suffix only: what a
+shallower one covers, or one that could grow to the left, a maximal repeat covers as well. No shuffle.
 """
 
 from collections.abc import Iterable, Iterator
@@ -13,7 +15,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from folioscope.llm.common import covered, owners, short_batches, split_words, text_chunks, texts_of, word_codes
+from folioscope.llm.common import covered, mixed, owners, short_batches, split_words, text_chunks, texts_of, word_codes
+
+#: Words of common prefixes that are compared one by one; longer ones go by hashes of runs.
+_PLAIN = 16
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -47,10 +53,10 @@ def suffix_array(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     fresh[1:] = key[order[1:]] != key[order[:-1]]
     rank = np.full(n + 1, -1, np.int64)
     rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    levels, h = [rank], 1
-    tied = ~fresh
+    tied, h = ~fresh, 1
     tied[:-1] |= ~fresh[1:]
     slots = np.flatnonzero(tied)
+    del tied, key
     while len(slots):
         at = order[slots]
         further = np.where(at + h < end[at], rank[np.minimum(at + h, n)] + 1, 0)
@@ -60,30 +66,73 @@ def suffix_array(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
         order[slots] = at
         new = np.ones(len(at), bool)
         new[1:] = (group[1:] != group[:-1]) | (further[1:] != further[:-1])
-        rank = rank.copy()
         rank[at] = np.maximum.accumulate(np.where(new, slots, 0))
-        levels.append(rank)
         h *= 2
         tied = ~new
         tied[:-1] |= ~new[1:]
         slots = slots[tied]
     lcp = np.zeros(n, np.int64)
     at = np.flatnonzero(~fresh)
-    a, b = order[at - 1], order[at]
-    for level in range(len(levels) - 1, -1, -1):
-        same = (a < n) & (b < n)
-        same &= levels[level][np.minimum(a, n)] == levels[level][np.minimum(b, n)]
-        step = same.astype(np.int64) << level
-        a, b = a + step, b + step
-    lcp[at] = b - order[at]
+    lcp[at] = common_prefixes(codes, end, order[at - 1], order[at])
     return order, lcp
 
 
-def longest_repeats(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """For each word, how many words from it on occur again in its text: the depth of its suffix's LCP interval."""
-    order, lcp = suffix_array(codes, bounds)
-    out = np.zeros(len(codes), np.int64)
-    out[order] = np.maximum(lcp, np.append(lcp[1:], 0))
+def common_prefixes(codes: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words agree from a and from b on, inside their text."""
+    most = np.minimum(end[a] - a, end[b] - b)
+    low, live = np.zeros(len(a), np.int64), np.arange(len(a))
+    for k in range(_PLAIN):
+        live = live[most[live] > k]
+        live = live[codes[a[live] + k] == codes[b[live] + k]]
+        low[live] = k + 1
+    if len(live):
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(codes), _BASE))), dtype=np.uint64)
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(codes.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)))
+            x, y, got, high = a[live], b[live], low[live], most[live]
+            while (got < high).any():
+                middle = (got + high + 1) // 2
+                same = (sums[x + middle] - sums[x]) * powers[y] == (sums[y + middle] - sums[y]) * powers[x]
+                got, high = np.where(same, middle, got), np.where(same, high, middle - 1)
+        low[live] = got
+    return low
+
+
+def maximal_repeats(codes: np.ndarray, bounds: np.ndarray, order: np.ndarray, lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """The LCP intervals of at least `least` words that no word to the left extends: words, first and last slot."""
+    first = np.zeros(len(codes), bool)
+    first[bounds[:-1][np.diff(bounds) > 0]] = True
+    before = np.where(first, -1 - np.arange(len(codes)), np.roll(codes, 1))[order]
+    change = np.cumsum(np.concatenate(([0], before[1:] != before[:-1])))
+    deep = np.flatnonzero(lcp >= least)
+    found: list[tuple[int, int, int]] = []
+    stack: list[tuple[int, int]] = []
+
+    def close(below: int, last: int) -> int:
+        """Intervals deeper than below end at the slot last; where the one that goes on begins."""
+        begin = last
+        while stack and stack[-1][0] > below:
+            depth, begin = stack.pop()
+            if change[last] > change[begin]:
+                found.append((depth, begin, last))
+        return begin
+
+    previous = -2
+    for slot, depth in zip(deep.tolist(), lcp[deep].tolist()):
+        if slot != previous + 1:
+            close(0, previous)
+        begin = close(depth, slot - 1)
+        if not stack or stack[-1][0] < depth:
+            stack.append((depth, begin))
+        previous = slot
+    close(0, previous)
+    return found
+
+
+def longest_repeats(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each word, how many words from it on occur again in its text: the depth of its suffix's deepest interval."""
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.maximum(lcp, np.append(lcp[1:], 0)) if len(order) else 0
     return out
 
 
@@ -121,17 +170,19 @@ def measured(table: pa.Table, limits: Limits) -> pa.RecordBatch:
     n_words = np.diff(bounds)
     codes, distinct = word_codes(words)
     chars = pc.utf8_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
-    far = longest_repeats(codes, bounds) if len(codes) else np.zeros(0, np.int64)
+    order, lcp = suffix_array(codes, bounds)
+    far = longest_repeats(order, lcp)
     owner = owners(bounds)
 
     windows = np.flatnonzero(far >= limits.window)
     n_repeat = per_text(covered(windows, np.full(len(windows), limits.window), len(codes)), bounds)
     starts = np.flatnonzero(far >= limits.min_repeat)
     n_covered = per_text(covered(starts, far[starts], len(codes)), bounds)
-    before = np.where(starts > bounds[owner[starts]], far[starts - 1], 0)
-    n_maximal = np.bincount(owner[starts[before <= far[starts]]], minlength=len(texts))
-    longest = np.zeros(len(texts), np.int64)
-    np.maximum.at(longest, owner[starts], far[starts])
+    longest, n_maximal = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    for depth, slot, _ in maximal_repeats(codes, bounds, order, lcp, limits.min_repeat):
+        doc = owner[order[slot]]
+        longest[doc] = max(longest[doc], depth)
+        n_maximal[doc] += 1
 
     word_chars, n_symbols = per_text(chars[codes], bounds), symbols(texts)
     failed = (n_words < limits.min_words) | (100 * n_repeat > limits.max_window_percent * n_words)
@@ -145,7 +196,7 @@ def repetition(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row per document with its counts and the verdict.
 
     A null or empty text has no words and fails the base rules; a null doc_id stays null; equal rows each get a row;
-    an empty table gives no rows; columns besides doc_id and text aren't read, whatever their names.
+    an empty table gives no rows; a very long text is worked on alone, in memory in proportion to it; columns besides doc_id and text aren't read, whatever their names.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,3 +83,41 @@ def test_suffix_array_of_long_runs():
 
 def test_empty(spark, awkward):
     assert quality.repetition(awkward([])).count() == 0
+
+
+def maximal_by_brute_force(words, least):
+    """Repeated runs of words that every longer run around them occurs less often than."""
+    places = {}
+    for i in range(len(words)):
+        for j in range(i + 1, len(words) + 1):
+            places.setdefault(tuple(words[i:j]), []).append(i)
+    n = 0
+    for run, at in places.items():
+        if len(at) > 1 and len(run) >= least:
+            right = {words[i + len(run)] if i + len(run) < len(words) else ("end",) for i in at}
+            left = {words[i - 1] if i else ("start",) for i in at}
+            n += len(right) > 1 and len(left) > 1
+    return n
+
+
+def test_maximal_repeats_match_brute_force():
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abc"[: rng.choice([1, 2, 3])]) for _ in range(rng.choice([0, 1, 5, 30]))) for _ in range(80)]
+    for least in (1, 3):
+        limits = quality.Limits(min_repeat=least)
+        got = quality.measured(pa.table({"doc_id": range(len(texts)), "text": texts}), limits)["n_maximal_repeats"].to_pylist()
+        assert got == [maximal_by_brute_force(t.split(), least) for t in texts]
+
+
+def test_a_text_of_50_megabytes_takes_memory_in_proportion():
+    import tracemalloc
+
+    rng = random.Random(3)
+    prose = " ".join(map(str, rng.choices(range(100_000, 1_000_000), k=6_500_000)))
+    text = pa.table({"doc_id": [1, 2], "text": [prose + " # " + "word " * 500_000, "x"]})
+    tracemalloc.start()
+    row = quality.measured(text, quality.Limits()).to_pylist()[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (row["n_words"], row["n_symbols"], row["longest_repeat"], row["kept"]) == (7_000_001, 1, 499_999, False)
+    assert peak < 1500 << 20
