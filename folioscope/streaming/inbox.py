@@ -28,11 +28,14 @@ def drained(notes: DataFrame, articles: DataFrame) -> DataFrame:
     return linked.where("slug IS NOT NULL").dropDuplicates(["slug"]).join(articles.select("slug"), "slug", "left_anti")
 
 
-def start(spark: SparkSession, inbox: str, articles: str, checkpoint: str):
-    """A stream that appends each batch's new documents to the articles' table."""
+def start(spark: SparkSession, inbox: str, articles: str, checkpoint: str, most_files: int = 1000, remove: bool = False):
+    """A stream that appends each batch's new documents to the articles' table, most_files notes at a time.
+
+    remove deletes notes after the batch that read them is done. A batch that runs again finds its documents there.
+    """
     def append(batch: DataFrame, _: int) -> None:
         known = spark.read.schema("slug string, url string").parquet(articles)
         drained(batch, known).write.mode("append").parquet(articles)
 
-    notes = spark.readStream.format("text").option("wholetext", True).load(inbox).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    notes = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", most_files).option("cleanSource", "delete" if remove else "off").load(inbox).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return notes.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
