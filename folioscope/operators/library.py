@@ -56,10 +56,20 @@ def status(processed_at: Column, lang: Column, failed: Column, has_translation:
     return F.when(processed_at.isNull(), "pending").when(lang == "zh", "zh-original").when(has_translation & ~F.coalesce(failed, F.lit(False)), "translated").otherwise("untranslated")
 
 
-def neighbours(docs: DataFrame, at: str, key: str, within: str) -> DataFrame:
-    """The newer and older document of each one in its group."""
-    order = Window.partitionBy(within).orderBy(*newest(docs, at, key))
-    return docs.withColumn("newer", F.lag(key).over(order)).withColumn("older", F.lead(key).over(order))
+def neighbours(docs: DataFrame, at: str, key: str, within: str, bucket: str = "day") -> DataFrame:
+    """The newer and older document of each one in its group.
+
+    They are looked up within days; a day's ends get theirs from the days beside it, a row for each group and day.
+    """
+    dated = docs.withColumn("_day", F.date_trunc(bucket, F.col(at)))
+    place = F.struct((-F.unix_micros(F.col(at).cast("timestamp"))).alias("at"), F.col(key).alias("key"))
+    ends = dated.groupBy(F.col(within).alias("_within"), F.col("_day").alias("_of")).agg(F.min_by(key, place).alias("_first"), F.max_by(key, place).alias("_last"))
+    days = Window.partitionBy("_within").orderBy(F.desc_nulls_last("_of"))
+    beside = ends.select("_within", "_of", F.lag("_last").over(days).alias("_newer"), F.lead("_first").over(days).alias("_older"))
+    order = Window.partitionBy(within, "_day").orderBy(*newest(docs, at, key))
+    inside = dated.withColumn("newer", F.lag(key).over(order)).withColumn("older", F.lead(key).over(order))
+    joined = inside.join(beside, F.col(within).eqNullSafe(F.col("_within")) & F.col("_day").eqNullSafe(F.col("_of")))
+    return joined.withColumn("newer", F.coalesce("newer", "_newer")).withColumn("older", F.coalesce("older", "_older")).drop("_day", "_within", "_of", "_newer", "_older")
 
 
 def feed(docs: DataFrame, at: str, key: str, size: int = FEED_SIZE) -> DataFrame:
