@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from folioscope.functions import markdown, text, urls
-from folioscope.operators import batch, clip, collections, library, maintenance, pdf, terms, validate
+from folioscope.operators import batch, clip, collections, document, library, maintenance, pdf, terms, validate
 from folioscope.plans.registry import query
 from folioscope.plans.tables import TAGGED, table, tagged
 
@@ -208,3 +208,18 @@ def private_ipv6_addresses(spark, sf_dir):
     k = F.col("n_nationkey").cast("string")
     hosts = F.array(F.lit("::1"), F.lit("[fd12:3456::1]"), F.lit("fe80::1%eth0"), F.lit("2606:4700::1111"), F.concat(F.lit("::ffff:10.0.0."), k), F.concat(F.lit("::ffff:8.8.8."), k), F.concat(F.lit("2001:db8::"), k), F.lit("ff02::1"), F.lit("example.org"))
     return table(spark, sf_dir, "nation").select(F.explode(hosts).alias("host")).select("host", urls.private_ipv6(F.col("host")).alias("private"))
+
+
+@query(r"""SELECT doc_id, i - 1 AS pos, ['heading', 'list', 'code', 'blockquote', 'paragraph', 'table'][i] AS type,
+  ['# H' || doc_id, '- a' || chr(10) || chr(10) || '  b' || chr(10) || '- c', '````' || chr(10) || chr(10) || '```' || chr(10) || source || chr(10) || '````', '> q' || chr(10) || 'lazy ' || lang,
+   'see [it](https://x.org/' || doc_id || ') and [no][none]', '| k | v |' || chr(10) || '| - | - |' || chr(10) || '| 1 | ' || doc_id || ' |'][i] AS text
+  FROM documents, unnest(range(1, 7)) AS u(i)""")
+def document_blocks(spark, sf_dir):
+    """Loose lists, longer fences, lazy quotes, tables, and reference links inlined."""
+    n = F.col("doc_id").cast("string")
+    body = F.concat(
+        F.lit("# H"), n, F.lit("\n- a\n\n  b\n- c\n\n````\n\n```\n"), F.col("source"), F.lit("\n````\n> q\nlazy "), F.col("lang"),
+        F.lit("\n\n[Ref  One]: <https://x.org/"), n, F.lit(">\nsee [it][ref one] and [no][none]\n\n\n| k | v |\n| - | - |\n| 1 | "), n, F.lit(" |\n"),
+    )
+    rows = document.with_links_inlined(document.blocks(table(spark, sf_dir, "documents").select("doc_id", body.alias("text"))))
+    return rows.select("doc_id", F.when(F.col("pos") > 4, F.col("pos") - 1).otherwise(F.col("pos")).alias("pos"), "type", "text")
