@@ -1,7 +1,8 @@
 """Shards of near-equal bytes by a k-d tree over document metadata, with built-in functions only.
 
 Each node of the tree is cut along its widest dimension (size, language, source or place in the table, each scaled
-to its range in the whole table) at the weighted median, until a leaf is a shard. A median is found by histograms:
+to its range in the whole table; names lie in alphabetical order, by the letters after those that all share) at the
+weighted median, until a leaf is a shard. A median is found by histograms:
 all nodes of a level count bytes in BINS bins of their key range at once, keep the bin that holds the median, and
 look into it again until it holds next to nothing. The driver sees one row a node and pass. Equal texts are one unit
 of weight and stay in one shard, but for those that outweigh WHOLE_GROUP of a shard; their rows are units each.
@@ -20,6 +21,8 @@ BINS = 4096
 WHOLE_GROUP = 0.05
 #: A median's bin may hold this share of a shard.
 CLOSE = 0.0005
+#: Bytes of a name that place it.
+NAME_BYTES = 6
 #: Rows of a shard that are numbered in one go.
 SLOT_ROWS = 50_000
 DIMENSIONS = ("by_size", "by_lang", "by_source", "by_place")
@@ -51,11 +54,20 @@ def _units(rows: DataFrame) -> DataFrame:
     """A row for each unit: weight, a tie-breaker, and a 62-bit key in each dimension."""
     ends = rows.agg(*[F.coalesce(f(c), F.lit(0)).cast("double") for c in ("size", "doc_id") for f in (F.min, F.max)]).first()
     kept = rows.groupBy("unit").agg(F.sum("size").alias("weight"), F.min("size").alias("size"), F.min("lang").alias("lang"), F.min("source").alias("source"), F.min("doc_id").alias("doc_id"))
-    name = lambda c: _scaled(F.crc32(F.col(c).cast("binary")).cast("double"), 0.0, float(1 << 32))
+    names = rows.agg(*[f(c) for c in ("lang", "source") for f in (F.min, F.max)]).first()
+
+    def name(c: str, low: str | None, high: str | None) -> Column:
+        """By the NAME_BYTES that follow what all names begin with, scaled between the first name and the last."""
+        ends_ = [(x or "").encode() for x in (low, high)]
+        common = next((i for i, (a, b) in enumerate(zip(*ends_)) if a != b), min(map(len, ends_)))
+        number = lambda x: float(int.from_bytes(x[common : common + NAME_BYTES].ljust(NAME_BYTES, b"\0"), "big"))
+        own = F.rpad(F.hex(F.substring(F.col(c).cast("binary"), common + 1, NAME_BYTES)), 2 * NAME_BYTES, "0")
+        return _scaled(F.conv(own, 16, 10).cast("double"), *map(number, ends_))
+
     places = {
         "by_size": _scaled(F.log2(F.col("size").cast("double")), *map(_log2, ends[:2])),
-        "by_lang": name("lang"),
-        "by_source": name("source"),
+        "by_lang": name("lang", *names[:2]),
+        "by_source": name("source", *names[2:]),
         "by_place": _scaled(F.coalesce(F.col("doc_id").cast("double"), F.lit(ends[2])), ends[2], ends[3]),
     }
     tie = F.col("unit").bitwiseAND(F.lit((1 << 31) - 1))
@@ -128,7 +140,7 @@ def shards(docs: DataFrame, n: int = SHARDS) -> DataFrame:
 
     A null text weighs one byte like an empty one; null lang and source count as ''; a null doc_id lies where the
     least does. Repeated rows are equal texts. grown_shard is null: only the law `key` has it. An empty table gives no
-    rows. Columns besides doc_id, text, lang and source aren't read.
+    rows; of a very long text only its length and hashes travel. Columns besides doc_id, text, lang and source aren't read.
     """
     rows = _metadata(docs)
     target = (rows.agg(F.sum("size")).first()[0] or 0) / n

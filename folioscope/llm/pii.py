@@ -1,13 +1,18 @@
 """Personal data: patterns find it, and terms that reveal it are found by information theory. Built-in functions only.
 
-Protected entities are the values that the patterns find. Around each place of one, the letters within REACH code
-points are its context. Over the whole corpus, how strongly a term t reveals an entity e is measured by
+Protected entities are the values that the patterns find. Terms are whole runs of letters and digits, of any length,
+that no found span touches; those within REACH code points of an entity's place are its context. Over the whole corpus, how strongly a term t reveals an entity e is measured by
     P(e | t) = n(t, e) / n(t)   and   PMI(t, e) = log2(n(t, e) N / (n(t) n(e))), as a share of e's information log2(N / n(e)),
 all four in distinct texts, so that copies of a document cancel: n(t, e) are the texts with the term in a context of the
 entity. Where both exceed their thresholds, with support from at least MIN_CONTEXTS distinct contexts, the term is generalised wherever
 it stands in the corpus: REACH bounds what counts as a context and not what is generalised.
+
+Time is in proportion to a text's length: positions are running sums taken by blocks of an array, and pieces of a text
+are cut from blocks of it and not from its start.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,26 +29,88 @@ PATTERNS = (
 )
 _SIGNS = ("[@]", r"[0-9]\.[0-9]", "[0-9]", r"\+[0-9]")
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-REACH, SHORTEST_TERM = 64, 4
+REACH = 64
 MIN_CONTEXTS, MIN_CHANCE, MIN_SHARE = 2, 0.5, 0.5
-#: Bits of the filter that goes to every task, whatever the number of terms.
-MASK_BITS = 1 << 17
-_SPAN = "array<struct<start:int,rank:int,end:int,entity:bigint,context:bigint,terms:array<struct<start:int,end:int,value:string>>>>"
+#: Bits of the filter that goes to every task, whatever the number of terms (a power of two of 20 bits at most).
+MASK_BITS = 1 << 20
+#: Stands for each code point of a span where terms are looked for.
+_FILL = "\x01"
+_RUN = r"[\p{L}\p{N}\p{M}]"
+#: A whole run that no span touches, in a text whose spans are filled.
+TERM = rf"(?<![\x01\p{{L}}\p{{N}}\p{{M}}]){_RUN}++(?!\x01)"
+#: Code points of a block of text.
+_BLOCK = 4096
+_SPAN = "array<struct<start:int,rank:int,end:int,entity:bigint,context:bigint,terms:array<string>>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body's value, with the given one worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array of numbers from 0, all up to it joined (a sum, the greatest)."""
+
+    def last(a: Column) -> Column:
+        return F.coalesce(F.get(a, F.size(a) - 1), F.lit(0))
+
+    def run(v: Column, start: Column, step: Column) -> Column:
+        # Elements are got one by one: a slice would copy the whole array first.
+        places = F.sequence(start, F.least(F.size(v), start + step) - 1)
+        return F.aggregate(places, F.expr("CAST(array() AS array<int>)"), lambda a, i: F.concat(a, F.array(join(last(a), F.get(v, i)))))
+
+    def of(v: Column) -> Column:
+        # Growing arrays are copied; blocks of this length keep the copies of a block and those of the blocks' ends few.
+        step = F.greatest(F.ceil(F.cbrt(2.0 * F.size(v))).cast("int"), F.lit(1))
+        blocks = _let(step, lambda k: F.transform(F.sequence(F.lit(0), F.size(v) - 1, k), lambda start: run(v, start, k)))
+        return F.when(F.size(v) > 0, blocks).otherwise(F.expr("CAST(array() AS array<array<int>>)"))
+
+    def carried(blocks: Column) -> Column:
+        before = F.aggregate(blocks, F.array(F.lit(0)), lambda a, block: F.concat(a, F.array(join(last(a), last(block)))))
+        return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda block, c: F.transform(block, lambda x: join(c, x))))
+
+    return _let(values, lambda v: _let(of(v), carried))
 
 
 def _matches(text: Column, pattern: str) -> Column:
     """Each match's start and end, in code points from 0, and its text."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.greatest(F.size(found), F.lit(0)))
-    pairs = F.arrays_zip(between.alias("gap"), found.alias("value"))
-    none = F.expr("named_struct('at', 0, 'out', CAST(array() AS array<struct<start:int,end:int,value:string>>))")
 
-    def add(done: Column, x: Column) -> Column:
-        start = done["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(done["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+    def placed(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        ends = _running(F.zip_with(gaps, found, lambda gap, value: F.length(gap) + F.length(value)), lambda a, b: a + b)
+        return F.zip_with(found, ends, lambda value, end: F.struct((end - F.length(value)).alias("start"), end.alias("end"), value.alias("value")))
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+
+
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+
+
+def _cut(blocks: Column, start: Column, length: Column) -> Column:
+    """So many code points from a place on."""
+    first = F.floor(start / _BLOCK).cast("int")
+    last = F.floor((start + length) / _BLOCK).cast("int")
+    return F.substring(F.array_join(F.transform(F.sequence(first, last), lambda k: F.get(blocks, k)), ""), start - first * _BLOCK + 1, length)
+
+
+def _rewritten(text: Column, spans: Column, put: Callable[[Column, Column], Column]) -> Column:
+    """The text with put(span, end of those before) in place of spans, which are in order and may overlap."""
+
+    def joined(blocks: Column, ends: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            return _let(F.coalesce(F.get(ends, i - 1), F.lit(0)), lambda at: F.concat(_cut(blocks, at, F.greatest(s["start"] - at, F.lit(0))), put(s, at)))
+
+        tail = _let(F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0)), lambda at: _cut(blocks, at, F.greatest(F.length(text) - at, F.lit(0))))
+        return F.concat(F.array_join(F.transform(spans, piece), ""), tail)
+
+    ends = _running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    return _let(_blocks(text), lambda blocks: _let(ends, lambda e: joined(blocks, e)))
+
 
-    return F.aggregate(pairs, none, add, lambda done: done["out"])
+def _filled(text: Column, spans: Column) -> Column:
+    """The text with each code point of a span as _FILL."""
+    return F.when(F.size(spans) > 0, _rewritten(text, spans, lambda s, at: F.repeat(F.lit(_FILL), F.greatest(s["end"] - F.greatest(s["start"], at), F.lit(0))))).otherwise(text)
 
 
 def _luhn(value: Column) -> Column:
@@ -68,21 +135,15 @@ def _valid(rank: int, value: Column) -> Column:
     return F.lit(True)
 
 
-def _terms(text: Column, start: Column, end: Column) -> Column:
-    """Runs of letters in the text near a span, whole ones, with where they are."""
-    low = F.greatest(start - REACH, F.lit(0))
-
-    def inside(piece: Column, base: Column) -> Column:
-        found = F.filter(_matches(piece, r"\p{L}+"), lambda t: F.length(t["value"]) >= SHORTEST_TERM)
-        return F.transform(found, lambda t: F.struct((t["start"] + base).alias("start"), (t["end"] + base).alias("end"), F.lower(t["value"]).alias("value")))
-
-    # A letter more on each outer side tells whether a run is whole.
-    left = inside(F.substring(text, low + 1, start - low), low)
-    right = inside(F.substring(text, end + 1, F.lit(REACH)), end)
-    outer = lambda at: F.substring(text, at, F.lit(1)).rlike(r"\p{L}")
-    whole_left = F.filter(left, lambda t: ~((t["start"] == low) & (low > 0) & outer(low)))
-    whole_right = F.filter(right, lambda t: ~((t["end"] == end + REACH) & outer(end + REACH + 1)))
-    return F.concat(whole_left, whole_right)
+def _terms(blocks: Column, start: Column, end: Column) -> Column:
+    """Terms near a span, from blocks of the filled text; runs that REACH cuts are left out."""
+    edge = F.greatest(start - REACH - 1, F.lit(0))
+    left = _cut(blocks, edge, start + 1 - edge)
+    right = _cut(blocks, end - 1, F.lit(REACH + 2))
+    whole_left = F.when(start > REACH, F.regexp_replace(left, f"^{_RUN}+", "")).otherwise(left)
+    whole_right = F.when(F.length(right) == REACH + 2, F.regexp_replace(right, f"{_RUN}++$", "")).otherwise(right)
+    found = F.regexp_extract_all(F.concat_ws(" ", whole_left, whole_right), F.lit(TERM), F.lit(0))
+    return F.transform(found, F.lower)
 
 
 def _spans(text: Column) -> Column:
@@ -98,13 +159,12 @@ def _spans(text: Column) -> Column:
 
 
 def _with_context(text: Column, spans: Column) -> Column:
-    def one(s: Column) -> Column:
-        clear = F.filter(_terms(text, s["start"], s["end"]), lambda t: ~F.exists(spans, lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"])))
+    def one(blocks: Column, s: Column) -> Column:
         entity = F.xxhash64(s["rank"], F.when(s["rank"].isin(2, 3), F.regexp_replace(s["value"], "[^0-9]", "")).otherwise(F.lower(s["value"])))
-        context = F.xxhash64(F.transform(clear, lambda t: t["value"]))
-        return F.struct(s["start"], s["rank"], s["end"], entity.alias("entity"), context.alias("context"), clear.alias("terms"))
+        near = _terms(blocks, s["start"], s["end"])
+        return _let(near, lambda terms: F.struct(s["start"], s["rank"], s["end"], entity.alias("entity"), F.xxhash64(terms).alias("context"), terms.alias("terms")))
 
-    return F.transform(spans, one)
+    return _let(_blocks(_filled(text, spans)), lambda blocks: F.transform(spans, lambda s: one(blocks, s)))
 
 
 def _key() -> Column:
@@ -118,66 +178,74 @@ def found(docs: DataFrame) -> DataFrame:
     return saved(base.select("doc_id", "key", F.xxhash64("text").alias("copy"), spans.alias("spans")))
 
 
-def _words(text: Column) -> Column:
-    """The distinct terms of a text: its runs of letters in lower case."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"\p{{L}}{{{SHORTEST_TERM},}}"), F.lit(0)), F.lower))
+def _pairs(rows: DataFrame) -> DataFrame:
+    """entity and term with n_both, n_contexts and n_entity, for pairs that may exceed the thresholds; saved."""
+    near = rows.select("copy", F.explode("spans").alias("s")).select("copy", "s.entity", "s.context", F.explode_outer("s.terms").alias("term")).distinct()
+    entities = near.groupBy("entity").agg(F.count_distinct("copy").alias("n_entity"))
+    named = near.where("term IS NOT NULL")
+    pairs = named.groupBy("entity", "term").agg(F.count_distinct("copy").alias("n_both"), F.count_distinct("context").alias("n_contexts")).where(F.col("n_contexts") >= MIN_CONTEXTS)
+    # The texts with the term near any entity are some of those with the term: pairs that fail by them alone go early.
+    least = named.groupBy("term").agg(F.count_distinct("copy").alias("n_near"))
+    return saved(pairs.join(least, "term").where(F.col("n_both") >= MIN_CHANCE * F.col("n_near")).drop("n_near").join(entities, "entity"))
 
 
-def revealing(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """entity, term, chance P(e | t) and share PMI / IC of the pairs that exceed the thresholds; copies of a text count once."""
-    near = rows.select("copy", F.explode("spans").alias("s")).select("copy", "s.entity", "s.context", F.explode_outer("s.terms.value").alias("term")).distinct()
-    entities = near.groupBy("entity").agg(F.count_distinct("copy").alias("n_entity"))
-    pairs = near.where("term IS NOT NULL").groupBy("entity", "term").agg(F.count_distinct("copy").alias("n_both"), F.count_distinct("context").alias("n_contexts")).where(F.col("n_contexts") >= MIN_CONTEXTS)
+def _candidates(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """key, copy and the places (start, end, term) of the pairs' terms, for texts with any; other terms may be among them. Saved."""
+    mask = _mask(pairs)
+    texts = docs.select(_key().alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    runs = F.array_distinct(F.regexp_extract_all("text", F.lit(f"{_RUN}+"), F.lit(0)))
+    some = texts.where(F.exists(runs, lambda t: _may_be(F.lower(t), mask))).withColumn("base", _spans(F.col("text")))
+    filled = some.select("key", F.xxhash64("text").alias("copy"), _filled(F.col("text"), F.col("base")).alias("filled"))
+    found = F.transform(_matches(F.col("filled"), TERM), lambda p: F.struct(p["start"], p["end"], F.lower(p["value"]).alias("term")))
+    # Saved before rows without places go: a filter would be pushed down with all that it is worked out from.
+    return saved(filled.select("key", "copy", F.filter(found, lambda p: _may_be(p["term"], mask)).alias("places"))).where(F.size("places") > 0)
+
+
+def _exceeding(rows: DataFrame, pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     # Partial aggregation leaves a row of each text to a task, so a large group of copies weighs one row for each.
-    texts = docs.select(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("copy"), _words(F.coalesce(F.col("text"), F.lit(""))).alias("words")).groupBy("copy").agg(F.first("words").alias("words"))
-    terms = texts.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    texts = candidates.groupBy("copy").agg(F.first(F.array_distinct("places.term")).alias("terms"))
+    terms = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     n = rows.select("copy").distinct().count()
-    joined = pairs.join(terms, "term").join(entities, "entity")
+    joined = pairs.join(terms, "term")
     pmi = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_term") * F.col("n_entity")))
     joined = joined.select("entity", "term", (F.col("n_both") / F.col("n_term")).alias("chance"), F.try_divide(pmi, F.log2(F.lit(float(max(n, 2))) / F.col("n_entity"))).alias("share"))
     return joined.where((F.col("chance") >= MIN_CHANCE) & (F.col("share") >= MIN_SHARE))
 
 
+def revealing(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """entity, term, chance P(e | t) and share PMI / IC of the pairs that exceed the thresholds; copies of a text count once."""
+    pairs = _pairs(rows)
+    return _exceeding(rows, pairs, _candidates(docs, pairs))
+
+
+def _bits(term: Column) -> list[Column]:
+    """Three bits of a term in the filter."""
+    return [F.shiftrightunsigned(F.xxhash64(term), 20 * k).bitwiseAND(F.lit(MASK_BITS - 1)) for k in range(3)]
+
+
 def _mask(terms: DataFrame) -> Column:
-    """An array of MASK_BITS bits with those of the terms' hashes set: it only spares the join below what can't match."""
-    bit = F.pmod(F.xxhash64("term"), F.lit(MASK_BITS)).cast("int")
-    words = terms.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, bit % 64)")).alias("bits"))
+    """An array of MASK_BITS bits with those of the terms set (a Bloom filter): it only spares work on what can't match."""
+    bit = terms.select(F.explode(F.array(*_bits(F.col("term")))).alias("bit"))
+    words = bit.groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("bits"))
     bits = [0] * (MASK_BITS // 64)
     for row in words.collect():
         bits[row["at"]] = row["bits"]
     return F.from_json(F.lit(str(bits)), "array<bigint>")
 
 
-def _may_reveal(term: Column, mask: Column) -> Column:
-    bit = F.pmod(F.xxhash64(term), F.lit(MASK_BITS)).cast("int")
-    return F.getbit(F.get(mask, F.floor(bit / 64).cast("int")), bit % 64) == 1
-
-
-def _places(text: Column, terms: Column) -> Column:
-    """Where the terms stand as whole runs of letters in the text; the array grows by what is found only."""
-    found = F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))
-    pairs = F.arrays_zip(F.slice(F.split(text, r"\p{L}+", -1), F.lit(1), F.size(found)).alias("gap"), found.alias("value"))
-    none = F.expr("named_struct('at', 0, 'out', CAST(array() AS array<struct<start:int,end:int,value:string>>))")
-
-    def add(done: Column, x: Column) -> Column:
-        start = done["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        value = F.lower(x["value"])
-        more = F.concat(done["out"], F.array(F.struct(start.alias("start"), end.alias("end"), value.alias("value"))))
-        return F.struct(end.alias("at"), F.when(F.array_contains(terms, value), more).otherwise(done["out"]).alias("out"))
-
-    return F.aggregate(pairs, none, add, lambda done: done["out"])
+def _may_be(term: Column, mask: Column) -> Column:
+    a, b, c = (F.getbit(F.get(mask, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63)).cast("int")) == 1 for bit in _bits(term))
+    return a & b & c
 
 
 def _added(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """By key, the spans of revealing terms, wherever they stand in the whole texts of the corpus."""
-    terms = saved(revealing(docs, rows).select("term").distinct())
-    mask = _mask(terms)
-    texts = docs.select(_key().alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    some = texts.withColumn("terms", F.filter(_words(F.col("text")), lambda t: _may_reveal(t, mask))).where(F.size("terms") > 0)
+    pairs = _pairs(rows)
+    candidates = _candidates(docs, pairs)
+    terms = _exceeding(rows, pairs, candidates).select("term").distinct()
     # A row for each document and term, with all its places: repeats in one text weigh nothing in the join.
-    at = some.select("key", "terms", _places(F.col("text"), F.col("terms")).alias("places")).select("key", "places", F.explode("terms").alias("term"))
-    span = F.transform(F.filter("places", lambda p: p["value"] == F.col("term")), lambda p: F.struct(p["start"], F.lit(len(KINDS) - 1).alias("rank"), p["end"]))
+    at = candidates.select("key", "places", F.explode(F.array_distinct("places.term")).alias("term"))
+    span = F.transform(F.filter("places", lambda p: p["term"] == F.col("term")), lambda p: F.struct(p["start"], F.lit(len(KINDS) - 1).alias("rank"), p["end"]))
     return at.select("key", "term", span.alias("spans")).join(terms, "term").groupBy("key").agg(F.flatten(F.collect_set("spans")).alias("added"))
 
 
@@ -186,8 +254,7 @@ def sanitised_spans(docs: DataFrame) -> DataFrame:
     rows = found(docs)
     base = F.transform("spans", lambda s: F.struct(s["start"], s["rank"], s["end"]))
     none = F.expr("CAST(array() AS array<struct<start:int,rank:int,end:int>>)")
-    clear = F.filter(F.coalesce("added", none), lambda t: ~F.exists("base", lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"])))
-    return rows.select("doc_id", "key", base.alias("base")).join(_added(docs, rows), "key", "left").select("doc_id", "key", "base", F.array_sort(F.concat("base", clear)).alias("spans"))
+    return rows.select("doc_id", "key", base.alias("base")).join(_added(docs, rows), "key", "left").select("doc_id", "key", "base", F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"))
 
 
 def _named(spans: str) -> Column:
@@ -200,7 +267,8 @@ def report(docs: DataFrame) -> DataFrame:
     """A row per document with the base counts, the digest of the base spans, and all spans.
 
     A null or empty text has none; a null doc_id keeps its row; repeated rows each get their row, and
-    equal texts count once. Columns besides doc_id and text aren't read.
+    equal texts count once. A long text takes time in proportion, however many spans it has. An empty table gives no
+    rows. Columns besides doc_id and text aren't read.
     """
 
     def count(rank: int) -> Column:
@@ -215,13 +283,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     spans = sanitised_spans(docs).where(F.size("spans") > 0).select(F.col("key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
     joined = docs.withColumn("_key", _key()).join(spans, "_key", "left")
     text = F.col("text")
-
-    def add(done: Column, s: Column) -> Column:
-        apart = F.concat(done["out"], F.substring(text, done["at"] + 1, s["start"] - done["at"]), F.element_at(marks, s["rank"] + 1))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(s["start"] >= done["at"], apart).otherwise(done["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    new = F.aggregate("_spans", start, add, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    new = _rewritten(text, F.col("_spans"), lambda s, at: F.when(s["start"] >= at, F.element_at(marks, s["rank"] + 1)).otherwise(""))
     out = joined.withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(new))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import mixed, owners, short_batches, split_words, text_chunks, texts_of, word_codes
 
 FOLDS, HELD_OUT = 5, 0
-#: Words whose subwords are worked out at once in training.
-_BLOCK = 20_000
+#: Code points of words whose subwords are worked out at once, and of the longest piece that a word is taken in.
+_BLOCK, LONGEST_WORD = 200_000, 256
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -42,11 +42,34 @@ class Settings:
 
 
 def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """For each word of all texts: its text and its code; and the distinct words, in lower case without outer punctuation."""
+    """For each word of all texts: its text and its code; and the distinct words, in lower case without outer punctuation.
+
+    A word of more than LONGEST_WORD code points counts as several, one for each piece of that length.
+    """
     bounds, words = split_words(pc.utf8_lower(texts))
     codes, distinct = word_codes(words)
     bare, names = word_codes(pc.utf8_trim(distinct, _EDGES))
-    return owners(bounds), bare[codes] if len(codes) else codes, names
+    owner, codes = owners(bounds), bare[codes] if len(codes) else codes
+    lengths = pc.utf8_length(names).to_numpy(zero_copy_only=False)
+    if len(names) and lengths.max() > LONGEST_WORD:
+        kept = [[w] if n <= LONGEST_WORD else [w[i : i + LONGEST_WORD] for i in range(0, len(w), LONGEST_WORD)] for w, n in zip(names.to_pylist(), lengths.tolist())]
+        counts = np.array([len(k) for k in kept])
+        pieces, names = word_codes(pa.array([p for k in kept for p in k], names.type))
+        starts = np.cumsum(counts) - counts
+        times = counts[codes]
+        at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(starts[codes], times)
+        owner, codes = np.repeat(owner, times), pieces[at]
+    return owner, codes, names
+
+
+def blocks_of(names: pa.Array) -> Iterator[pa.Array]:
+    """The words in runs of about _BLOCK code points: what is worked out of a run takes some 60 bytes for each."""
+    total = np.cumsum(pc.utf8_length(names).to_numpy(zero_copy_only=False).astype(np.int64) + 2)
+    start = 0
+    while start < len(names):
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + _BLOCK, side="right")))
+        yield names.slice(start, stop - start)
+        start = stop
 
 
 def subwords(words: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -91,10 +114,13 @@ class Model:
     bias: float
     settings: Settings
 
+    def _words(self, names: pa.Array) -> np.ndarray:
+        buckets, bounds = subwords(names, self.settings)
+        return np.add.reduceat(self.weights[buckets], bounds[:-1]) / np.diff(bounds)
+
     def scores(self, texts: pa.Array) -> np.ndarray:
         owner, codes, names = bags(texts)
-        buckets, bounds = subwords(names, self.settings)
-        word = np.add.reduceat(self.weights[buckets], bounds[:-1]) / np.diff(bounds) if len(buckets) else np.zeros(len(names))
+        word = np.concatenate([np.zeros(0), *(self._words(block) for block in blocks_of(names))])
         n = np.bincount(owner, minlength=len(texts))
         mean = np.bincount(owner, weights=word[codes], minlength=len(texts)) / np.maximum(n, 1)
         return 1 / (1 + np.exp(-np.clip(self.settings.scale * mean + self.bias, -500, 500)))
@@ -105,7 +131,7 @@ def fit(doc: np.ndarray, word: np.ndarray, count: np.ndarray, names: pa.Array, l
     if len(label) == 0 or label.min() == label.max():
         share = share if len(label) else 0.0
         return Model(np.zeros(s.buckets), float(np.log(share + 1e-6) - np.log(1 - share + 1e-6)), s)
-    blocks = [subwords(names.slice(i, _BLOCK), s) for i in range(0, len(names), _BLOCK)]
+    blocks = [subwords(block, s) for block in blocks_of(names)]
     buckets, sizes = np.concatenate([b.astype(np.int32) for b, _ in blocks]), np.concatenate([np.diff(e) for _, e in blocks])
     del blocks
     owner = np.repeat(np.arange(len(names), dtype=np.int32), sizes)
@@ -174,7 +200,8 @@ def scored(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
     """doc_id, held_out, score and predicted for every whole text.
 
     A null or empty text scores as the labels' share of toxic documents lets expect; a null doc_id is in the fold of ''.
-    Without labels of both classes every score is that share. Repeated rows each get their row. Columns besides
+    Without labels of both classes every score is that share. Long texts and long words take memory in proportion to the
+    text; an empty table gives no rows. Repeated rows each get their row. Columns besides
     doc_id and text aren't read.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, settings, held_out))

@@ -35,3 +35,37 @@ def test_a_group_of_copies_above_its_bound_is_split(spark, awkward):
 def test_small_tables(spark, awkward):
     assert kd_shards.shards(awkward([])).count() == 0
     check(kd_shards.shards(awkward([(1, "x"), (1, "x"), (None, None)])).collect(), [(1, "x"), (1, "x"), (None, None)], 16)
+
+
+def test_cuts_are_weighted_medians_of_the_widest_dimension(spark, awkward):
+    """Against a small exact k-d tree over the same keys: each node's own cut, by sorting."""
+    import random
+
+    rng = random.Random(2)
+    docs = [(i, "x" * rng.choice([3, 50, 400]) + str(i)) for i in range(300)]
+    df = awkward(docs).selectExpr("doc_id", "text", "substr('abcdefgh', 1 + doc_id % 8, 2) AS lang", "concat('host', doc_id % 13) AS source")
+    rows = kd_shards._metadata(df).selectExpr("*", "xxhash64(text_hash, text_crc32, size) AS unit")
+    units = [r.asDict() for r in kd_shards._units(rows).collect()]
+    want = {}
+
+    def split(some, first, stop):
+        if stop - first == 1:
+            want.update({u["unit"]: first for u in some})
+            return
+        widest = max(kd_shards.DIMENSIONS, key=lambda c: (max(u[c] for u in some) >> 31) - (min(u[c] for u in some) >> 31))
+        some = sorted(some, key=lambda u: u[widest])
+        aim, total = sum(u["weight"] for u in some) * ((stop - first) // 2) / (stop - first), 0
+        sums = [0]
+        for u in some:
+            total += u["weight"]
+            sums.append(total)
+        k = min(range(len(sums)), key=lambda i: (abs(sums[i] - aim), -i))
+        split(some[:k], first, first + (stop - first) // 2)
+        split(some[k:], first + (stop - first) // 2, stop)
+
+    split(units, 0, 4)
+    got = {(r.doc_id, r.shard) for r in kd_shards.shards(df, 4).collect()}
+    by_doc = {r.doc_id: r.unit for r in rows.collect()}
+    same = sum((d, want[by_doc[d]]) in got for d, _ in docs)
+    assert same == len(docs)
+    assert max(len({u[c] >> 31 for u in units}) for c in ("by_lang", "by_source")) == 13 and len({u["by_lang"] >> 31 for u in units}) == 8

@@ -60,3 +60,40 @@ def test_subwords_are_shared_by_spellings():
     buckets, bounds = toxicity.subwords(pa.array(["grobnak", "grobnakk", "é", "grobnak"]), s)
     a, b, c, d = (set(buckets[i:j].tolist()) for i, j in zip(bounds, bounds[1:]))
     assert a == d and len(a & b) > 8 and len(c) == 2
+
+
+def test_scores_match_plain_loops():
+    """The mean over words of the mean over subwords of weights, worked out word by word from the hashes of subwords."""
+    import math
+
+    import numpy as np
+
+    s = toxicity.Settings(buckets=1 << 12, scale=3.0)
+    model = toxicity.Model(np.random.default_rng(5).normal(size=s.buckets), -0.3, s)
+    texts = ["One two, THREE (two)!", "", "x" * 600 + " y", "... é", "a b a"]
+    for text, got in zip(texts, model.scores(pa.array(texts, pa.large_string())).tolist()):
+        values = []
+        for word in text.lower().split():
+            bare = word.strip(toxicity._EDGES)
+            for piece in [bare[i : i + toxicity.LONGEST_WORD] for i in range(0, len(bare), toxicity.LONGEST_WORD)] or [bare]:
+                buckets, _ = toxicity.subwords(pa.array([piece]), s)
+                marked = f"<{piece}>"
+                assert len(buckets) == 1 + sum(max(0, len(marked) - n + 1) for n in range(s.shortest, s.longest + 1))
+                values.append(sum(model.weights[b] for b in buckets) / len(buckets))
+        odds = s.scale * sum(values) / max(len(values), 1) - 0.3
+        assert abs(got - 1 / (1 + math.exp(-odds))) < 1e-9
+
+
+def test_a_long_word_takes_memory_in_proportion():
+    import tracemalloc
+
+    import numpy as np
+
+    s = toxicity.Settings()
+    model = toxicity.Model(np.zeros(s.buckets), 0.0, s)
+    text = pa.array(["Å" * 50_000 + "".join(map(chr, range(0x4E00, 0x9000))) * 400], pa.large_string())
+    tracemalloc.start()
+    assert model.scores(text).tolist() == [0.5]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 900 << 20
