@@ -6,6 +6,7 @@ from folioscope.functions import html, markdown, urls
 from folioscope.operators import assets, library, pages, validate
 from folioscope.plans.registry import query
 from folioscope.plans.tables import ITEMS, TAGGED, items, table, tagged
+from folioscope.plans.texts import BLOCKS
 from folioscope.sources import sinks
 
 
@@ -37,16 +38,27 @@ def search_all_terms(spark, sf_dir):
 _TITLE = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\r\n\f]+', ' ', 'g'))".replace('\\"', '"')
 
 
-@query(f"SELECT page_id, nullif({_TITLE}, '') AS title, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS author FROM pages")
+@query(f"""SELECT page_id, nullif({_TITLE}, '') AS title, CASE WHEN page_id % 3 > 0 THEN 'On ' || page_id || ' & more' END AS description,
+  CASE page_id % 4 WHEN 0 THEN 'A. ' || page_id WHEN 1 THEN 'B. ' || page_id END AS author FROM pages""")
 def page_claims(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", html.claims(F.col("html")).alias("c")).select("page_id", "c.title", "c.description", "c.author")
+    """Claims are put into every page: meta elements either way round, and linked data."""
+    k, n = F.col("page_id"), F.col("page_id").cast("string")
+    said = F.when(k % 3 == 1, F.concat(F.lit('<meta name="description" content="On '), n, F.lit(' &amp; more">'))).when(k % 3 == 2, F.concat(F.lit('<meta content="On '), n, F.lit(' &amp; more" property="og:description">'))).otherwise("")
+    by = F.when(k % 4 == 0, F.concat(F.lit('<meta name="author" content="A.  '), n, F.lit('">'))).when(k % 4 == 1, F.concat(F.lit('<script type="application/ld+json">{"author":{"name":"B. '), n, F.lit('"}}</script>'))).otherwise("")
+    page = F.concat(F.coalesce("html", F.lit("")), said, by)
+    return table(spark, sf_dir, "pages").select("page_id", html.claims(page).alias("c")).select("page_id", "c.title", "c.description", "c.author")
 
 
-@query(r"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*\bhref="([^"]*)"', 1)) AS href FROM pages)
+@query(r"""WITH l AS (SELECT page_id, url, unnest(list_concat(regexp_extract_all(html, '(?i)<a\b[^>]*\bhref="([^"]*)"', 1), ['../up/' || page_id, './near?a=b', '?q=' || page_id])) AS href FROM pages),
+p AS (SELECT *, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS site, list_filter(string_split(regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '[^/]*$', ''), '/'), lambda x: x <> '') AS folder, length(regexp_extract(href, '^((?:\.\./)*)', 1)) // 3 AS up FROM l)
 SELECT page_id, href, CASE WHEN regexp_matches(href, '(?i)^https?://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^(https?:)', 1) || href WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
-  WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/?#]*)', 1) || href WHEN starts_with(href, '#') THEN regexp_replace(url, '#.*$', '') || href END AS target FROM l WHERE regexp_matches(href, '^(?:[A-Za-z][A-Za-z0-9+.-]*:|/|#)')""")
+  WHEN starts_with(href, '/') THEN site || href WHEN starts_with(href, '#') THEN regexp_replace(url, '#.*$', '') || href WHEN starts_with(href, '?') THEN regexp_replace(url, '[?#].*$', '') || href
+  ELSE site || '/' || array_to_string(list_transform(folder[1:greatest(len(folder) - up, 0)], lambda x: x || '/'), '') || regexp_replace(href, '^(?:\./|\.\./)*', '') END AS target FROM p""")
 def absolute_links(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(html.links(F.col("html"))).alias("href")).where(F.col("href").rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:|/|#)"))
+    """Every link of every page, with three relative ones put in."""
+    n = F.col("page_id").cast("string")
+    page = F.concat(F.coalesce("html", F.lit("")), F.lit('<a href="../up/'), n, F.lit('"><a href="./near?a=b"><a href="?q='), n, F.lit('">'))
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(html.links(page)).alias("href"))
     return rows.select("page_id", "href", html.absolute(F.col("href"), F.col("url")).alias("target"))
 
 
@@ -58,17 +70,20 @@ def fetch_routes(spark, sf_dir):
     return pages.dispatched(rows).select("page_id", "route")
 
 
-@query("""SELECT conv_id, turn, 'see ' || role AS plain, 4 AS start FROM conversations""")
+@query("""SELECT conv_id, turn, 'no see and ' || role AS plain, 2 AS links, CAST(59 + length(CAST(turn AS VARCHAR)) AS INTEGER) AS start, role AS label, 'https://x.org/' || conv_id AS target FROM conversations""")
 def markdown_links(spark, sf_dir):
-    body = F.concat(F.lit("see ["), F.col("role"), F.lit("](https://x.org/a)"))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("body"))
-    return rows.select("conv_id", "turn", markdown.plain_text(F.col("body")).alias("plain"), F.get(markdown.links(F.col("body")), F.lit(0))["start"].alias("start"))
+    """A link in code is none, a picture is one of its own kind, and a title is no part of the target."""
+    body = F.concat(F.lit("`[no](https://x.org/"), F.col("turn").cast("string"), F.lit(")` see ![pic](https://x.org/p.png) and ["), F.col("role"), F.lit("](https://x.org/"), F.col("conv_id").cast("string"), F.lit(' "t")'))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", markdown.plain_text(body).alias("plain"), markdown.links(body).alias("l"))
+    return rows.select("conv_id", "turn", "plain", F.size("l").alias("links"), F.get(F.filter("l", lambda x: ~x["image"]), F.lit(0)).alias("one")).select("conv_id", "turn", "plain", "links", "one.start", "one.label", "one.target")
 
 
-@query("SELECT doc_id, regexp_replace(text, '\\s+$', '') || chr(10) AS body FROM documents WHERE NOT regexp_matches(text, '\\n[ \\t]*\\n') AND NOT regexp_matches(text, '(?m)^(?:```|~~~)')")
+@query(f"""WITH {BLOCKS}, whole AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY pos) || chr(10) || chr(10) AS own FROM blocks GROUP BY doc_id)
+SELECT doc_id, coalesce(own, '') || '~~~' || chr(10) || 'a' || chr(10) || chr(10) || 'b' || chr(10) || '~~~' || chr(10) || chr(10) || source || chr(10) AS body FROM documents LEFT JOIN whole USING (doc_id)""")
 def blocks_joined(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"\n[ \t]*\n") & ~F.col("text").rlike(r"(?m)^(?:```|~~~)"))
-    return d.select("doc_id", markdown.joined(markdown.blocks(F.col("text"))).alias("body"))
+    """Every text's blocks with a fence that holds a blank line behind them, and blank lines too many."""
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n\n~~~\na\n\nb\n~~~\n \n\n"), "source")
+    return table(spark, sf_dir, "documents").select("doc_id", markdown.joined(markdown.blocks(body)).alias("body"))
 
 
 @query()
@@ -81,9 +96,13 @@ def page_domains(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_extract(urls.origin(F.col("url")), "://([^/?#:]*)", 1), r"^www\.", "").alias("domain"))
 
 
-@query("SELECT page_id, list_distinct(regexp_extract_all(html, '(?i)<img\\b[^>]*\\bsrc=\"([^\"]+)\"', 1)) = [] AS none FROM pages".replace("\\\\", "\\"))
+@query(r"""SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, '(?i)<img\b[^>]*\bsrc="([^"]+)"', 1))) + page_id % 3 AS INTEGER) AS pictures FROM pages""")
 def pages_without_pictures(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", (F.size(assets.pictures(F.col("html"))) == 0).alias("none"))
+    """How many different pictures each page has, with none, one or two put in, the first of them twice."""
+    k = F.col("page_id") % 3
+    one, two = '<img src="a.png?x=1&amp;y=2"><IMG alt="x" src="a.png?x=1&amp;y=2">', "![b](./assets/b.png)"
+    page = F.concat("html", F.when(k > 0, one).otherwise(""), F.when(k == 2, two).otherwise(""))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(assets.pictures(page)).alias("pictures"))
 
 
 @query("""SELECT l_orderkey AS slug, pos, row_number() OVER w <= 3 AND sum(bytes) OVER w <= 90 AS taken FROM (SELECT l_orderkey, l_linenumber * 100000 + l_partkey AS pos, l_quantity AS bytes FROM lineitem)

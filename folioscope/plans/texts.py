@@ -59,10 +59,10 @@ def thin_documents(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", text.visible_length(F.col("text")).alias("visible")).where("visible < 500")
 
 
-@query("SELECT CAST(status AS INTEGER) AS status, status BETWEEN 400 AND 499 AND status NOT IN (408, 425, 429) AS settled FROM (VALUES (200), (401), (404), (408), (418), (425), (429), (500), (503)) AS t(status)")
+@query("""SELECT event_id, CAST(390 + event_id % 120 AS INTEGER) AS status, event_id % 120 BETWEEN 10 AND 109 AND event_id % 120 NOT IN (18, 35, 39) AS settled FROM events""")
 def failure_class(spark, sf_dir):
-    rows = spark.createDataFrame([(s,) for s in (200, 401, 404, 408, 418, 425, 429, 500, 503)], "status int")
-    return rows.select("status", text.is_settled_failure(F.col("status")).alias("settled"))
+    status = (390 + F.col("event_id") % 120).cast("int")
+    return table(spark, sf_dir, "events").select("event_id", status.alias("status"), text.is_settled_failure(status).alias("settled"))
 
 
 _UNESCAPED = "replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&')"
@@ -105,25 +105,28 @@ def clip_markdown(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"), html.to_markdown(F.col("html")).alias("markdown"))
 
 
-_BLOCKS = r"""parts AS (SELECT doc_id, i - 1 AS pos, ps[i] AS b FROM (SELECT doc_id, regexp_extract_all(text, '(?m)^[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)*') AS ps FROM documents), unnest(range(1, len(ps) + 1)) AS u(i)),
+BLOCKS = r"""parts AS (SELECT doc_id, i - 1 AS pos, ps[i] AS b FROM (SELECT doc_id, regexp_extract_all(text, '(?m)^[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)*') AS ps FROM documents), unnest(range(1, len(ps) + 1)) AS u(i)),
 blocks AS (SELECT doc_id, pos, regexp_replace(b, '\s+\z', '') AS text, CASE WHEN regexp_matches(b, '\A#{1,6}\s') OR regexp_matches(b, '\A[^\n]+\n(?:=+|-+)[ \t]*\z') THEN 'heading' WHEN regexp_matches(b, '\A {0,3}(?:[-*_][ \t]*){3,}\z') THEN 'thematicBreak'
   WHEN regexp_matches(b, '\A {0,3}>') THEN 'blockquote' WHEN regexp_matches(b, '\A {0,3}(?:[-*+]|\d{1,9}[.)])\s') THEN 'list' WHEN regexp_matches(b, '\A {0,3}\$\$') THEN 'math' WHEN regexp_matches(b, '\A {0,3}<[A-Za-z!/]') THEN 'html' ELSE 'paragraph' END AS type FROM parts)"""
 
 
-@query(f"WITH {_BLOCKS} SELECT doc_id, pos, type, text FROM blocks")
+@query(f"WITH {BLOCKS} SELECT doc_id, pos, type, text FROM blocks")
 def block_table(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.explode(markdown.blocks(F.col("text"))).alias("b")).select("doc_id", "b.pos", "b.type", "b.text")
 
 
-@query(f"WITH {_BLOCKS} SELECT type, count(*) AS n FROM blocks GROUP BY type")
+@query(f"WITH {BLOCKS} SELECT type, count(*) AS n FROM blocks GROUP BY type")
 def block_counts(spark, sf_dir):
     blocks = _docs(spark, sf_dir).select(F.explode(markdown.blocks(F.col("text"))).alias("b"))
     return blocks.groupBy("b.type").agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '!\[[^\]]*\]\([^)\s]+[^)]*\)')) AS BIGINT) AS images FROM documents""")
+@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '!\[[^\]]*\]\([^)\s]+[^)]*\)')) + doc_id % 3 AS BIGINT) AS images FROM documents""")
 def markdown_images(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", markdown.counts(F.col("text"))["images"].alias("images"))
+    """With up to two pictures put behind every text, one with a title, and a link that is none."""
+    more = F.when(F.col("doc_id") % 3 > 0, " ![a](u/i.png)").otherwise("")
+    body = F.concat("text", more, F.when(F.col("doc_id") % 3 == 2, ' ![](u/j.png "t")').otherwise(" [l](u)"))
+    return _docs(spark, sf_dir).select("doc_id", markdown.counts(body)["images"].alias("images"))
 
 
 @query("""SELECT conv_id, string_agg('**' || role || '**: ' || replace(text, chr(10), ' '), chr(10) || chr(10) ORDER BY turn) AS thread, count(*) AS turns FROM conversations GROUP BY conv_id""")

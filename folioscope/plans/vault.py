@@ -6,6 +6,7 @@ from folioscope.functions import code, markdown, paths, repair, tags, text, urls
 from folioscope.operators import maintenance, pdf, translate
 from folioscope.plans.registry import query
 from folioscope.plans.tables import TAGGED, table, tagged
+from folioscope.plans.texts import BLOCKS
 
 
 @query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'sites/s' || CAST(page_id AS VARCHAR) ELSE 'a' || CAST(page_id AS VARCHAR) END AS ref, CASE WHEN page_id % 3 = 0 THEN 'site' ELSE 'article' END AS kind,
@@ -77,24 +78,31 @@ def retag_limit(spark, sf_dir):
     return maintenance.retag_buckets(tagged(spark, sf_dir), 25)
 
 
-@query("SELECT doc_id, text AS repaired FROM documents")
+@query("""SELECT doc_id, text || chr(10) || chr(10) || '# T' || chr(10) || chr(10) || '[split link](https://x.org/' || doc_id || ')' || chr(10) || chr(10) || '1. a' || chr(10) || '~~~' || chr(10) || '[split' || chr(10) || 'link](u)' || chr(10) || '~~~' AS repaired FROM documents""")
 def repair_plain_prose(spark, sf_dir):
-    """Repairs leave prose without Markdown marks as it is."""
-    return table(spark, sf_dir, "documents").select("doc_id", repair.body(F.col("text")).alias("repaired"))
+    """Repairs leave prose and code as they are; a heading's anchor, a split link and a marker twice go."""
+    body = F.concat("text", F.lit("\n\n# T [#](#t)\n\n[split\nlink](https://x.org/"), F.col("doc_id").cast("string"), F.lit(")\n\n1. (1) a\n~~~\n[split\nlink](u)\n~~~"))
+    return table(spark, sf_dir, "documents").select("doc_id", repair.body(body).alias("repaired"))
 
 
-@query("SELECT doc_id, text AS restored FROM documents")
+@query(r"""WITH d AS (SELECT doc_id, text || ' `c` $m_' || doc_id || '$ [l](https://x.org/' || doc_id || ')' AS body FROM documents)
+SELECT doc_id, body AS restored, len(regexp_extract_all(body, '(?s)```.*?```|`[^`\n]+`|\$\$.+?\$\$|\$[^$\n]+\$|\]\([^)\s]+')) AS tokens FROM d""")
 def mask_round_trip(spark, sf_dir):
-    m = table(spark, sf_dir, "documents").select("doc_id", repair.masked(F.col("text")).alias("m"))
-    return m.select("doc_id", repair.unmasked(F.col("m.text"), F.col("m.spans")).alias("restored"))
+    n = F.col("doc_id").cast("string")
+    body = F.concat("text", F.lit(" `c` $m_"), n, F.lit("$ [l](https://x.org/"), n, F.lit(")"))
+    m = table(spark, sf_dir, "documents").select("doc_id", repair.masked(body).alias("m"))
+    return m.select("doc_id", repair.unmasked(F.col("m.text"), F.col("m.spans")).alias("restored"), F.regexp_count("m.text", F.lit("⟦[0-9]+⟧")).cast("long").alias("tokens"))
 
 
-@query("SELECT conv_id, turn AS pos, 'paragraph' AS type, text, '[' || text || ']' AS translation, false AS failed FROM conversations WHERE NOT contains(text, '$') AND NOT contains(text, '`') AND NOT contains(text, '](')")
+@query("""WITH t AS (SELECT conv_id, turn AS pos, CASE WHEN turn % 5 = 0 THEN 'code' ELSE 'paragraph' END AS type, CASE WHEN turn % 5 = 1 THEN 'LOSE ' ELSE '' END || text || ' `a$b` $x_1$ [' || role || '](https://x.org/' || conv_id || ')' AS text FROM conversations)
+SELECT conv_id, pos, type, text, CASE WHEN pos % 5 < 2 THEN text ELSE '[' || text || ']' END AS translation, pos % 5 = 1 AS failed FROM t""")
 def translate_blocks(spark, sf_dir):
-    """By a stand-in for a model, that answers in brackets."""
-    blocks = table(spark, sf_dir, "conversations").where(~F.col("text").contains("$") & ~F.col("text").contains("`") & ~F.col("text").contains("](")).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.lit("paragraph").alias("type"), "text")
+    """By a stand-in for a model, that answers in brackets or loses the masks; code keeps its text, and so does what failed."""
+    c = F.col
+    text_ = F.concat(F.when(c("turn") % 5 == 1, "LOSE ").otherwise(""), "text", F.lit(" `a$b` $x_1$ ["), "role", F.lit("](https://x.org/"), c("conv_id").cast("string"), F.lit(")"))
+    blocks = table(spark, sf_dir, "conversations").select(c("conv_id").alias("doc_id"), c("turn").alias("pos"), F.when(c("turn") % 5 == 0, "code").otherwise("paragraph").alias("type"), text_.alias("text"))
     cache = spark.createDataFrame([], "key string, value string")
-    return translate.translated(blocks, cache, lambda texts: [f"[{t}]" for t in texts]).withColumnRenamed("doc_id", "conv_id")
+    return translate.translated(blocks, cache, lambda texts: ["gone" if t.startswith("LOSE ") else f"[{t}]" for t in texts]).withColumnRenamed("doc_id", "conv_id")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END AS lang FROM documents")
@@ -124,29 +132,38 @@ def candidate_choice(spark, sf_dir):
     return maintenance.chosen(e, "user_id").select("user_id", "event_id")
 
 
-@query("SELECT * FROM (VALUES ('1 bash', 'bash'), ('2 json', 'json'), ('3 python', 'python'), ('4 sql', 'sql'), ('5 yaml', 'yaml'), ('6 none', NULL), ('7 shell', 'shellsession'), ('8 diff', 'diff'), ('9 rust', 'rust')) AS t(name, language)")
+@query("SELECT doc_id, ['bash', 'json', 'python', 'sql', 'yaml', NULL, 'shellsession', 'diff', 'rust'][doc_id % 9 + 1] AS language FROM documents")
 def code_language(spark, sf_dir):
-    rows = [("1 bash", "#!/usr/bin/env bash\necho hi"), ("2 json", '{"a": [1, 2]}'), ("3 python", "import os\n\ndef f(x):\n    return os.path.join(x)\n"), ("4 sql", "SELECT a, b FROM t\nWHERE a = 1;"), ("5 yaml", "a: 1\nb:\n  - c: 2\nd: x"), ("6 none", "Just a sentence or two."), ("7 shell", "$ ls -l\ntotal 0"), ("8 diff", "@@ -1,2 +1,2 @@\n-a\n+b"), ("9 rust", "use std::io;\nfn main() {\n    let mut x = 1;\n}")]
-    return spark.createDataFrame(rows, "name string, code string").select("name", code.language(F.col("code")).alias("language"))
+    """A piece of code for every document, with its number where the language has a name or a value."""
+    n = F.col("doc_id").cast("string")
+    forms = ("#!/usr/bin/env bash\necho hi #", '{"a": [1, #]}', "import os\n\ndef f#(x):\n    return os.path.join(x)\n", "SELECT a, b FROM t#\nWHERE a = 1;", "a: 1\nb:\n  - c: #\nd: x", "Just a sentence or two, # times.", "$ ls -l a#\ntotal 0", "@@ -1,2 +1,2 @@\n-a#\n+b", "use std::io;\nfn main() {\n    let mut x# = 1;\n}")
+    parts = [F.concat(*[x for i, p in enumerate(form.rsplit("#", 1)) for x in ([n] if i else []) + [F.lit(p)]]) for form in forms]
+    return table(spark, sf_dir, "documents").select("doc_id", code.language(F.get(F.array(*parts), (F.col("doc_id") % 9).cast("int"))).alias("language"))
 
 
-@query("SELECT doc_id, CAST(1 AS BIGINT) AS blocks FROM documents WHERE NOT regexp_matches(text, '\\n[ \\t]*\\n') AND NOT regexp_matches(text, '(?m)^(?:```|~~~)')")
+@query(f"WITH {BLOCKS} SELECT doc_id, count(blocks.pos) + doc_id % 3 AS blocks FROM documents LEFT JOIN blocks USING (doc_id) GROUP BY doc_id")
 def one_block_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"\n[ \t]*\n") & ~F.col("text").rlike(r"(?m)^(?:```|~~~)"))
-    return d.select("doc_id", F.size(markdown.blocks(F.col("text"))).cast("long").alias("blocks"))
+    """Blocks of every text, with none, one or two put behind it, a fence with blank lines among them."""
+    k = F.col("doc_id") % 3
+    body = F.concat(F.coalesce("text", F.lit("")), F.when(k > 0, "\n\n~~~\na\n\nb\n~~~\n").otherwise("\n \n"), F.when(k == 2, "after").otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(markdown.blocks(body)).cast("long").alias("blocks"))
 
 
 @query()
 def pdf_markdown(spark, sf_dir):
+    """Eight texts are the pages of a document."""
     c = F.col
-    runs = table(spark, sf_dir, "documents").select(F.pmod("doc_id", F.lit(200)).alias("doc"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("seq", "text"))
+    runs = table(spark, sf_dir, "documents").select(F.floor(c("doc_id") / 8).alias("doc"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("seq", "text"))
     return pdf.to_markdown(runs.withColumn("size", F.when(c("seq") == 0, 16.0).otherwise(10.0)).withColumn("y", 800.0 - 12.0 * c("seq")))
 
 
-@query("SELECT doc_id, text <> '' AND length(text) BETWEEN floor(n_chars * 0.85) AND ceil(n_chars * 1.3) AS kept FROM documents")
+@query("""WITH r AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN substr(text, 1, length(text) * 4 // 5) ELSE text || text END AS reply FROM documents)
+SELECT doc_id, text <> '' AND length(reply) BETWEEN floor(length(text) * 0.85) AND ceil(length(text) * 1.3) AS kept FROM r""")
 def reply_keeps_length(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", ((F.col("text") != "") & translate.keeps_length(F.col("text"), F.col("text"))).alias("kept"))
+    """Replies of the same length, of four fifths and of twice as much."""
+    k = F.col("doc_id") % 3
+    reply = F.when(k == 0, F.col("text")).when(k == 1, F.expr("substr(text, 1, length(text) * 4 div 5)")).otherwise(F.concat("text", "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", ((F.col("text") != "") & translate.keeps_length(F.col("text"), reply)).alias("kept"))
 
 
 @query(r"SELECT page_id, CASE WHEN url LIKE '%?%' THEN regexp_replace(url, '[?#].*$', '') ELSE regexp_replace(url, '#.*$', '') END AS bare FROM pages")
@@ -160,6 +177,9 @@ def source_labels(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", urls.source_label(url, F.col("source")).alias("label"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(text, '\\s', '', 'g')) <> '' AS readable FROM documents")
+@query("SELECT doc_id, doc_id % 4 > 1 AND trim(regexp_replace(text, '\\s', '', 'g')) <> '' AS readable FROM documents")
 def readable_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.is_readable(F.col("text")).alias("readable"))
+    """Half of the texts are taken away: null, or white space alone."""
+    k = F.col("doc_id") % 4
+    body = F.when(k == 0, F.lit(" \u00a0\n\u3000")).when(k > 1, F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.is_readable(body).alias("readable"))

@@ -64,12 +64,12 @@ def furniture_lines(spark, sf_dir):
     return pdf.furniture(d, share=0.1)
 
 
-_RUNS = "runs AS (SELECT l_orderkey % 50 AS doc, l_returnflag AS font, round(l_quantity / 3, 1) AS size, repeat('x', l_linenumber) AS text, l_extendedprice / 1000 AS x, l_tax * 10 AS width, l_linenumber % 3 AS page, l_orderkey * 10 + l_linenumber AS seq FROM lineitem)"
+_RUNS = "runs AS (SELECT l_orderkey // 50 AS doc, l_returnflag AS font, round(l_quantity / 3, 1) AS size, repeat('x', l_linenumber) AS text, l_extendedprice / 1000 AS x, l_tax * 10 AS width, l_linenumber % 3 AS page, l_orderkey * 10 + l_linenumber AS seq FROM lineitem)"
 
 
 def _runs(spark, sf_dir):
     c = F.col
-    return table(spark, sf_dir, "lineitem").select((c("l_orderkey") % 50).alias("doc"), c("l_returnflag").alias("font"), F.round(c("l_quantity") / 3, 1).alias("size"), F.expr("repeat('x', l_linenumber)").alias("text"), (c("l_extendedprice") / 1000).alias("x"), (c("l_tax") * 10).alias("width"), (c("l_linenumber") % 3).alias("page"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("seq"))
+    return table(spark, sf_dir, "lineitem").select(F.floor(c("l_orderkey") / 50).alias("doc"), c("l_returnflag").alias("font"), F.round(c("l_quantity") / 3, 1).alias("size"), F.expr("repeat('x', l_linenumber)").alias("text"), (c("l_extendedprice") / 1000).alias("x"), (c("l_tax") * 10).alias("width"), (c("l_linenumber") % 3).alias("page"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("seq"))
 
 
 @query(f"WITH {_RUNS}, s AS (SELECT doc, round(size, 1) AS size, sum(length(text)) AS n FROM runs GROUP BY 1, 2) SELECT doc, arg_max(size, (n, size)) AS body_size FROM s GROUP BY doc")
