@@ -125,6 +125,12 @@ def blocks(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.posexplode("blocks").alias("pos", "b")).select("doc_id", "pos", "b.type", "b.text")
 
 
+def with_pictures_outdented(parts: DataFrame) -> DataFrame:
+    """Blocks (doc_id, pos, type, text) in which indented code of nothing but pictures is a paragraph of them."""
+    only = (F.col("type") == "code") & F.col("text").rlike(r"\A(?:(?: {4}|\t)[ \t]*!\[[^\]\n]*\]\([^)\n]+\)[ \t]*(?:\n|\z))+\z")
+    return parts.select("doc_id", "pos", F.when(only, "paragraph").otherwise(F.col("type")).alias("type"), F.when(only, F.regexp_replace("text", r"(?m)^[ \t]+|[ \t]+$", "")).otherwise(F.col("text")).alias("text"))
+
+
 def with_links_inlined(parts: DataFrame) -> DataFrame:
     """Blocks (doc_id, pos, type, text) with reference links of their document's definitions inlined; definitions go.
 

@@ -223,3 +223,12 @@ def document_blocks(spark, sf_dir):
     )
     rows = document.with_links_inlined(document.blocks(table(spark, sf_dir, "documents").select("doc_id", body.alias("text"))))
     return rows.select("doc_id", F.when(F.col("pos") > 4, F.col("pos") - 1).otherwise(F.col("pos")).alias("pos"), "type", "text")
+
+
+@query(r"""SELECT doc_id, i - 1 AS pos, ['paragraph', 'paragraph', 'heading', 'code', 'list'][i] AS type,
+  ['p ' || source, '![a](x.png)' || chr(10) || '![](y' || doc_id || '.png)', '# H', '    code ![a](x)', '- item' || chr(10) || chr(10) || '      ![c](z.png)'][i] AS text
+  FROM documents, unnest(range(1, 6)) AS u(i)""")
+def outdented_pictures(spark, sf_dir):
+    """Pictures indented as code are paragraphs; other code and pictures of list items stay."""
+    body = F.concat(F.lit("p "), F.col("source"), F.lit("\n\n    ![a](x.png)\n\t![](y"), F.col("doc_id").cast("string"), F.lit(".png) \n\n# H\n\n    code ![a](x)\n\n- item\n\n      ![c](z.png)\n"))
+    return document.with_pictures_outdented(document.blocks(table(spark, sf_dir, "documents").select("doc_id", body.alias("text"))))
