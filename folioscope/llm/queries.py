@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import byte_bpe, decontamination, kd_shards, language_model, pii, quality, simhash, substring_dedup, toxicity, warc
+from folioscope.llm import byte_bpe, decontamination, kd_shards, language_model, merkle, pii, quality, simhash, substring_dedup, toxicity, warc
 
 ORACLES: dict[str, str] = {}
 
@@ -102,4 +102,62 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, code AS payload_digest,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM coded"""
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_kd_sharding, op3_pii, op10_warc, op4_quality_rules, op5_lm_scoring, op6_byte_bpe, op7_substring_dedup, op8_simhash_near_dedup, op9_benchmark_decontamination)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    tampered = {f: F.col(f) + 1 if f == "n_chars" else F.col(f) for f in merkle.FIELDS}
+    forged = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, merkle.leaf(list(tampered.values())))
+    found = merkle.manifest(docs, keep={"forged": forged})
+    folded = found.withColumn("folded_root", merkle.folded(F.coalesce("forged", "leaf"), F.col("proof")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of ASCII text in SQL, bit by bit."""
+    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
+    codes = f"list_transform(string_split({text}, ''), lambda d: CAST(ascii(d) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: {step}), 4294967295)"
+
+
+def _leaf(n_chars: str) -> str:
+    fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text")
+    return "sha256(" + " || ".join(f"coalesce(CAST(strlen({f}) AS VARCHAR) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+_ABOVE = "list_transform(range(0, (len(nodes) + 1) // 2), lambda k: sha256(nodes[2 * k + 1] || coalesce(nodes[2 * k + 2], '')))"
+_FOLD = "list_reduce(list_prepend({leaf}, proof), lambda node, s: sha256(CASE s[1] WHEN 'l' THEN s[2:] || node WHEN 'r' THEN node || s[2:] ELSE node END))"
+
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, lang, {_leaf('n_chars')} AS leaf,
+    CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN {_leaf('(n_chars + 1)')} END AS forged FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM hashed),
+grown AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY i) AS nodes FROM leaves GROUP BY lang
+  UNION ALL SELECT lang, level + 1, {_ABOVE} FROM grown WHERE len(nodes) > 1),
+subroots AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS k FROM grown WHERE len(nodes) = 1),
+top AS (
+  SELECT 0 AS level, list(subroot ORDER BY k) AS nodes FROM subroots
+  UNION ALL SELECT level + 1, {_ABOVE} FROM top WHERE len(nodes) > 1),
+cells AS (
+  SELECT lang, false AS up, level, unnest(nodes) AS node, unnest(range(len(nodes))) AS at FROM grown WHERE len(nodes) > 1
+  UNION ALL SELECT NULL, true, level, unnest(nodes), unnest(range(len(nodes))) FROM top WHERE len(nodes) > 1),
+levels AS (SELECT DISTINCT lang, up, level FROM cells),
+climbs AS (
+  SELECT i, l.lang, v.up, v.level, (CASE WHEN v.up THEN k ELSE i END) // CAST(2 ** v.level AS BIGINT) AS at
+  FROM leaves AS l JOIN subroots AS s ON l.lang IS NOT DISTINCT FROM s.lang
+  JOIN levels AS v ON v.up OR v.lang IS NOT DISTINCT FROM l.lang),
+proofs AS (
+  SELECT c.i, c.lang, list(CASE WHEN n.node IS NULL THEN '' WHEN n.at < c.at THEN 'l' || n.node ELSE 'r' || n.node END ORDER BY c.up, c.level) AS proof
+  FROM climbs AS c LEFT JOIN cells AS n
+    ON n.up = c.up AND n.level = c.level AND n.at = xor(c.at, 1) AND (c.up OR n.lang IS NOT DISTINCT FROM c.lang)
+  GROUP BY c.i, c.lang),
+whole AS (
+  SELECT l.*, s.subroot, coalesce(p.proof, []) AS proof, (SELECT nodes[1] FROM top WHERE len(nodes) = 1) AS root
+  FROM leaves AS l JOIN subroots AS s ON l.lang IS NOT DISTINCT FROM s.lang
+  LEFT JOIN proofs AS p ON p.i = l.i AND p.lang IS NOT DISTINCT FROM l.lang)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(list_reduce(list_prepend('', list_transform(proof, lambda s: s[2:])), lambda a, b: a || b), '')) AS proof_sha256,
+  {_FOLD.format(leaf='coalesce(forged, leaf)')} AS folded_root, {_FOLD.format(leaf='coalesce(forged, leaf)')} = root AS verified
+FROM whole"""
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_kd_sharding, op3_pii, op10_warc, op11_merkle_manifest, op4_quality_rules, op5_lm_scoring, op6_byte_bpe, op7_substring_dedup, op8_simhash_near_dedup, op9_benchmark_decontamination)}
