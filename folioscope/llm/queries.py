@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import byte_bpe, decontamination, kd_shards, language_model, merkle, pii, quality, simhash, substring_dedup, toxicity, warc
+from folioscope.llm import byte_bpe, conversation_repair, decontamination, kd_shards, language_model, merkle, pii, quality, simhash, substring_dedup, toxicity, warc
 
 ORACLES: dict[str, str] = {}
 
@@ -160,4 +160,65 @@ SELECT doc_id, leaf, subroot, root, sha256(coalesce(list_reduce(list_prepend('',
 FROM whole"""
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_kd_sharding, op3_pii, op10_warc, op11_merkle_manifest, op4_quality_rules, op5_lm_scoring, op6_byte_bpe, op7_substring_dedup, op8_simhash_near_dedup, op9_benchmark_decontamination)}
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_repair.repaired(conversation_repair.damaged(turns), turns)
+
+
+def _edit(letter: str, cost: int, to: int, line: str | None = None) -> str:
+    """A way to the end as {k: cost in nine digits and audit, t: lines}, with one more edit in front."""
+    lines = f"list_prepend({line}, s{to}.t)" if line else f"s{to}.t"
+    return f"{{'k': lpad(CAST(CAST(s{to}.k[1:9] AS BIGINT) + {cost} AS VARCHAR), 9, '0') || '{letter}' || s{to}.k[10:], 't': {lines}}}"
+
+
+def _least(ways: list[str]) -> str:
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))[1]"
+
+
+def _ways(state: int) -> str:
+    """The cheapest way from a state before a turn, insertions aside."""
+    role, to = (("a", 3) if state == 2 else ("u", 2))
+    named = {"u": "user", "a": "assistant"}[role]
+    ways = [_edit("D", 4, state)]
+    for letter, cost, after, line, test in [("K", 0, to, "role || ':' || text", f"initial = '{role}'"), ("R", 3, to, f"'{named}:' || text", "true")] + [("K", 0, 1, "role || ':' || text", "initial = 's'")] * (state == 0):
+        ways += [f"CASE WHEN fault = {f} AND {test} THEN {_edit(letter, cost + worse, after, line)} END" for f, worse in ((0, 0), (3, 3))]
+    return _least(ways)
+
+
+ORACLES["op12_conversation_repair"] = f"""
+WITH RECURSIVE fates AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS fate FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy FROM fates WHERE fate <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text), copy) AS pos,
+    count(*) OVER (PARTITION BY conv_id) AS n, left(role, 1) AS initial FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 2
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault,
+    coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal FROM placed),
+ways AS (
+  SELECT conv_id, n + 1 AS pos, {{'k': '000000000', 't': CAST([] AS VARCHAR[])}} AS s0, {{'k': '000000006II', 't': ['user:', 'assistant:']}} AS s1,
+    {{'k': '000000003I', 't': ['assistant:']}} AS s2, {{'k': '000000000', 't': CAST([] AS VARCHAR[])}} AS s3
+  FROM (SELECT DISTINCT conv_id, n FROM judged)
+  UNION ALL
+  SELECT conv_id, pos, {_least(['s0', _edit('I', 3, 2, "'user:'")])}, {_least(['s1', _edit('I', 3, 2, "'user:'")])}, s2, {_least(['s3', _edit('I', 3, 2, "'user:'")])}
+  FROM (SELECT conv_id, pos, s0, s1, {_least(['s2', _edit('I', 3, 3, "'assistant:'")])} AS s2, s3
+        FROM (SELECT j.conv_id, j.pos, {', '.join(f'{_ways(q)} AS s{q}' for q in range(4))}
+              FROM ways AS w JOIN judged AS j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.pos = w.pos - 1))),
+sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+    count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (illegal) AS illegal FROM judged GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(s0.k[1:9], '0') AS BIGINT) AS cost,
+  coalesce(s0.k[10:], '') AS audit, sha256(coalesce(array_to_string(s0.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c
+LEFT JOIN sums AS s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN (SELECT * FROM ways WHERE pos = 1) AS w ON w.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_kd_sharding, op3_pii, op10_warc, op11_merkle_manifest, op12_conversation_repair, op4_quality_rules, op5_lm_scoring, op6_byte_bpe, op7_substring_dedup, op8_simhash_near_dedup, op9_benchmark_decontamination)}
