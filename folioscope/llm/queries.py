@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import byte_bpe, conversation_repair, decontamination, kd_shards, language_model, merkle, pii, quality, simhash, substring_dedup, toxicity, warc
+from folioscope.llm import byte_bpe, conversation_repair, decontamination, kd_shards, language_model, merkle, minhash, pii, quality, simhash, substring_dedup, toxicity, warc
 
 ORACLES: dict[str, str] = {}
 
@@ -221,4 +221,22 @@ LEFT JOIN sums AS s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
 LEFT JOIN (SELECT * FROM ways WHERE pos = 1) AS w ON w.conv_id IS NOT DISTINCT FROM c.conv_id"""
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_kd_sharding, op3_pii, op10_warc, op11_merkle_manifest, op12_conversation_repair, op4_quality_rules, op5_lm_scoring, op6_byte_bpe, op7_substring_dedup, op8_simhash_near_dedup, op9_benchmark_decontamination)}
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
+ORACLES["op13_minhash_near_dedup"] = rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM docs, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles AS a JOIN shingles AS b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes AS x ON x.doc_id = a JOIN sizes AS y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id, doc_id AS other FROM docs UNION SELECT r.doc_id, l.b FROM reached AS r JOIN both_ways AS l ON l.a = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM docs AS d LEFT JOIN sizes AS s USING (doc_id) LEFT JOIN least USING (doc_id)"""
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_kd_sharding, op3_pii, op10_warc, op11_merkle_manifest, op12_conversation_repair, op13_minhash_near_dedup, op4_quality_rules, op5_lm_scoring, op6_byte_bpe, op7_substring_dedup, op8_simhash_near_dedup, op9_benchmark_decontamination)}
