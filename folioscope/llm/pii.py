@@ -278,13 +278,19 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """The documents with every span generalised to its kind, such as <EMAIL>; their other columns stay, n_chars follows."""
+    """The documents with every span generalised to its kind, such as <EMAIL>; their other columns stay, n_chars follows.
+
+    Null and empty texts stay as they are, and so does every row: repeated ones, and those without a doc_id. Spans are
+    found by doc_id and text, so equal rows are treated alike. A long text takes time in proportion. An empty table
+    stays empty. Columns may have any names.
+    """
     marks = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    spans = sanitised_spans(docs).where(F.size("spans") > 0).select(F.col("key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
-    joined = docs.withColumn("_key", _key()).join(spans, "_key", "left")
-    text = F.col("text")
-    new = _rewritten(text, F.col("_spans"), lambda s, at: F.when(s["start"] >= at, F.element_at(marks, s["rank"] + 1)).otherwise(""))
-    out = joined.withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(new))
+    spans = sanitised_spans(docs).where(F.size("spans") > 0).select("key", "spans").dropDuplicates(["key"])
+    joined = docs.select(_key().alias("key"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")).join(spans, "key", "left")
+    text, clean = F.col("row.text"), F.col("spans").isNull()
+    new = _rewritten(text, F.col("spans"), lambda s, at: F.when(s["start"] >= at, F.element_at(marks, s["rank"] + 1)).otherwise(""))
+    changed = joined.withColumn("new", F.when(clean, text).otherwise(new))
+    instead = {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+        instead["n_chars"] = F.when(clean, F.col("row.n_chars")).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType))
+    return changed.select(*[instead.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

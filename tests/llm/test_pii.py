@@ -104,6 +104,15 @@ def test_sanitise(spark, awkward):
     assert all("<EMAIL>" in r.text and "<TERM>" in r.text and "nightjar" not in r.text and r.n_chars == len(r.text) for r in hidden)
 
 
+def test_sanitise_leaves_columns_of_any_name(spark, awkward):
+    names = ("_key", "_spans", "key", "spans", "row", "new", "a.b")
+    docs = awkward([(1, "mail me at one@two.org now"), (None, "call +1 (017) 555-7713"), (3, None), (4, "")], extra=names)
+    got = pii.sanitise(docs)
+    assert got.schema.names == docs.schema.names
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == [("1", "mail me at <EMAIL> now"), ("3", "None"), ("4", ""), ("None", "call <PHONE>")]
+    assert {r[n] for r in got.collect() for n in names} == {"clash"}
+
+
 def test_empty(spark, awkward):
     assert pii.report(awkward([])).count() == 0
 
