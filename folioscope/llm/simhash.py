@@ -56,15 +56,16 @@ def fingerprints_of(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint's bits as a long."""
+def fingerprints(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id and fp, the fingerprint's bits as a long, with other columns of longs."""
+    longs = ("doc_id", *also)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in text_chunks(batches):
             fp = fingerprints_of(texts_of(table)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks().cast(pa.int64()), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(table[c].combine_chunks().cast(pa.int64()) for c in longs), pa.array(fp)], [*longs, "fp"])
 
-    return short_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return short_batches(docs).select(*longs, "text").mapInArrow(run, ", ".join(f"{c} long" for c in (*longs, "fp")))
 
 
 def block_masks(n: int, radius: int = RADIUS) -> list[int]:
@@ -202,17 +203,27 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     A very long text is worked on alone. An empty table gives no rows. Columns besides doc_id and text aren't read.
     """
     fps = saved(fingerprints(docs))
-    classes = saved(fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(_LAST)).alias("name")))
-    rooted = components(links(classes, radius)).select(F.col("node.fp").alias("fp"), F.col("root.name").alias("root"))
-    of_class = classes.join(rooted, "fp", "left").select("fp", F.nullif(F.coalesce("root", "name"), F.lit(_LAST)).alias("component_id"))
+    of_class = _rooted(fps, radius).select("fp", F.nullif("root.name", F.lit(_LAST)).alias("component_id"))
     return fps.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _rooted(fps: DataFrame, radius: int) -> DataFrame:
+    """Each distinct fp with root (name, fp), the class that names its component."""
+    classes = saved(fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(_LAST)).alias("name")))
+    rooted = components(links(classes, radius)).select(F.col("node.fp").alias("fp"), "root")
+    return classes.join(rooted, "fp", "left").select("fp", F.coalesce("root", F.struct("name", "fp")).alias("root"))
+
+
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents that name their component, with their own columns; one row of a doc_id.
+    """One document of each component, with its own columns: of the class that names it, a row with the least doc_id.
 
-    Documents without a doc_id can't be named, so all of them stay.
+    Other texts under a repeated doc_id stand for their own components. Repeated rows leave one. Documents without a
+    doc_id can't be named, so all of them stay. Null and empty texts are one class. An empty table stays empty. Columns
+    may have any names.
     """
-    named = near_duplicates(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).union(docs.where("doc_id IS NULL"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("at"))
+    fps = saved(fingerprints(keyed, "at"))
+    kept = fps.join(_rooted(fps, radius), "fp").where("doc_id = root.name AND fp = root.fp").groupBy("doc_id", "fp").agg(F.min("at").alias("at"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("at"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    named = rows.join(kept, ["doc_id", "at"], "left_semi").dropDuplicates(["doc_id", "at"])
+    return named.union(rows.where("doc_id IS NULL")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -127,3 +127,17 @@ def test_spanning_links_of_large_groups():
 def test_repeated_doc_ids_with_other_texts_stay_apart(spark, awkward):
     docs = [(1, "alpha beta gamma delta " * 3), (1, "entirely different words stand over here now"), (2, "alpha beta gamma delta " * 3), (None, "lonely nameless text of no number")]
     assert sorted(map(tuple, simhash.near_duplicates(awkward(docs)).collect()), key=str) == brute(docs)
+
+
+def test_keep_one_keeps_other_texts_of_a_doc_id(spark, awkward):
+    one, other = "alpha beta gamma delta epsilon " * 9, "entirely different words stand over here now and then some"
+    docs = awkward([(1, one), (1, other), (1, other), (2, one), (3, "quite another one that nothing here resembles at all")], extra=("_key", "at", "row", "fp", "root"))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, one), (1, other), (3, "quite another one that nothing here resembles at all")])
+    assert {(r._key, r.at, r.row, r.fp, r.root) for r in kept.collect()} == {("clash",) * 5}
+
+
+def test_keep_one_of_a_very_long_text(spark, awkward):
+    docs = awkward([(2, "long words " * 200000), (1, "long words " * 200000), (None, ""), (4, "")])
+    assert sorted((str(r.doc_id) for r in simhash.keep_one(docs).collect())) == ["1", "4", "None"]
