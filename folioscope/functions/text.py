@@ -5,15 +5,19 @@ from pyspark.sql import functions as F
 
 #: Words and characters a reader takes in a minute.
 WORDS_A_MINUTE, CHARACTERS_A_MINUTE = 250, 400
-CJK = r"[぀-ヿ㐀-䶿一-鿿豈-﫿가-힯]"
-WORD = r"[\p{L}\p{N}]+(?:['’.-][\p{L}\p{N}]+)*"
+#: Scripts written without spaces, by Unicode's blocks.
+CJK_BLOCKS = ("Hiragana", "Katakana", "CJK_Unified_Ideographs_Extension_A", "CJK_Unified_Ideographs", "CJK_Compatibility_Ideographs", "Hangul_Syllables")
+CJK = "[" + "".join(rf"\p{{In{b}}}" for b in CJK_BLOCKS) + "]"
+#: A letter or digit of other scripts; one that an apostrophe, full stop or hyphen ties to the one before goes on with its word.
+_SIGN = rf"[\p{{L}}\p{{N}}&&[^{CJK[1:-1]}]]"
+WORD_BEGINS = rf"(?<!{_SIGN})(?<!{_SIGN}['’.-]){_SIGN}"
 
 
 def reading_minutes(body: Column) -> Column:
-    """Words and CJK characters at their rates, rounded half up, one at least."""
-    cjk = F.regexp_count(body, F.lit(CJK))
-    words = F.regexp_count(F.regexp_replace(body, CJK, " "), F.lit(WORD))
-    return F.greatest(F.lit(1), F.floor(words / F.lit(WORDS_A_MINUTE) + cjk / F.lit(CHARACTERS_A_MINUTE) + F.lit(0.5))).cast("long")
+    """Beginnings of words and CJK characters at their rates, rounded half up, one at least."""
+    words, characters = (F.regexp_count(body, F.lit(p)) for p in (WORD_BEGINS, CJK))
+    minutes = words / F.lit(WORDS_A_MINUTE) + characters / F.lit(CHARACTERS_A_MINUTE)
+    return F.greatest(F.lit(1), F.floor(minutes + F.lit(0.5))).cast("long")
 
 
 def count_words(body: Column) -> Column:

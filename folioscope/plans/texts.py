@@ -7,7 +7,9 @@ from folioscope.operators import search, similar
 from folioscope.plans.registry import query
 from folioscope.plans.tables import table
 
-_WORD = r"[\p{L}\p{N}]+(?:[''’.-][\p{L}\p{N}]+)*"
+#: Words: letters and digits, once the signs that tie two of them have gone (twice, since neighbours share a letter).
+_TIED = r"([\p{L}\p{N}])[''’.-]([\p{L}\p{N}])"
+_WORDS = rf"len(regexp_extract_all(regexp_replace(regexp_replace(text, '{_TIED}', '\1\2', 'g'), '{_TIED}', '\1\2', 'g'), '[\p{{L}}\p{{N}}]+'))"
 _SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x{000B}]"
 
 
@@ -15,7 +17,7 @@ def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-@query(rf"SELECT doc_id, CAST(greatest(1, floor(len(regexp_extract_all(text, '{_WORD}')) / 250 + 0.5)) AS BIGINT) AS minutes FROM documents")
+@query(rf"SELECT doc_id, CAST(greatest(1, floor({_WORDS} / 250 + 0.5)) AS BIGINT) AS minutes FROM documents")
 def reading_minutes(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", text.reading_minutes(F.col("text")).alias("minutes"))
 
