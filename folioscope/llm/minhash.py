@@ -7,11 +7,15 @@ its bins are full, which takes a large one a single round. The share of equal co
 independent samples would, with the same tail bounds. BANDS bands of BAND coordinates bring together a pair of
 similarity 0.85 with all but (1 - 0.85 ** 4) ** 32 = 6e-11 of the chances.
 
-Equal sets are one class. In a band's bucket, classes aren't paired with each other: each is compared with the bucket's
-pivot, its least hash, and what links joins components. Buckets whose classes lie in several components are looked at
-again with other pivots while that leaves at most half of the pairs between components; what is then left is compared
-pair by pair, but only across components and never twice, since a pair within one adds nothing. Sets are hashes of 64
-bits, taken again from the texts of the classes that share a bucket; links are decided on whole sets.
+Equal sets are one class. In a bucket (the classes that share a band's key), classes aren't paired with each other: each
+is compared with the pivot, the class that shares most buckets, and links are joined to components. Two classes x and y
+that p isn't linked with both have at most min(|x & p|, |y & p|) shingles in common within p. If these are too few for a
+link, they share shingles that p lacks, at least as many as are missing: so the classes meet again in buckets of p and
+one such shingle, of which a prefix is enough, as in prefix filtering. If they could be enough, the pair is compared.
+Buckets shrink by their pivot in each round, and close when their classes are one component, so near copies take few
+rounds and comparisons in proportion to their number. What is open after ROUNDS rounds is compared pair by pair across
+components. Sets are hashes of 64 bits, taken again from the texts of the classes that share a bucket; links are decided
+on whole sets.
 """
 
 from collections.abc import Iterable, Iterator
@@ -28,8 +32,8 @@ SHINGLE, SIZE, BAND = 5, 128, 4
 BANDS = SIZE // BAND
 #: Links have 100 * common >= PERCENT * together.
 PERCENT = 85
-#: Pairs between components that are compared at once, for each class in an open bucket; more are left to new pivots first.
-FEW_PAIRS = 4
+#: Rounds of pivots; what is open then is compared pair by pair.
+ROUNDS = 8
 _EMPTY, _GOLDEN = np.uint64((1 << 64) - 1), np.uint64(0x9E3779B97F4A7C15)
 #: Names a class without any doc_id; it comes after all others.
 _LAST = (1 << 63) - 1
@@ -66,7 +70,7 @@ def sketches(values: np.ndarray, bounds: np.ndarray, size: int = SIZE) -> np.nda
         if not len(values):
             break
         with np.errstate(over="ignore"):
-            h = mixed(values + np.uint64(i + 1) * _GOLDEN)
+            h = mixed(values + np.uint64((i + 1) * int(_GOLDEN) % (1 << 64)))
         bins = ((h >> np.uint64(56)) * np.uint64(size) >> np.uint64(8)).astype(np.int64) if i < size else i - size
         np.minimum.at(out, owner * size + bins, (np.uint64(i) << np.uint64(56)) | (h & bits))
         open_sets = (out.reshape(n, size) == _EMPTY).any(axis=1)
@@ -89,7 +93,7 @@ def _fingerprints(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     """Two hashes of each set, whatever its order."""
     out = []
     for salt in (1, 2):
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(values + np.uint64(salt) * _GOLDEN), dtype=np.uint64)))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(values + np.uint64(salt * int(_GOLDEN) % (1 << 64))), dtype=np.uint64)))
         out.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
     return out
 
@@ -130,68 +134,102 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return short_batches(texts).mapInArrow(run, "name long, c1 long, body binary").dropDuplicates(["name", "c1"])
 
 
-LINKS = "a_name long, a_c1 long, b_name long, b_c1 long"
+COMPARED = "p_name long, p long, x_name long, x long, p_size long, x_size long, common long, added array<long>, wanted boolean"
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (p, x) of classes whose sets are alike enough, as nodes a < b of (name, c1)."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """COMPARED: of each pair (p, x) of classes the sizes, the common shingles, and, where wanted, what x has and p lacks."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            p_name, p_c1, p_body, x_name, x_c1, x_body = (batch[c].to_pylist() for c in ("p_name", "p", "p_body", "x_name", "x", "x_body"))
-            for i, (left, right) in enumerate(zip(p_body, x_body)):
-                small, large = sorted((len(left) // 8, len(right) // 8))
-                if 100 * small < percent * large:
-                    continue
-                both = np.sort(np.concatenate((np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64))))
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (small + large - common):
-                    out.append(sorted(((p_name[i], p_c1[i]), (x_name[i], x_c1[i]))))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k][j] for o in out], pa.int64()) for k in range(2) for j in range(2)], [f.split(" ")[0] for f in LINKS.split(", ")])
+            rows = []
+            for p_name, p, x_name, x, wanted, p_body, x_body in zip(*(batch[c].to_pylist() for c in ("p_name", "p", "x_name", "x", "wanted", "p_body", "x_body"))):
+                ours, theirs = np.frombuffer(p_body, np.uint64), np.frombuffer(x_body, np.uint64)
+                at = np.minimum(np.searchsorted(ours, theirs), len(ours) - 1)
+                there = ours[at] == theirs
+                rows.append((p_name, p, x_name, x, len(ours), len(theirs), int(there.sum()), theirs[~there].view(np.int64).tolist() if wanted else [], wanted))
+            kinds = [pa.int64()] * 7 + [pa.list_(pa.int64()), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [f.split(" ")[0] for f in COMPARED.split(", ")])
 
     with_x = pairs.join(sets.select(F.col("c1").alias("x"), F.col("name").alias("x_name"), F.col("body").alias("x_body")), "x")
     with_p = with_x.join(sets.select(F.col("c1").alias("p"), F.col("name").alias("p_name"), F.col("body").alias("p_body")), "p")
-    found = short_batches(with_p).mapInArrow(run, LINKS)
-    return found.select(*[F.struct(F.col(f"{k}_name").alias("name"), F.col(f"{k}_c1").alias("c1")).alias(k) for k in "ab"])
+    return short_batches(with_p).mapInArrow(run, COMPARED)
+
+
+def _enough(one: str, other: str, percent: int) -> Column:
+    """The least number of common shingles with which sets of two sizes are linked."""
+    return F.expr(f"({percent} * ({one} + {other}) + {99 + percent}) div {100 + percent}")
+
+
+def _edges(compared: DataFrame, percent: int) -> DataFrame:
+    """Links as nodes a < b of (name, c1)."""
+    p, x = (F.struct(F.col(f"{k}_name").alias("name"), F.col(k).alias("c1")) for k in "px")
+    return compared.where(F.col("common") >= _enough("p_size", "x_size", percent)).select(F.least(p, x).alias("a"), F.greatest(p, x).alias("b"))
+
+
+def _open(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, c1 and label of the buckets of three classes or more that lie in several components."""
+    labelled = met.join(labels, "c1", "left").select("key", "c1", F.coalesce("label", "c1").alias("label"))
+    wide = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 AND low <> high")
+    return labelled.join(wide.select("key"), "key", "left_semi")
+
+
+def _pivots(met: DataFrame) -> DataFrame:
+    """key and p: the class of a bucket that shares the most with others, in all buckets together."""
+    wide = met.join(met.groupBy("key").agg(F.count("*").alias("times")), "key")
+    hubs = wide.groupBy("c1").agg(F.sum("times").alias("shares"))
+    return met.join(hubs, "c1").groupBy("key").agg(F.count("*").alias("n"), F.max_by("c1", F.struct("shares", "c1")).alias("p"))
 
 
 def _rooted(met: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """node and root of the classes that have links; met: key and c1 of classes that share a bucket."""
     wanted = classes.join(met.select("c1").distinct(), "c1", "left_semi").select("name", "at1", "at2", "c1")
     sets = saved(_sets(docs, wanted))
-    n_classes, turn, before = sets.count(), 0, None
-    edges, tried = [], []
-    # Of a bucket's classes, each is compared with the pivot only.
-    pairs = met.join(met.groupBy("key").agg(F.min("c1").alias("p")), "key").where("p <> c1").select("p", F.col("c1").alias("x")).distinct()
-    while True:
-        pairs = saved(pairs)
-        tried.append(pairs)
-        edges.append(saved(_links(pairs, sets, percent)))
-        links = edges[0]
-        for more in edges[1:]:
-            links = links.union(more)
-        rooted = components(links)
-        if before is not None and before[1]:
-            return rooted
+    more, compared, edges = None, None, None
+    for turn in range(ROUNDS + 1):
+        with_pivot = saved(met.join(_pivots(met), "key"))
+        pairs = with_pivot.where("p <> c1").groupBy("p", F.col("c1").alias("x")).agg((F.max("n") > 2).alias("wanted"))
+        if more is not None:
+            pairs = pairs.union(more.withColumn("wanted", F.lit(False))).groupBy("p", "x").agg(F.max("wanted").alias("wanted"))
+        if compared is not None:
+            had = compared.groupBy("p", "x").agg(F.max("wanted").alias("had"))
+            pairs = pairs.join(had, ["p", "x"], "left").where("had IS NULL OR (wanted AND NOT had)").drop("had")
+        now = saved(_compared(pairs, sets))
+        compared = now if compared is None else compared.union(now)
+        edges = _edges(now, percent) if edges is None else edges.union(_edges(now, percent))
+        rooted = components(edges)
         labels = rooted.select(F.col("node.c1").alias("c1"), F.col("root.c1").alias("label"))
-        met = saved(met.select("key", "c1").join(labels, "c1", "left").select("key", "c1", F.coalesce("label", "c1").alias("label")))
-        by_label = met.groupBy("key", "label").agg(F.count("*").alias("n"))
-        across = by_label.groupBy("key").agg((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))).alias("across")).where("across > 0")
-        left = (across.agg(F.sum("across")).first()[0] or 0) / 2
-        if not left:
+        open_met = saved(_open(with_pivot.select("key", "c1"), labels))
+        if not open_met.limit(1).count():
             return rooted
-        met, turn = saved(met.join(across.select("key"), "key", "left_semi")), turn + 1
-        last = left <= FEW_PAIRS * n_classes or (before is not None and left > before[0] / 2)
-        before = (left, last)
-        if last:
-            a, b = (met.select("key", F.col("c1").alias(c), F.col("label").alias(f"{c}_label")) for c in ("p", "x"))
-            pairs = a.join(b, "key").where("p < x AND p_label <> x_label").select("p", "x").distinct()
-        else:
-            pivots = met.groupBy("key").agg(F.min_by(F.struct(F.col("c1").alias("p"), F.col("label").alias("p_label")), F.xxhash64("c1", F.lit(turn))).alias("pivot")).select("key", "pivot.*")
-            pairs = met.join(pivots, "key").where("label <> p_label").select(F.least("p", "c1").alias("p"), F.greatest("p", "c1").alias("x")).distinct()
-        for done in tried:
-            pairs = pairs.join(done, ["p", "x"], "left_anti")
+        if turn == ROUNDS:
+            a, b = (open_met.select("key", F.col("c1").alias(c), F.col("label").alias(f"{c}_label")) for c in ("p", "x"))
+            rest = a.join(b, "key").where("p < x AND p_label <> x_label").select("p", "x").distinct().withColumn("wanted", F.lit(False))
+            return components(edges.union(_edges(saved(_compared(rest, sets)), percent)))
+        members = open_met.join(with_pivot.select("key", "p").distinct(), "key").where("p <> c1").select("p", F.col("c1").alias("x"), "label").distinct()
+        known = compared.where("wanted").dropDuplicates(["p", "x"]).join(members, ["p", "x"])
+        least = known.groupBy("p").agg(F.min("x_size").alias("least"))
+        known = saved(known.join(least, "p").withColumn("need", _enough("x_size", "least", percent) - F.col("common")).select("p", "x", "label", "p_size", "x_size", "common", "added", "need"))
+        met, more = _meet_again(known), saved(_may_link(known, percent))
+        met = saved(met)
+
+
+def _meet_again(known: DataFrame) -> DataFrame:
+    """key and c1 of classes that share one of the first shingles that they have and their pivot lacks."""
+    prefix = F.slice("added", F.lit(1), F.greatest(F.size("added") - F.greatest(F.col("need"), F.lit(1)) + 1, F.lit(0)).cast("int"))
+    again = known.select("p", "x", "label", F.explode(prefix).alias("shingle")).select(F.xxhash64("p", "shingle").alias("key"), F.col("x").alias("c1"), "label")
+    shared = again.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return again.select("key", "c1").join(shared.select("key"), "key", "left_semi").distinct()
+
+
+def _may_link(known: DataFrame, percent: int) -> DataFrame:
+    """Pairs (p, x) of classes in different components that may be linked by what they share within their pivot."""
+    free = known.where("need <= 0").withColumn("linked", F.col("common") >= _enough("p_size", "x_size", percent))
+    a, b = (free.select("p", *[F.col(c).alias(f"{k}_{c}") for c in ("x", "label", "x_size", "common", "linked")]) for k in "ab")
+    near = (F.least("a_common", "b_common") >= _enough("a_x_size", "b_x_size", percent)) & (F.col("a_label") != F.col("b_label"))
+    # One of the two isn't linked with the pivot; where neither is, each pair is taken once.
+    once = ~F.col("a_linked") & (F.col("b_linked") | (F.col("a_x") < F.col("b_x")))
+    return a.join(b, "p").where(near & once).select(F.col("a_x").alias("p"), F.col("b_x").alias("x")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

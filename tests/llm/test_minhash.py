@@ -69,9 +69,27 @@ def test_a_large_group_is_not_paired_up(spark, awkward):
     assert sorted(map(tuple, minhash.near_duplicates(awkward(docs)).collect()), key=str) == brute(docs)
 
 
-def test_small_budget_of_pairs_takes_new_pivots(spark, awkward, monkeypatch):
-    monkeypatch.setattr(minhash, "FEW_PAIRS", 0)
-    docs = some_docs(60, 9)
+def families(seed, n=260):
+    """Edits, deletions and repetitions of edits of one text, and families of some of them: many borderline pairs."""
+    rng = random.Random(seed)
+    base = " ".join(f"w{i}" for i in range(150))
+    docs = [(0, base)]
+    for i in range(1, n):
+        words = edited(rng, rng.choice(docs)[1] if rng.random() < 0.4 else base, rng.choice([0, 1, 2, 3, 3, 4, 5])).split(" ")
+        for _ in range(rng.choice([0, 0, 1, 2, 6])):
+            del words[rng.randrange(len(words))]
+        docs.append((i, " ".join(words)))
+    return docs
+
+
+def test_families_of_near_copies(spark, awkward):
+    docs = families(4)
+    assert sorted(map(tuple, minhash.near_duplicates(awkward(docs)).collect()), key=str) == brute(docs)
+
+
+def test_what_is_open_after_all_rounds_is_compared(spark, awkward, monkeypatch):
+    monkeypatch.setattr(minhash, "ROUNDS", 0)
+    docs = families(9, 120)
     assert sorted(map(tuple, minhash.near_duplicates(awkward(docs)).collect()), key=str) == brute(docs)
 
 
