@@ -14,6 +14,7 @@ def local_session(cpus: int | str = 8, name: str = "folioscope") -> SparkSession
         .config("spark.sql.shuffle.partitions", str(cpus if str(cpus).isdigit() else 8))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("FOLIO_DRIVER_MEMORY", "8g"))
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
