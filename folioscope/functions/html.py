@@ -115,12 +115,35 @@ def absolute(url: Column, base: Column) -> Column:
     )
 
 
+#: What a content system puts between a picture's name and its ending.
+SIZES = r"(?:-\d+x\d+|-scaled|-e\d{10,})+(?=\.[a-z0-9]+$)"
+#: Proxies within proxies that are unwrapped.
+PROXIES = 8
+
+
+def _decoded(text: Column) -> Column:
+    return F.coalesce(F.try_url_decode(F.regexp_replace(text, r"\+", "%2B")), text)
+
+
+def _unwrapped(url: Column) -> Column:
+    """The address that an image proxy carries as its parameter url or in its path; the same address, if it is none."""
+    asked = _decoded(F.regexp_replace(F.regexp_extract(url, r"^[^?#]*\?(?:[^#]*&)?url=([^&#]*)", 1), r"\+", " "))
+    segments = F.split(F.regexp_extract(url, r"^https?://[^/?#]*([^?#]*)", 1), "/")
+    encoded = F.get(F.filter(F.transform(segments, _decoded), lambda p: p.rlike("(?i)^https?://")), F.lit(0))
+    plain = F.regexp_extract(url, r"(?i)^https?://[^/?#]*/(?:[^?#]*?/)?(https?:/{1,2}[^?#]+)", 1)
+    return F.when(asked != "", F.coalesce(absolute(asked, url), url)).otherwise(F.coalesce(encoded, F.nullif(F.regexp_replace(plain, r"^(?i)(https?:)/+", "$1//"), F.lit("")), url))
+
+
 def picture_key(url: Column) -> Column:
-    """One text for the sizes and formats that a picture is served in."""
-    bare = F.regexp_replace(F.lower(F.coalesce(F.try_url_decode(F.regexp_replace(url, r"\+", "%2B")), url)), r"[?#].*$", "")
-    inner = F.regexp_extract(bare, r"(https?://[^/]+/.*)$", 1)
-    name = F.regexp_extract(F.when(inner != "", F.regexp_replace(bare, r"^.*(https?://)", "$1")).otherwise(bare), r"([^/]+)$", 1)
-    return F.regexp_replace(F.regexp_replace(name, r"\.(?:jpe?g|png|webp|avif|gif)$", ""), r"(?:[-_@]\d+x\d+|[-_]\d+w|@\dx)$", "")
+    """One text for the sizes, crops and proxies that a picture is served under: the last two segments of its path.
+
+    They are decoded and in lower case; a size that a content system put behind the name goes, the ending stays. Null
+    for what is no http(s) address or has no path.
+    """
+    own = F.aggregate(F.sequence(F.lit(1), F.lit(PROXIES)), url, lambda at, _: F.when(at.rlike("[?&]url=|(?i).https?(?::|%3a)"), _unwrapped(at)).otherwise(at))
+    segments = F.filter(F.split(F.regexp_extract(own, r"^https?://[^/?#]+([^?#]*)", 1), "/"), lambda p: p != "")
+    named = F.transform(F.slice(segments, F.greatest(F.size(segments) - 1, F.lit(1)), F.lit(2)), lambda p: F.lower(_decoded(p)))
+    return F.when(F.size(segments) > 0, F.regexp_replace(F.array_join(named, "/"), SIZES, ""))
 
 
 def main_part(html: Column) -> Column:

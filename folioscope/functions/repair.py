@@ -14,13 +14,20 @@ def outside_code(text: Column, change) -> Column:
     return F.array_join(F.transform(prose, lambda p, i: F.concat(p, F.coalesce(F.get(codes, i), F.lit("")))), "")
 
 
+_SPLIT_LINK = r"(?s)\[\n[ \t]*\n(.*?)\n[ \t]*\n\]\("
+
+
 def split_links(prose: Column) -> Column:
-    """Text of a link that a line break cut in two, as one line."""
-    return F.regexp_replace(prose, r"\[([^\]\n]+)\n+[ \t]*([^\]\n]+)\](?=\()", "[$1 $2]")
+    """A link whose content stands between blank lines inside its brackets, on one line; other line breaks stay."""
+    inner = F.regexp_extract_all(prose, F.lit(_SPLIT_LINK), F.lit(1))
+    one_line = lambda text: F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    joined = F.transform(F.split(prose, _SPLIT_LINK, -1), lambda gap, i: F.concat(gap, F.coalesce(F.concat(F.lit("["), one_line(F.get(inner, i)), F.lit("](")), F.lit(""))))
+    return F.when(prose.rlike(_SPLIT_LINK), F.array_join(joined, "")).otherwise(prose)
 
 
 def split_footnotes(prose: Column) -> Column:
-    return F.regexp_replace(prose, r"\\?\[\s*\n+\s*(\d+)\s*\n*\s*\\?\]", r"[$1]")
+    """A footnote's escaped bracket that a blank line parts from its number."""
+    return F.regexp_replace(prose, r"(\\\[)\n[ \t]*\n(?=\d+\\\])", "$1")
 
 
 def link_titles(prose: Column) -> Column:

@@ -1,7 +1,8 @@
 """URL identity as column expressions: normal forms, publishers' canonical forms, slugs and short ids.
 
-Hosts are lower-cased and default ports, fragments and tracking parameters go. Where a parameter was removed, the rest
-is written as form data, with a space as '+'. Other percent-encoding stays as it was written.
+As the URL standard reads them: schemes and hosts in lower case, default ports and fragments gone, dot segments
+resolved, backslashes as slashes, what a component can't hold percent-encoded. Then tracking parameters go; where one
+was removed, the rest is written as form data. International host names stay as they were written.
 """
 
 from pyspark.sql import Column
@@ -26,23 +27,56 @@ def _either(words: tuple[str, ...]) -> str:
     return "|".join(w.replace(".", r"\.") for w in words)
 
 
+_SCHEME = r"^\s*([A-Za-z][A-Za-z0-9+.-]*:)[/\\]{2,}"
+_AUTHORITY = _SCHEME + r"([^/?#\\]*)"
+#: What a path and a query can't hold as it is, beside what isn't ASCII.
+PATH_SET, QUERY_SET = r"[\x00-\x20\"#<>?`{}\x7F]|[^\x00-\x7F]", r"[\x00-\x20\"#<>'\x7F]|[^\x00-\x7F]"
+_HERE, _UP = r"(?i)^(?:\.|%2e)$", r"(?i)^(?:\.|%2e){2}$"
+
+
+def encoded(text: Column, held_out: str) -> Column:
+    """The text with each character of a set as the bytes of its UTF-8, %XX."""
+    one = lambda c: F.when(c.rlike(held_out), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c)
+    return F.when(text.rlike(held_out), F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(text)
+
+
+def without_dots(path: Column) -> Column:
+    """The path with its segments folded: . stays in place, .. takes the segment before it, if any."""
+    segments = F.slice(F.split(path, "/"), F.lit(2), F.lit(1 << 20))
+
+    def add(kept: Column, segment: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(segment.rlike(_UP), up).when(segment.rlike(_HERE), kept).otherwise(F.concat(kept, F.array(segment)))
+
+    # A dot segment at the end leaves a slash there.
+    last = F.element_at(segments, -1)
+    walked = F.aggregate(segments, F.array().cast("array<string>"), add)
+    folded = F.concat(F.lit("/"), F.array_join(F.when(last.rlike(_UP) | last.rlike(_HERE), F.concat(walked, F.array(F.lit("")))).otherwise(walked), "/"))
+    return F.when(path.rlike(r"(?i)/(?:\.|%2e){1,2}(?:/|$)"), folded).otherwise(path)
+
+
 def origin(url: Column) -> Column:
-    """Scheme and host in lower case, without a default port."""
-    written = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
-    return F.regexp_replace(written, r"^(https://[^:]*):443$|^(http://[^:]*):80$", "$1$2")
+    """Scheme and host in lower case, who signs in as written, without a default port."""
+    scheme, authority = F.lower(F.regexp_extract(url, _SCHEME, 1)), F.regexp_extract(url, _AUTHORITY, 2)
+    user, host = F.regexp_extract(authority, "^(.*@)?", 1), F.lower(F.regexp_replace(authority, "^.*@", ""))
+    bare = F.when(scheme == "https:", F.regexp_replace(host, ":(?:443)?$", "")).when(scheme == "http:", F.regexp_replace(host, ":(?:80)?$", "")).otherwise(host)
+    return F.when((scheme == "") | (host == ""), "").otherwise(F.concat(scheme, F.lit("//"), user, bare))
 
 
 def path(url: Column) -> Column:
-    """The path without slashes at its end, '/' at least."""
-    found = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/+$", "")
+    """The path as it is read, without slashes at its end, '/' at least."""
+    written = F.regexp_replace(F.regexp_extract(url, _AUTHORITY + r"([^?#]*)", 3), r"\\", "/")
+    found = F.regexp_replace(without_dots(encoded(written, PATH_SET)), "/+$", "")
     return F.when(found == "", F.lit("/")).otherwise(found)
 
 
 def _query(url: Column) -> Column:
-    written = F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p != "")
-    kept = F.filter(written, lambda p: ~F.regexp_extract(p, "^([^=]*)", 1).rlike(rf"^(?:utm_.*|{_either(TRACKING)})$"))
-    form = F.regexp_replace(F.array_join(kept, "&"), "%20", "+")
-    text = F.when(F.size(kept) == F.size(written), F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)).otherwise(form)
+    whole = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    written = F.filter(F.split(whole, "&"), lambda p: p != "")
+    decoded = lambda t: F.coalesce(F.try_url_decode(t), t)
+    kept = F.filter(written, lambda p: ~decoded(F.regexp_extract(p, "^([^=]*)", 1)).rlike(rf"^(?:utm_.*|{_either(TRACKING)})$"))
+    form = F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(decoded(F.regexp_extract(p, "^([^=]*)", 1))), F.lit("="), F.url_encode(decoded(F.regexp_replace(p, "^[^=]*=?", ""))))), "&")
+    text = F.when(F.size(kept) == F.size(written), encoded(whole, QUERY_SET)).otherwise(form)
     return F.when(text == "", F.lit("")).otherwise(F.concat(F.lit("?"), text))
 
 

@@ -3,11 +3,11 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators import ranks
+
 FAVORITES = "favorites"
 #: Fixed value: pictures that a collection's cover shows.
 COVERS = 3
-#: Ranges into which all collections are cut for numbering, about.
-CUTS = 200
 
 
 def members(items: DataFrame, docs: DataFrame) -> DataFrame:
@@ -46,24 +46,12 @@ def order(updated: str = "updated_at", id: str = "id") -> list[Column]:
 
 
 def numbered(collections: DataFrame, updated: str = "updated_at", id: str = "id") -> DataFrame:
-    """Every collection's place in the order, from 1, as nth.
-
-    Cut points are taken from about CUTS ids, drawn by their hash, so equal and missing times are cut by id as well.
-    Places are counted within ranges, whose sizes are summed up first, so no task sorts all collections.
-    """
+    """Every collection's place in the order, from 1, as nth; counted by ranges, so no task sorts all collections."""
     late = F.col(updated)
     if dict(collections.dtypes)[updated].startswith("timestamp"):
         late = F.unix_micros(late)
-    keyed = collections.withColumn("_at", F.struct((F.col(id) != FAVORITES).alias("other"), late.isNull().alias("none"), (-late).alias("late"), F.col(id).alias("id")))
-    every = max(1, collections.count() // CUTS)
-    drawn = keyed.where(F.pmod(F.xxhash64(F.col(id)), F.lit(every)) == 0).select("_at")
-    cuts = F.broadcast(drawn.agg(F.array_sort(F.collect_set("_at")).alias("_cuts")))
-    placed = keyed.crossJoin(cuts).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_at")))).drop("_cuts")
-    sizes = placed.groupBy("_range").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*order(updated, id)))
-    joined = placed.withColumn("_nth", nth).join(sizes.select("_range", before.alias("_before")), "_range")
-    return joined.withColumn("nth", F.col("_before") + F.col("_nth")).drop("_at", "_range", "_nth", "_before")
+    place = F.struct((F.col(id) != FAVORITES).alias("other"), late.isNull().alias("none"), (-late).alias("late"), F.col(id).alias("id"))
+    return ranks.numbered(collections, None, place, "nth").withColumn("nth", F.col("nth") + 1)
 
 
 def with_favorites(collections: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Markdown documents as rows of top-level blocks: one line after the other, in tasks, without a shuffle."""
 
 import re
+from bisect import bisect
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -28,6 +29,7 @@ def split_blocks(text: str | None) -> list[tuple[str, str]]:
 
     A list is one block however loose it is: a blank line inside goes on with what is indented below an item, or with
     the next item of the same mark. A quote takes lazy lines. A fence ends with one at least as long, or with the text.
+    Display math that nothing closes is prose.
     """
     lines = (text or "").split("\n")
     out: list[tuple[str, str]] = []
@@ -41,6 +43,16 @@ def split_blocks(text: str | None) -> list[tuple[str, str]]:
         at = stop
 
     n = len(lines)
+    closers = [k for k in range(n) if lines[k].rstrip().endswith("$$")]
+
+    def _math_end(start: int) -> int:
+        """Behind the line that closes display math; 0 where none does, and the line is prose."""
+        own = lines[start].strip()
+        if len(own) > 3 and own.endswith("$$"):
+            return start + 1
+        k = bisect(closers, start)
+        return closers[k] + 1 if k < len(closers) else 0
+
     while at < n:
         line = lines[at]
         if not line.strip():
@@ -49,9 +61,8 @@ def split_blocks(text: str | None) -> list[tuple[str, str]]:
             mark = fence[1]
             close = re.compile(rf" {{0,3}}{re.escape(mark[0])}{{{len(mark)},}}[ \t]*$")
             take("code", next((k + 1 for k in range(at + 1, n) if close.match(lines[k])), n))
-        elif line.lstrip(" ").startswith("$$"):
-            own = line.strip()
-            take("math", at + 1 if len(own) > 3 and own.endswith("$$") else next((k + 1 for k in range(at + 1, n) if lines[k].rstrip().endswith("$$")), n))
+        elif line.lstrip(" ").startswith("$$") and (stop := _math_end(at)):
+            take("math", stop)
         elif re.match(r"(?: {4}|\t)", line):
             stop = at + 1
             while stop < n and (not lines[stop].strip() or re.match(r"(?: {4}|\t)", lines[stop])):

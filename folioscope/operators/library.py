@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators import ranks
+
 PAGE_SIZE, FEED_SIZE = 12, 100
 
 
@@ -16,18 +18,16 @@ def newest(docs: DataFrame, at: str = "clipped_at", key: str = "slug") -> list[C
     return [F.col(at).desc_nulls_last(), F.col(key).asc()]
 
 
-def numbered(docs: DataFrame, at: str, key: str, size: int = PAGE_SIZE, bucket: str = "day") -> DataFrame:
-    """Each document's position in the library (from 0) and page (from 1).
+def _place(at: str, key: str) -> Column:
+    """A document's place in the library's order, as a value that grows with it."""
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    return F.struct(micros.isNull().alias("none"), (-micros).alias("at"), F.col(key).alias("key"))
 
-    Positions are counted within days, whose sizes are summed up first, so no task sorts the whole library.
-    """
-    dated = docs.withColumn("_day", F.coalesce(F.date_trunc(bucket, F.col(at)), F.lit("0001-01-01").cast("timestamp")))
-    days = dated.groupBy("_day").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    nth = F.row_number().over(Window.partitionBy("_day").orderBy(*newest(docs, at, key))) - 1
-    placed = dated.withColumn("_nth", nth).join(days.select("_day", before.alias("_before")), "_day")
-    position = F.col("_before") + F.col("_nth")
-    return placed.withColumn("position", position).withColumn("page", F.floor(F.col("position") / size).cast("long") + 1).drop("_day", "_nth", "_before")
+
+def numbered(docs: DataFrame, at: str, key: str, size: int = PAGE_SIZE) -> DataFrame:
+    """Each document's position in the library (from 0) and page (from 1); ranges are counted, so a day of any size is fine."""
+    placed = ranks.numbered(docs, None, _place(at, key))
+    return placed.withColumn("page", F.floor(F.col("position") / size).cast("long") + 1)
 
 
 def page_count(docs: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
@@ -35,8 +35,8 @@ def page_count(docs: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
 
 
 def page(docs: DataFrame, at: str, key: str, number: int, size: int = PAGE_SIZE) -> DataFrame:
-    """One page by its number: a bounded top-k, not a sort of the library."""
-    return docs.orderBy(*newest(docs, at, key)).limit(number * size).orderBy(*newest(docs, at, key)).offset((number - 1) * size)
+    """One page by its number, however far back: positions are counted by ranges, and only the page's rows are sorted."""
+    return numbered(docs, at, key, size).where(F.col("page") == number).orderBy("position").drop("position", "page")
 
 
 def pager(current: Column, last: Column) -> Column:
@@ -56,20 +56,19 @@ def status(processed_at: Column, lang: Column, failed: Column, has_translation:
     return F.when(processed_at.isNull(), "pending").when(lang == "zh", "zh-original").when(has_translation & ~F.coalesce(failed, F.lit(False)), "translated").otherwise("untranslated")
 
 
-def neighbours(docs: DataFrame, at: str, key: str, within: str, bucket: str = "day") -> DataFrame:
+def neighbours(docs: DataFrame, at: str, key: str, within: str) -> DataFrame:
     """The newer and older document of each one in its group.
 
-    They are looked up within days; a day's ends get theirs from the days beside it, a row for each group and day.
+    They are looked up within ranges; a range's ends get theirs from the ranges beside it, a row for each group and range.
     """
-    dated = docs.withColumn("_day", F.date_trunc(bucket, F.col(at)))
-    place = F.struct((-F.unix_micros(F.col(at).cast("timestamp"))).alias("at"), F.col(key).alias("key"))
-    ends = dated.groupBy(F.col(within).alias("_within"), F.col("_day").alias("_of")).agg(F.min_by(key, place).alias("_first"), F.max_by(key, place).alias("_last"))
-    days = Window.partitionBy("_within").orderBy(F.desc_nulls_last("_of"))
-    beside = ends.select("_within", "_of", F.lag("_last").over(days).alias("_newer"), F.lead("_first").over(days).alias("_older"))
-    order = Window.partitionBy(within, "_day").orderBy(*newest(docs, at, key))
-    inside = dated.withColumn("newer", F.lag(key).over(order)).withColumn("older", F.lead(key).over(order))
-    joined = inside.join(beside, F.col(within).eqNullSafe(F.col("_within")) & F.col("_day").eqNullSafe(F.col("_of")))
-    return joined.withColumn("newer", F.coalesce("newer", "_newer")).withColumn("older", F.coalesce("older", "_older")).drop("_day", "_within", "_of", "_newer", "_older")
+    placed = ranks.ranged(docs, within, _place(at, key))
+    ends = placed.groupBy(F.col(within).alias("_within"), F.col("_range").alias("_of")).agg(F.min_by(key, "_at").alias("_first"), F.max_by(key, "_at").alias("_last"))
+    ranges = Window.partitionBy("_within").orderBy("_of")
+    beside = ends.select("_within", "_of", F.lag("_last").over(ranges).alias("_newer"), F.lead("_first").over(ranges).alias("_older"))
+    order = Window.partitionBy(within, "_range").orderBy("_at")
+    inside = placed.withColumn("newer", F.lag(key).over(order)).withColumn("older", F.lead(key).over(order))
+    joined = inside.join(beside, F.col(within).eqNullSafe(F.col("_within")) & (F.col("_range") == F.col("_of")))
+    return joined.withColumn("newer", F.coalesce("newer", "_newer")).withColumn("older", F.coalesce("older", "_older")).drop("_at", "_range", "_within", "_of", "_newer", "_older")
 
 
 def feed(docs: DataFrame, at: str, key: str, size: int = FEED_SIZE) -> DataFrame:

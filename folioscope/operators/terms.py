@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import tags
+from folioscope.operators import ranks
 
 #: A vocabulary's least documents and its size; a report's longest list.
 LEAST_DOCUMENTS, VOCABULARY_SIZE, TOP = 2, 150, 20
@@ -72,18 +73,14 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def members(docs: DataFrame, at: str, size: int = 12) -> DataFrame:
-    """Each term's documents (slug, kind, tags, a time) by page, newest first: positions within days, whose sizes add up.
+    """Each term's documents (slug, kind, tags, a time) by page, newest first.
 
-    A term that a third of all documents have is a task for each day of it, and not one for the term.
+    Positions are counted within ranges of a term, so one that a third of all documents have is many tasks.
     """
-    raw = docs.select("slug", "kind", at, F.explode(F.array_distinct(F.transform("tags", tags.slug))).alias("term")).withColumn("_day", F.date_trunc("day", at))
-    days = raw.groupBy("term", "_day").agg(F.count("*").alias("n"))
-    earlier = F.sum("n").over(Window.partitionBy("term").orderBy(F.desc_nulls_last("_day")).rowsBetween(Window.unboundedPreceding, -1))
-    nth = F.row_number().over(Window.partitionBy("term", "_day").orderBy(F.desc_nulls_last(at), "slug")) - 1
-    starts = days.select(F.col("term").alias("_term"), F.col("_day").alias("_of"), F.coalesce(earlier, F.lit(0)).alias("_before"))
-    placed = raw.withColumn("_nth", nth).join(starts, (F.col("term") == F.col("_term")) & F.col("_day").eqNullSafe(F.col("_of")))
-    position = F.col("_before") + F.col("_nth")
-    return placed.select("term", "slug", "kind", position.alias("position"), (F.floor(position / size) + 1).cast("long").alias("page"))
+    raw = docs.select("slug", "kind", at, F.explode(F.array_distinct(F.transform("tags", tags.slug))).alias("term"))
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    placed = ranks.numbered(raw, "term", F.struct(micros.isNull().alias("none"), (-micros).alias("at"), F.col("slug").alias("slug")))
+    return placed.select("term", "slug", "kind", "position", (F.floor(F.col("position") / size) + 1).cast("long").alias("page"))
 
 
 def tally(rows: DataFrame, column: str) -> DataFrame:

@@ -78,10 +78,13 @@ def retag_limit(spark, sf_dir):
     return maintenance.retag_buckets(tagged(spark, sf_dir), 25)
 
 
-@query("""SELECT doc_id, text || chr(10) || chr(10) || '# T' || chr(10) || chr(10) || '[split link](https://x.org/' || doc_id || ')' || chr(10) || chr(10) || '1. a' || chr(10) || '~~~' || chr(10) || '[split' || chr(10) || 'link](u)' || chr(10) || '~~~' AS repaired FROM documents""")
+_REPAIRED = "\\n\\n# T\\n\\n[![p](https://x.org/a.png) a caption](https://x.org/{})\\n\\n\\[1\\] note\\n\\n[one\\nlink](u)\\n\\n1. a\\n~~~\\n[\\n\\nkept\\n\\n](u)\\n~~~"
+
+
+@query("SELECT doc_id, text || " + " || doc_id || ".join("'" + part.replace("\\n", "' || chr(10) || '") + "'" for part in _REPAIRED.split("{}")) + " AS repaired FROM documents")
 def repair_plain_prose(spark, sf_dir):
-    """Repairs leave prose and code as they are; a heading's anchor, a split link and a marker twice go."""
-    body = F.concat("text", F.lit("\n\n# T [#](#t)\n\n[split\nlink](https://x.org/"), F.col("doc_id").cast("string"), F.lit(")\n\n1. (1) a\n~~~\n[split\nlink](u)\n~~~"))
+    """Repairs leave prose, plain line breaks and code as they are; a heading's anchor and a marker twice go, a picture's link and a note are put together."""
+    body = F.concat("text", F.lit("\n\n# T [#](#t)\n\n[\n\n![p](https://x.org/a.png)\na caption\n \n](https://x.org/"), F.col("doc_id").cast("string"), F.lit(")\n\n\\[\n\n1\\] note\n\n[one\nlink](u)\n\n1. (1) a\n~~~\n[\n\nkept\n\n](u)\n~~~"))
     return table(spark, sf_dir, "documents").select("doc_id", repair.body(body).alias("repaired"))
 
 

@@ -95,3 +95,12 @@ def test_pager(spark):
 def test_first_link(spark):
     got = apply(spark, inbox.first_link, "see https://a.org/x.", "(http://b.org/y_(z))", "none", "https://c.org")
     assert got == ["https://a.org/x", "http://b.org/y_(z)", None, "https://c.org"]
+
+
+@pytest.mark.parametrize("url, normal", [
+    ("HTTP://Me:Pw@A.org:80/a/../b/./c?x=1#f", "http://Me:Pw@a.org/b/c?x=1"), ("https://a.org/a/%2e%2E/b/%2e", "https://a.org/b"), ("https://a.org/../../x", "https://a.org/x"), ("https://a.org\\p\\q", "https://a.org/p/q"),
+    ("https://a.org/a b/é\"<", "https://a.org/a%20b/%C3%A9%22%3C"), ("https://a.org/%7Eu?q=a b'", "https://a.org/%7Eu?q=a%20b%27"), ("https://a.org/?utm_x=1&q=a%20b+c&n", "https://a.org/?q=a+b+c&n="),
+    ("https://a.org/?utm%5Fx=1&q=%C3%A9", "https://a.org/?q=%C3%A9"), ("https://a.org/a//b/", "https://a.org/a//b"), ("https://a.org/..", "https://a.org/"), ("https://a.org/x?", "https://a.org/x"), ("no url", None), (None, None),
+])
+def test_url_parts(spark, url, normal):
+    assert apply(spark, urls.normalize, url) == [normal]

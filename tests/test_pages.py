@@ -56,9 +56,13 @@ def test_absolute(spark, url, target):
     assert apply(spark, lambda u: html.absolute(u, F.lit("https://a.org/p/q?z#old")), url) == [target]
 
 
-def test_picture_key(spark):
-    got = apply(spark, html.picture_key, "https://c.org/w_300/https%3A%2F%2Fo.org%2Fpic.jpg", "https://o.org/pic-300x200.webp?x=1", "https://o.org/Pic@2x.PNG", "https://o.org/other.jpg")
-    assert got == ["pic", "pic", "pic", "other"]
+@pytest.mark.parametrize("url, key", [
+    ("https://c.org/w_300/https%3A%2F%2Fo.org%2Fa%2Fpic.jpg", "a/pic.jpg"), ("https://o.org/a/Pic-300x200.webp?x=1", "a/pic.webp"), ("https://o.org/x/a/pic-scaled.PNG", "a/pic.png"),
+    ("https://o.org/b/pic-e1234567890-20x20.jpg", "b/pic.jpg"), ("https://o.org/_next/image?w=2&url=%2Fm%2Fpic.jpg&q=1", "m/pic.jpg"), ("https://o.org/p?url=https%3A%2F%2Fq.org%2Fr%3Furl%3Dhttps%253A%252F%252Fs.org%252Ft%252Fu.png", "t/u.png"),
+    ("https://o.org/cdn-cgi/image/w=5/https://s.org/t/u.png", "t/u.png"), ("https://o.org/one.jpg", "one.jpg"), ("https://o.org/", None), ("pic.jpg", None), (None, None), ("https://o.org/a/1.png", "a/1.png"), ("https://o.org/b/1.png", "b/1.png"),
+])
+def test_picture_key(spark, url, key):
+    assert apply(spark, html.picture_key, url) == [key]
 
 
 def test_search_needs_every_term(spark):

@@ -12,8 +12,10 @@ def apply(spark, f, *values):
 
 
 REPAIRS = [
-    ("a [split\nlink](u) b", "a [split link](u) b"),
-    ("x \\[\n\n1\\] y", "x [1] y"),
+    ("[\n\n![a](b)\n two\n \n](u) b", "[![a](b) two](u) b"),
+    ("a [plain\nbreak](u) b", "a [plain\nbreak](u) b"),
+    ("x \\[\n\n1\\] y", "x \\[1\\] y"),
+    ("x \\[\n\nno\\] y", "x \\[\n\nno\\] y"),
     ("| | |\n| - | - |\n| a | b |\n| c | d |", "| a | b |\n| - | - |\n| c | d |"),
     ("1. (1) text", "1. text"),
     ("## Title [#](#title)", "## Title"),
@@ -100,7 +102,7 @@ def test_queue_stream(spark, tmp_path):
 
     def drain(sql):
         spark.sql(sql).write.mode("append").parquet(source)
-        stream = queue.entries(spark.readStream.schema(schema).parquet(source)).writeStream.outputMode("update")
+        stream = queue.entries(spark.readStream.schema(schema).parquet(source), overlay_ms=10**13).writeStream.outputMode("update")
         stream.foreachBatch(lambda b, _: seen.extend((r.slug, r.state, r.action) for r in b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
 
     drain("SELECT 1L collection, 2L slug, 'add' kind, timestamp'2026-01-01' at, false published UNION ALL SELECT 1L, 3L, 'add', timestamp'2026-01-01', true")
