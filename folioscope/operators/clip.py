@@ -1,7 +1,8 @@
 """Web pages as Markdown blocks, by a tree of each page: main part, then one row for each block.
 
 Trees are built and walked in tasks, an Arrow batch at a time; everything after that (joining blocks, counting them,
-comparing versions) is done on rows. Memory is a page's tree; nothing is shuffled.
+comparing versions) is done on rows. Memory is a page's tree; nothing is shuffled. A tree is at most DEEPEST elements
+deep, as in browsers: what a page nests deeper is laid side by side at that depth, and loses only its nesting.
 """
 
 import re
@@ -21,11 +22,15 @@ BLOCKS = frozenset("address article blockquote center dd details div dl dt field
 CONTAINERS = frozenset("ul ol dl table tbody thead div section article main body td th blockquote".split())
 
 
+#: Elements that may be open within each other.
+DEEPEST = 120
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "parent", "holds_block")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.parent, self.holds_block = tag, attrs, [], None, False
 
     def walk(self) -> Iterator["Node"]:
         todo = [self]
@@ -58,6 +63,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.flat: dict[str, int] = {}
         self.feed(html)
         self.close()
 
@@ -66,11 +72,22 @@ class Tree(HTMLParser):
         while len(self.open) > 1 and self.open[-1].tag in shut and self.open[-1].tag not in CONTAINERS - shut:
             self.open.pop()
         node = Node(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].children.append(node)
+        node.parent = self.open[-1]
+        node.parent.children.append(node)
+        if tag in BLOCKS:
+            above = node.parent
+            while above is not None and not above.holds_block:
+                above.holds_block, above = True, above.parent
         if tag not in VOID:
-            self.open.append(node)
+            if len(self.open) < DEEPEST:
+                self.open.append(node)
+            else:
+                self.flat[tag] = self.flat.get(tag, 0) + 1
 
     def handle_endtag(self, tag):
+        if self.flat.get(tag):
+            self.flat[tag] -= 1
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
                 del self.open[k:]
@@ -98,24 +115,81 @@ def main_part(root: Node) -> Node:
     if whole:
         return min(whole, key=lambda n: (n.tag != "article", -len(n.text())))
     scores: dict[int, list] = {}
-
-    def visit(node: Node, above: tuple[Node, ...]) -> None:
+    todo = [root]
+    while todo:
+        node = todo.pop()
         for child in node.children:
             if isinstance(child, Node) and not hidden(child):
                 if child.tag in ("p", "pre", "blockquote"):
                     words = squeezed(child.text())
                     linked = sum(len(squeezed(n.text())) for n in child.walk() if n.tag == "a")
                     worth = (len(words) - linked) / 50 + words.count(",") if len(words) > 25 else 0
-                    for depth, holder in enumerate((node, *above[-1:])):
+                    for depth, holder in enumerate((node, node.parent) if node.parent else (node,)):
                         scores.setdefault(id(holder), [0.0, holder])[0] += worth / (1 + depth)
-                visit(child, (*above[-2:], node))
+                todo.append(child)
 
-    visit(root, ())
     body = root.first("body") or root
     best = max(scores.values(), key=lambda s: s[0], default=[0, body])
     return best[1] if best[0] > 0 else body
 
 
+#: Class names by which readers take an element for the body, or for none.
+BODY = re.compile("article|body|content|entry|hentry|h-entry|main|page|post|text|blog|story", re.I)
+NO_BODY = re.compile("-ad-|hidden|banner|combx|comment|com-|contact|footer|gdpr|masthead|media|meta|outbrain|promo|related|scroll|share|shoutbox|sidebar|skyscraper|sponsor|shopping|tags|widget", re.I)
+#: What a reader would miss between two parts of a body; and how many characters of a label he wouldn't.
+MISSED = frozenset("h1 h2 h3 h4 h5 h6 figure img picture video audio iframe table pre blockquote ul ol hr".split())
+LABEL, OWN_PARAGRAPHS = 100, 2
+
+
+def join_bodies(root: Node) -> int:
+    """Parts of one article's body that the page set apart are put into the first; how many were moved.
+
+    Parts are elements of one article with the same classes, which are a body's, and two paragraphs of their own at
+    least. They are joined only if none of the gaps between them holds anything but a label.
+    """
+    moved = 0
+    for article in [n for n in root.walk() if n.tag == "article"]:
+        groups: dict[tuple, list[Node]] = {}
+        todo = [c for c in article.children if isinstance(c, Node)][::-1]
+        while todo:
+            node = todo.pop()
+            names = node.attrs.get("class", "").strip()
+            is_part = names and BODY.search(names) and not NO_BODY.search(names) and sum(isinstance(c, Node) and c.tag == "p" for c in node.children) >= OWN_PARAGRAPHS
+            if is_part:
+                groups.setdefault(tuple(sorted(names.split())), []).append(node)
+            # A part's own parts belong to it, a nested article's to that.
+            elif node.tag != "article":
+                todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+        for parts in groups.values():
+            if len(parts) > 1 and _only_labels_between(article, parts):
+                for part in parts[1:]:
+                    for child in part.children:
+                        if isinstance(child, Node):
+                            child.parent = parts[0]
+                    parts[0].children += part.children
+                    part.parent.children.remove(part)
+                    moved += 1
+    return moved
+
+
+def _only_labels_between(article: Node, parts: list[Node]) -> bool:
+    """Whether what stands after the first part and before the last, outside of all, is labels."""
+    ids, seen, label, todo = {id(p) for p in parts}, 0, 0, [article]
+    while todo and seen < len(parts):
+        node = todo.pop()
+        if isinstance(node, str):
+            label += len(node.strip()) if seen else 0
+        elif id(node) in ids:
+            if label > LABEL:
+                return False
+            seen, label = seen + 1, 0
+        elif seen and node.tag in MISSED and not hidden(node):
+            return False
+        elif node.tag not in ("script", "style"):
+            todo += reversed(node.children)
+    return True
+
+
 class Writer:
     """Markdown blocks of a node, as (type, text)."""
 
@@ -188,7 +262,7 @@ class Writer:
         run = Node("p", {})
         for child in node.children:
             math = self.tex(child) if isinstance(child, Node) else None
-            if isinstance(child, Node) and not math and not hidden(child) and (child.tag in BLOCKS or child.first(*BLOCKS)):
+            if isinstance(child, Node) and not math and not hidden(child) and (child.tag in BLOCKS or child.holds_block):
                 self.flush(run)
                 self.one(child)
             elif math and math[1]:
@@ -236,6 +310,10 @@ class Writer:
     def items(self, node: Node) -> list[str]:
         out, number = [], int(node.attrs.get("start", "1")) if node.attrs.get("start", "1").isdigit() else 1
         for child in node.children:
+            if isinstance(child, Node) and child.tag != "li" and not hidden(child) or isinstance(child, str) and child.strip():
+                # What stands in a list outside of its items is an item.
+                stray, child = child, Node("li", {})
+                child.children = [stray]
             if isinstance(child, Node) and child.tag == "li":
                 mark = f"{number}. " if node.tag == "ol" else "- "
                 number += 1
@@ -251,11 +329,15 @@ class Writer:
         gutters = re.compile(r"(?:^|\s)(?:gutter|lineno|linenos|line-numbers?|lnt)(?:\s|$)")
 
         def said(n: Node | str) -> str:
-            if isinstance(n, str):
-                return n
-            if gutters.search(n.attrs.get("class", "")) and "pre" != n.tag or n.tag == "button":
-                return ""
-            return ("\n" if n.tag == "br" else "") + "".join(map(said, n.children))
+            out, todo = [], [n]
+            while todo:
+                at = todo.pop()
+                if isinstance(at, str):
+                    out.append(at)
+                elif not (gutters.search(at.attrs.get("class", "")) and "pre" != at.tag or at.tag == "button"):
+                    out += ["\n"] * (at.tag == "br")
+                    todo += reversed(at.children)
+            return "".join(out)
 
         pres = [n for n in node.walk() if n.tag == "pre"] or [node]
         pre = max(pres, key=lambda n: len(re.sub(r"[\d\s]", "", said(n))))
@@ -292,6 +374,7 @@ class Writer:
 def clipped(html: str | None, url: str | None) -> list[tuple[str, str]]:
     """A page's main part as blocks. Null or empty pages have none."""
     root = Tree(html or "").root
+    join_bodies(root)
     base = next((n.attrs["href"] for n in root.walk() if n.tag == "base" and n.attrs.get("href")), "")
     writer = Writer(urljoin(url or "", base))
     writer.block(main_part(root))

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from folioscope.operators import emphasis
+from folioscope.functions import html, urls
+from folioscope.operators import emphasis, leads, offsets, ranks
 from folioscope.plans.registry import query
 from folioscope.plans.tables import table
 
@@ -31,3 +32,70 @@ def emphasis_starts(spark, sf_dir):
     w = _word()
     put = F.concat(F.lit("a *"), w, F.lit("* b "), w, F.lit("_"), w, F.lit(" **"), w, F.lit(" _x_**\n\n"), F.translate("text", "*_", ""))
     return emphasis.emphasised(table(spark, sf_dir, "documents").select("doc_id", put.alias("text")))
+
+
+@query(r"""WITH found AS (SELECT page_id, html, regexp_extract_all(html, '(?i)\b(href|src)="[^"]*"') AS tags, regexp_split_to_array(html, '(?i)\b(href|src)="[^"]*"') AS gaps FROM pages),
+placed AS (SELECT page_id, i - 1 AS pos, lower(split_part(tags[i], '=', 1)) AS kind, regexp_extract(tags[i], '"([^"]*)"', 1) AS value,
+  list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(tags[1:i - 1], lambda t: length(t))), 0) + strpos(tags[i], '"') AS start
+  FROM found, unnest(range(1, len(tags) + 1)) AS u(i))
+SELECT page_id, CAST(pos AS BIGINT) AS pos, kind, CAST(start AS BIGINT) AS start, CAST(start + length(value) AS BIGINT) AS stop, value FROM placed
+UNION ALL SELECT page_id, CAST(len(tags) + i - 1 AS BIGINT), 'srcset', CAST(length(html) + [13, 20 + length(CAST(page_id AS VARCHAR))][i] AS BIGINT), CAST(length(html) + [13 + 2 + length(CAST(page_id AS VARCHAR)), 20 + length(CAST(page_id AS VARCHAR)) + 7][i] AS BIGINT),
+  ['a,' || page_id, 'b.png?c'][i] FROM found, unnest([1, 2]) AS u(i)""")
+def page_addresses(spark, sf_dir):
+    """Every address in the tags of every page, by its offsets, with a srcset, a comment and a bare < behind it."""
+    put = F.concat("html", F.lit("<img srcset='a,"), F.col("page_id").cast("string"), F.lit(" 1x, b.png?c,' /><!-- <a href=\"no\"> --> 5 < 6"))
+    return offsets.page_addresses(table(spark, sf_dir, "pages").select("page_id", put.alias("html")))
+
+
+@query(r"""SELECT doc_id, i - 1 AS pos, ['code', 'target', 'code', 'math', 'html', 'html', 'code'][i] AS kind, CAST(strpos(body, value) - 1 AS BIGINT) AS start, CAST(strpos(body, value) - 1 + length(value) AS BIGINT) AS stop, value
+FROM (SELECT doc_id, '# ' || doc_id || ' `a' || doc_id || '` [b](u' || doc_id || ')' || chr(10) || chr(10) || '- x' || chr(10) || '  ~~~' || chr(10) || '  c' || doc_id || chr(10) || '  ~~~' || chr(10) || chr(10) || '> $e' || doc_id || '$ <i>f</i> `g' || doc_id || '`' AS body,
+  ['`a' || doc_id || '`', '(u' || doc_id || ')', '~~~' || chr(10) || '  c' || doc_id || chr(10) || '  ~~~', '$e' || doc_id || '$', '<i>', '</i>', '`g' || doc_id || '`'] AS vs FROM documents), unnest(range(1, 8)) AS u(i), LATERAL (SELECT vs[i] AS value)""")
+def text_ranges(spark, sf_dir):
+    """Code, targets, math and tags in a heading, a list's fence and a quote, for every document; its text follows as letters and spaces."""
+    n = F.col("doc_id").cast("string")
+    body = F.concat(F.lit("# "), n, F.lit(" `a"), n, F.lit("` [b](u"), n, F.lit(")\n\n- x\n  ~~~\n  c"), n, F.lit("\n  ~~~\n\n> $e"), n, F.lit("$ <i>f</i> `g"), n, F.lit("`\n\n"), F.regexp_replace("text", r"[^\p{L} ]+", " "))
+    return offsets.text_ranges(table(spark, sf_dir, "documents").select("doc_id", body.alias("text")))
+
+
+@query("""SELECT page_id, ['merged', 'unchanged', 'refused', 'merged'][page_id % 4 + 1] AS kind, CASE page_id % 4 WHEN 0 THEN 'How page ' || page_id || ' came to say so' END AS sentence,
+  CASE page_id % 4 WHEN 3 THEN 'https://o.org/i/' || page_id || '.png' END AS picture, CASE page_id % 4 WHEN 2 THEN 'sentence' END AS reason FROM pages""")
+def article_leads(spark, sf_dir):
+    """Every page's article, long enough and without its headline, under a header with a claimed sentence, none, one that the body has, or a picture."""
+    n, k = F.col("page_id").cast("string"), F.col("page_id") % 4
+    dek = F.concat(F.lit("How page "), n, F.lit(" came to say so"))
+    title = F.concat(F.lit("Page "), n)
+    body = F.regexp_replace(F.regexp_extract("html", r"(?s)<article>(.*)</article>", 1), r"(?s)<h1>.*?</h1>|<img[^>]*>", "")
+    filler = F.repeat(F.lit("words that fill a body until it is long enough to be one "), 12)
+    put = F.when(k == 0, F.concat(F.lit("<p>"), dek, F.lit("</p>"))).when(k == 1, "<p>What nobody claims of this page at all</p>").when(k == 2, F.concat(F.lit("<p>"), dek, F.lit("</p>"))).otherwise(F.concat(F.lit("<figure><img src=/i/"), n, F.lit(".png></figure>")))
+    page = F.concat(
+        F.lit("<head><title>"), title, F.lit(" | Site</title><meta name=description content='"), dek, F.lit("'></head><body><div><header><h1>"), title, F.lit("</h1>"), put, F.lit("</header><article><p>"), filler, F.lit("</p>"),
+        F.when(k == 2, F.concat(F.lit("<p>"), dek, F.lit("</p>"))).otherwise(""), body, F.lit("</article></div></body>"),
+    )
+    return leads.leads(table(spark, sf_dir, "pages").select("page_id", F.lit("https://o.org/p").alias("url"), page.alias("html")))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') || '/b/' || page_id || '/c%20d/%C3%A9?q=a+b+' || page_id || '&e=' AS url FROM pages")
+def url_parts(spark, sf_dir):
+    """Every page's host with dot segments, encoded and open, characters to encode, and form data left after tracking."""
+    n, host = F.col("page_id").cast("string"), F.upper(F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0))
+    url = F.concat(host, F.lit("/a/../b\\x/%2E%2e/./"), n, F.lit("/c d/é/%2e?utm_source=x&q=a%20b+"), n, F.lit("&e#f"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.normalize(url).alias("url"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 3 THEN 'one.png' ELSE 'm' || page_id || '/pic.jpg' END AS key FROM pages")
+def picture_keys(spark, sf_dir):
+    """One picture for every page behind a proxy's parameter, in a proxy's path, with sizes, and one at the top."""
+    n, k = F.col("page_id").cast("string"), F.col("page_id") % 4
+    own = F.concat(F.lit("https://o.org/a/m"), n, F.lit("/Pic-300x200.jpg"))
+    at = F.when(k == 0, F.concat(F.lit("https://o.org/_next/image?w=640&url="), F.url_encode(own))).when(k == 1, F.concat(F.lit("https://c.org/w_300/"), F.url_encode(own))).when(k == 2, F.concat(F.lit("https://c.org/cdn-cgi/image/w=5/"), own)).otherwise("https://o.org/one-scaled.png")
+    return table(spark, sf_dir, "pages").select("page_id", html.picture_key(at).alias("key"))
+
+
+@query("""WITH l AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS nth FROM events WHERE event_type = 'view'),
+r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS nth FROM events WHERE event_type = 'purchase')
+SELECT coalesce(l.user_id, r.user_id) AS user_id, coalesce(l.nth, r.nth) AS nth, l.event_id AS "left", r.event_id AS "right" FROM l FULL JOIN r ON l.user_id = r.user_id AND l.nth = r.nth""")
+def first_unused_mates(spark, sf_dir):
+    """A user's views beside their purchases, first come first served; what one side has more of stays alone."""
+    e = table(spark, sf_dir, "events")
+    side = lambda kind: e.where(F.col("event_type") == kind).select("user_id", "event_id")
+    return ranks.mates(side("view"), side("purchase"), "user_id", "event_id")

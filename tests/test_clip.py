@@ -58,3 +58,24 @@ def test_awkward_pages(spark):
     rows = [(1, BASE, "<p>a</p><p>b</p>", "x"), (2, None, None, "x"), (1, BASE, "<p>a</p><p>b</p>", "x")]
     got = clip.blocks(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted(map(tuple, got)) == [(1, 0, "paragraph", "a"), (1, 0, "paragraph", "a"), (1, 1, "paragraph", "b"), (1, 1, "paragraph", "b")]
+
+
+def test_deeply_nested_pages_give_rows():
+    for tag in ("div", "b", "span", "blockquote", "ul><li"):
+        assert [t.strip("> *-") for _, t in clip.clipped(f"<p>x</p>{f'<{tag}>' * 50000}deep", BASE)][-1].endswith("deep")
+    page = "".join(f"<div><p>{i} words of a paragraph</p>" for i in range(400)) + "</div>" * 400 + "<p>after</p>"
+    got = [t for _, t in clip.clipped(f"<article>{page}</article>", BASE)]
+    assert got == [f"{i} words of a paragraph" for i in range(400)] + ["after"]
+
+
+def test_split_bodies_are_joined():
+    part = lambda k, n=2: f'<div class="post-content x">{"".join(f"<p>Part {k} paragraph {i}, with words.</p>" for i in range(n))}</div>'
+    gap = '<div class="ad-wrap">Advertisement</div>'
+    row = lambda k: f'<div class="row">{part(k)}</div>'
+    root = clip.Tree(f"<article>{row(1)}{gap}{row(2)}{gap}{row(3)}<footer>foot</footer></article>").root
+    assert clip.join_bodies(root) == 2 and clip.join_bodies(root) == 0
+    body = next(n for n in root.walk() if "post-content" in n.attrs.get("class", ""))
+    assert [squeezed_text for squeezed_text in (p.text() for p in body.walk() if p.tag == "p")] == [f"Part {k} paragraph {i}, with words." for k in (1, 2, 3) for i in (0, 1)]
+    for apart in (f"<article>{row(1)}<h2>Next</h2>{row(2)}</article>", f"<article>{row(1)}{'long ' * 30}{row(2)}</article>", f"<article>{row(1)}</article><article>{row(2)}</article>",
+                  f"<article>{part(1, 1)}{part(2, 1)}</article>", f'<article>{row(1).replace("post-content", "comment-content")}{row(2).replace("post-content", "comment-content")}</article>'):
+        assert clip.join_bodies(clip.Tree(apart).root) == 0
