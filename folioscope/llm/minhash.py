@@ -8,12 +8,13 @@ independent samples would, with the same tail bounds. BANDS bands of BAND coordi
 similarity 0.85 with all but (1 - 0.85 ** 4) ** 32 = 6e-11 of the chances.
 
 Equal sets are one class. In a bucket (the classes that share a band's key), classes aren't paired with each other: each
-is compared with the pivot, the class that shares most buckets, and links are joined to components. Two classes x and y
-that p isn't linked with both have at most min(|x & p|, |y & p|) shingles in common within p. If these are too few for a
-link, they share shingles that p lacks, at least as many as are missing: so the classes meet again in buckets of p and
-one such shingle, of which a prefix is enough, as in prefix filtering. If they could be enough, the pair is compared.
-Buckets shrink by their pivot in each round, and close when their classes are one component, so near copies take few
-rounds and comparisons in proportion to their number. What is open after ROUNDS rounds is compared pair by pair across
+is compared with a pivot, of all classes in buckets of the bucket's classes the one that shares most, and links are
+joined to components. Two classes x and y in different components have at most min(|x & p|, |y & p|) shingles in common
+within the pivot p. If these are too few for a link, they share shingles that p lacks, at least as many as are missing:
+so they meet again in buckets of p and one such shingle, of which a prefix is enough, as in prefix filtering. If they
+could be enough, the pair is compared. In a bucket of p and a shingle the same goes on with a second pivot q and what
+lies outside of p and q together, and so on; each round compares only with what earlier pivots lack. Near copies take few
+rounds, and comparisons in proportion to their number. What is open after ROUNDS rounds is compared pair by pair across
 components. Sets are hashes of 64 bits, taken again from the texts of the classes that share a bucket; links are decided
 on whole sets.
 """
@@ -33,7 +34,7 @@ BANDS = SIZE // BAND
 #: Links have 100 * common >= PERCENT * together.
 PERCENT = 85
 #: Rounds of pivots; what is open then is compared pair by pair.
-ROUNDS = 8
+ROUNDS = 4
 _EMPTY, _GOLDEN = np.uint64((1 << 64) - 1), np.uint64(0x9E3779B97F4A7C15)
 #: Names a class without any doc_id; it comes after all others.
 _LAST = (1 << 63) - 1
@@ -168,68 +169,90 @@ def _edges(compared: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, c1 and label of the buckets of three classes or more that lie in several components."""
-    labelled = met.join(labels, "c1", "left").select("key", "c1", F.coalesce("label", "c1").alias("label"))
+    """chain, key, c1 and label of the buckets of three classes or more that lie in several components."""
+    labelled = met.join(labels, "c1", "left").select("chain", "key", "c1", F.coalesce("label", "c1").alias("label"))
     wide = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 AND low <> high")
     return labelled.join(wide.select("key"), "key", "left_semi")
 
 
 def _pivots(met: DataFrame) -> DataFrame:
-    """key and p: the class of a bucket that shares the most with others, in all buckets together."""
-    wide = met.join(met.groupBy("key").agg(F.count("*").alias("times")), "key")
-    hubs = wide.groupBy("c1").agg(F.sum("times").alias("shares"))
-    return met.join(hubs, "c1").groupBy("key").agg(F.count("*").alias("n"), F.max_by("c1", F.struct("shares", "c1")).alias("p"))
+    """key, n and p: with a bucket's pivot, the class that shares most of those in the buckets that its classes are in.
+
+    So all buckets around one much copied text have it as their pivot, those too that it isn't in. A bucket of two has
+    one of the two, since they need no other comparison. Buckets of other chains don't count.
+    """
+    hubs = met.join(met.groupBy("key").agg(F.count("*").alias("times")), "key").groupBy("chain", "c1").agg(F.sum("times").alias("shares"))
+    by_key = met.join(hubs, ["chain", "c1"]).groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("shares", "c1")).alias("hub"))
+    best = met.join(by_key, "key").groupBy("chain", "c1").agg(F.max("hub").alias("best"))
+    near = met.join(best, ["chain", "c1"]).groupBy("key").agg(F.max("best").alias("best"))
+    return by_key.join(near, "key").select("key", "n", F.when(F.col("n") > 2, F.col("best.c1")).otherwise(F.col("hub.c1")).alias("p"))
 
 
 def _rooted(met: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """node and root of the classes that have links; met: key and c1 of classes that share a bucket."""
+    """node and root of the classes that have links; met: key and c1 of classes that share a bucket.
+
+    A chain names the pivots so far of a group of buckets (0: none); known has, for its classes x, how many shingles
+    lie in one of these pivots (common), and those that lie in none (added).
+    """
     wanted = classes.join(met.select("c1").distinct(), "c1", "left_semi").select("name", "at1", "at2", "c1")
     sets = saved(_sets(docs, wanted))
-    more, compared, edges = None, None, None
+    met, known, more, compared, edges = met.withColumn("chain", F.lit(0).cast("long")), None, None, None, None
     for turn in range(ROUNDS + 1):
-        with_pivot = saved(met.join(_pivots(met), "key"))
+        with_pivot = saved(met.join(_pivots(met), "key").withColumn("next", F.xxhash64("chain", "p")))
         pairs = with_pivot.where("p <> c1").groupBy("p", F.col("c1").alias("x")).agg((F.max("n") > 2).alias("wanted"))
-        if more is not None:
-            pairs = pairs.union(more.withColumn("wanted", F.lit(False))).groupBy("p", "x").agg(F.max("wanted").alias("wanted"))
-        if compared is not None:
-            had = compared.groupBy("p", "x").agg(F.max("wanted").alias("had"))
-            pairs = pairs.join(had, ["p", "x"], "left").where("had IS NULL OR (wanted AND NOT had)").drop("had")
+        if turn:
+            pairs = pairs.select("p", "x").union(more).distinct().join(compared.select("p", "x"), ["p", "x"], "left_anti").withColumn("wanted", F.lit(False))
         now = saved(_compared(pairs, sets))
         compared = now if compared is None else compared.union(now)
         edges = _edges(now, percent) if edges is None else edges.union(_edges(now, percent))
         rooted = components(edges)
         labels = rooted.select(F.col("node.c1").alias("c1"), F.col("root.c1").alias("label"))
-        open_met = saved(_open(with_pivot.select("key", "c1"), labels))
+        open_met = saved(_open(with_pivot.select("chain", "key", "c1"), labels))
         if not open_met.limit(1).count():
             return rooted
         if turn == ROUNDS:
             a, b = (open_met.select("key", F.col("c1").alias(c), F.col("label").alias(f"{c}_label")) for c in ("p", "x"))
             rest = a.join(b, "key").where("p < x AND p_label <> x_label").select("p", "x").distinct().withColumn("wanted", F.lit(False))
             return components(edges.union(_edges(saved(_compared(rest, sets)), percent)))
-        members = open_met.join(with_pivot.select("key", "p").distinct(), "key").where("p <> c1").select("p", F.col("c1").alias("x"), "label").distinct()
-        known = compared.where("wanted").dropDuplicates(["p", "x"]).join(members, ["p", "x"])
-        least = known.groupBy("p").agg(F.min("x_size").alias("least"))
-        known = saved(known.join(least, "p").withColumn("need", _enough("x_size", "least", percent) - F.col("common")).select("p", "x", "label", "p_size", "x_size", "common", "added", "need"))
-        met, more = _meet_again(known), saved(_may_link(known, percent))
-        met = saved(met)
-
-
-def _meet_again(known: DataFrame) -> DataFrame:
-    """key and c1 of classes that share one of the first shingles that they have and their pivot lacks."""
-    prefix = F.slice("added", F.lit(1), F.greatest(F.size("added") - F.greatest(F.col("need"), F.lit(1)) + 1, F.lit(0)).cast("int"))
-    again = known.select("p", "x", "label", F.explode(prefix).alias("shingle")).select(F.xxhash64("p", "shingle").alias("key"), F.col("x").alias("c1"), "label")
+        members = open_met.join(with_pivot.select("key", "p", "next").distinct(), "key").where("p <> c1").select("chain", "next", "p", F.col("c1").alias("x"), "label").distinct()
+        known = saved(_beyond(members, known if turn else None, compared))
+        met, more = saved(_meet_again(known, percent)), saved(_may_link(known, percent))
+
+
+
+def _beyond(members: DataFrame, known: DataFrame | None, compared: DataFrame) -> DataFrame:
+    """chain, x, label, x_size, common and added of classes, once their chain has one more pivot."""
+    if known is None:
+        found = members.join(compared, ["p", "x"])
+        return found.select(F.col("next").alias("chain"), "x", "label", "x_size", "common", "added")
+    own = members.join(known.drop("label"), ["chain", "x"])
+    pivots = known.select("chain", F.col("x").alias("p"), F.col("added").alias("pivot"))
+    both = own.join(pivots, ["chain", "p"])
+    common = F.col("common") + F.size(F.array_intersect("added", "pivot"))
+    return both.select(F.col("next").alias("chain"), "x", "label", "x_size", common.alias("common"), F.array_except("added", "pivot").alias("added"))
+
+
+def _meet_again(known: DataFrame, percent: int) -> DataFrame:
+    """chain, key and c1 of classes that share one of the first shingles that they have and their chain's pivots lack."""
+    least = known.groupBy("chain").agg(F.min("x_size").alias("least"))
+    need = F.greatest(_enough("x_size", "least", percent) - F.col("common"), F.lit(1))
+    prefix = F.slice("added", F.lit(1), F.greatest(F.size("added") - need + 1, F.lit(0)).cast("int"))
+    again = known.join(least, "chain").select("chain", "x", "label", F.explode(prefix).alias("shingle")).select("chain", F.xxhash64("chain", "shingle").alias("key"), F.col("x").alias("c1"), "label")
     shared = again.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    return again.select("key", "c1").join(shared.select("key"), "key", "left_semi").distinct()
+    return again.select("chain", "key", "c1").join(shared.select("key"), "key", "left_semi").distinct()
 
 
 def _may_link(known: DataFrame, percent: int) -> DataFrame:
-    """Pairs (p, x) of classes in different components that may be linked by what they share within their pivot."""
-    free = known.where("need <= 0").withColumn("linked", F.col("common") >= _enough("p_size", "x_size", percent))
-    a, b = (free.select("p", *[F.col(c).alias(f"{k}_{c}") for c in ("x", "label", "x_size", "common", "linked")]) for k in "ab")
+    """Pairs (p, x) of classes in different components that may be linked by what they share within their chain's pivots."""
+    least = known.groupBy("chain").agg(F.min("x_size").alias("least"))
+    free = known.join(least, "chain").where(F.col("common") >= _enough("x_size", "least", percent)).select("chain", "x", "label", "x_size", "common")
+    sizes = free.groupBy("chain", "label").agg(F.count("*").alias("n")).groupBy("chain").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+    a, b = (free.select("chain", *[F.col(c).alias(f"{k}_{c}") for c in ("x", "label", "x_size", "common")]) for k in "ab")
     near = (F.least("a_common", "b_common") >= _enough("a_x_size", "b_x_size", percent)) & (F.col("a_label") != F.col("b_label"))
-    # One of the two isn't linked with the pivot; where neither is, each pair is taken once.
-    once = ~F.col("a_linked") & (F.col("b_linked") | (F.col("a_x") < F.col("b_x")))
-    return a.join(b, "p").where(near & once).select(F.col("a_x").alias("p"), F.col("b_x").alias("x")).distinct()
+    # One of the two isn't in the chain's largest component; where neither is, each pair is taken once.
+    once = (F.col("b_label") == F.col("most")) | (F.col("a_x") < F.col("b_x"))
+    few = a.join(sizes, "chain").where("a_label <> most")
+    return few.join(b, "chain").where(near & once).select(F.least("a_x", "b_x").alias("p"), F.greatest("a_x", "b_x").alias("x")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
