@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from folioscope.functions import html, urls
-from folioscope.operators import emphasis, leads, offsets, ranks
+from folioscope.operators import emphasis, leads, offsets, pairs, ranks, threads
 from folioscope.plans.registry import query
 from folioscope.plans.tables import table
 
@@ -99,3 +99,25 @@ def first_unused_mates(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     side = lambda kind: e.where(F.col("event_type") == kind).select("user_id", "event_id")
     return ranks.mates(side("view"), side("purchase"), "user_id", "event_id")
+
+
+@query("""WITH t AS (SELECT conv_id AS thread, turn AS pos, CASE WHEN turn = 0 THEN 0 ELSE (turn * 7 + conv_id) % 5 END AS depth, role, text FROM conversations),
+up AS (SELECT a.*, (SELECT max(b.pos) FROM t AS b WHERE b.thread = a.thread AND b.pos < a.pos AND b.depth < a.depth) AS parent FROM t AS a)
+SELECT thread, pos, depth, parent FROM up""")
+def nested_threads(spark, sf_dir):
+    """Every conversation as a thread whose rows say only how deep they stand."""
+    depth = F.when(F.col("turn") == 0, 0).otherwise((F.col("turn") * 7 + F.col("conv_id")) % 5)
+    return threads.parents(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("thread"), F.col("turn").alias("pos"), depth.alias("depth"))).drop("level")
+
+
+@query("""WITH d AS (SELECT doc_id, replace(replace(regexp_replace(text, '[^A-Za-z\\n ]', '', 'g'), chr(10), ' '), '  ', ' ') AS t, doc_id % 4 AS k FROM documents)
+SELECT 'd' || doc_id AS slug, ['unchanged', 'repaired', 'refused', 'repaired'][k + 1] AS fate,
+  CASE k WHEN 0 THEN 'x ' || t WHEN 2 THEN '## T [#](#t)' || chr(10) || chr(10) || 'x ' || t ELSE '## T' || chr(10) || chr(10) || 'x ' || t END AS body FROM d""")
+def repaired_pairs(spark, sf_dir):
+    """Every text, letters alone, as the body of a pair: nothing to mend, a heading's anchor, one whose translation has a block less, one without."""
+    k = F.col("doc_id") % 4
+    said = F.concat(F.lit("x "), F.replace(F.replace(F.regexp_replace("text", "[^A-Za-z\\n ]", ""), F.lit("\n"), F.lit(" ")), F.lit("  "), F.lit(" ")))
+    body = F.when(k == 0, said).otherwise(F.concat(F.lit("## T [#](#t)\n\n"), said))
+    translation = F.when(k == 0, "eben").when(k == 1, "## T [#](#t)\n\neben").when(k == 2, "## T [#](#t)")
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("slug"), body.alias("body"), translation.alias("translation"))
+    return pairs.repaired(rows).select("slug", "fate", F.col("new_body").alias("body"))
