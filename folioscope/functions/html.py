@@ -43,29 +43,6 @@ def paragraphs(html: Column) -> Column:
     return F.filter(F.transform(found, lambda p: squeezed(unescape(F.regexp_replace(p, "<[^>]*>", "")))), lambda p: p != "")
 
 
-def to_markdown(html: Column) -> Column:
-    """Title, headings, list items and paragraphs as Markdown blocks: a linear rewrite of the tags."""
-    out = html
-    for pattern, by in (
-        (r"(?is)<!--.*?-->|<(script|style|nav|head|footer)\b[^>]*>.*?</\1>", ""),
-        (r"\s+", " "),
-        (r"(?i)<h1[^>]*>", "\n\n# "),
-        (r"(?i)<h2[^>]*>", "\n\n## "),
-        (r"(?i)<h[3-6][^>]*>", "\n\n### "),
-        (r"(?i)<li[^>]*>", "\n- "),
-        (r"(?i)<(?:p|div|article|section|ul|ol|blockquote|pre|table|tr)\b[^>]*>|</(?:h[1-6]|p|div|article|section|ul|ol|blockquote|pre|table)>", "\n\n"),
-        (r"(?i)<br\s*/?>", "\n"),
-        (r"(?i)</?(?:strong|b)>", "**"),
-        (r"(?i)</?(?:em|i)>", "*"),
-        (r'(?i)<a\b[^>]*\bhref="([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)"),
-        (r"<[^>]*>", ""),
-        (r"[ \t]*\n[ \t]*", "\n"),
-        (r"\n{3,}", "\n\n"),
-    ):
-        out = F.regexp_replace(out, pattern, by)
-    return F.btrim(unescape(out), F.lit(" \n"))
-
-
 def meta(html: Column, name: str) -> Column:
     """The content that a page's meta element of a name or property has, else null."""
     before = F.regexp_extract(html, rf'(?is)<meta\b[^>]*\b(?:name|property)="{name}"[^>]*\bcontent="([^"]*)"', 1)

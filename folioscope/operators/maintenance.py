@@ -14,6 +14,28 @@ def recanonicalized(articles: DataFrame) -> DataFrame:
     return moved.withColumn("claims", claims).join(there, "new_slug", "left").select("slug", "new_slug", (F.coalesce("taken", F.lit(False)) | (F.col("claims") > 1)).alias("conflict"))
 
 
+def followed(items: DataFrame, moves: DataFrame) -> DataFrame:
+    """Items (collection, pos, slug, …) after moves (slug, new_slug, unique) of their documents.
+
+    A moved member keeps its place; where the collection has the new one already, as a member that stays or one moved
+    to it from an earlier place, it goes.
+    """
+    at = items.join(moves.select("slug", F.col("new_slug").alias("_new")), "slug", "left")
+    first = F.struct(F.col("_new").isNotNull().alias("moved"), "pos")
+    named = at.withColumn("_own", F.coalesce("_new", "slug"))
+    claimed = named.join(moves.select(F.col("new_slug").alias("_own")).distinct(), "_own", "left_semi").groupBy("collection", "_own").agg(F.min(first).alias("_first"))
+    kept = named.join(claimed, ["collection", "_own"], "left").where(F.col("_first").isNull() | (F.col("_first") == first))
+    return kept.withColumn("slug", F.col("_own")).select(items.columns)
+
+
+def covers_followed(collections: DataFrame, moves: DataFrame) -> DataFrame:
+    """Collections (…, cover) whose cover, a picture of a document, follows the document; one that is gone (new_slug null) has none."""
+    owner = F.regexp_extract("cover", r"^(?:articles|sites)/([^/]+)/", 1)
+    joined = collections.withColumn("_owner", owner).join(moves.select(F.col("slug").alias("_owner"), "new_slug", F.lit(True).alias("_moved")), "_owner", "left")
+    cover = F.concat(F.regexp_extract("cover", "^([^/]+/)", 1), "new_slug", F.regexp_extract("cover", "^[^/]+/[^/]+(/.*)$", 1))
+    return joined.withColumn("cover", F.when(F.col("_moved"), cover).otherwise(F.col("cover"))).select(collections.columns)
+
+
 def counts_diff(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Differences of counts by key; a key that one side lacks counts as zeros."""
     a = before.select(key, *[F.col(c).alias(f"a_{c}") for c in columns])

@@ -17,7 +17,7 @@ def ranged(rows: DataFrame, group: str | None, at: Column) -> DataFrame:
     keyed = rows.withColumn("_at", whole)
     every = max(1, rows.count() // CUTS)
     drawn = keyed.where(F.pmod(F.xxhash64("_at"), F.lit(every)) == 0).select("_at")
-    cuts = F.broadcast(drawn.agg(F.array_sort(F.collect_set("_at")).alias("_cuts")))
+    cuts = F.broadcast(drawn.distinct().agg(F.array_sort(F.collect_list("_at")).alias("_cuts")))
     return keyed.crossJoin(cuts).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_at")))).drop("_cuts")
 
 

@@ -88,3 +88,13 @@ def tally(rows: DataFrame, column: str) -> DataFrame:
     counts = rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).where("value IS NOT NULL")
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "value")))
     return counts.agg(F.array_join(F.transform(ranked, lambda r: F.concat(r["value"], F.lit("×"), (-r["n"]).cast("string"))), ", ").alias("tally"))
+
+
+#: Fixed value: terms that a page shows before the rest is asked for.
+CHIPS = 30
+
+
+def chips(counted: DataFrame, collation: str = "zh", shown: int = CHIPS) -> DataFrame:
+    """Terms (label, n) with their place, most used first, ties as readers of the collation's language sort them."""
+    place = F.struct((-F.col("n")).alias("n"), F.collate("label", collation).alias("label"), F.col("label").alias("code"))
+    return ranks.numbered(counted, None, place).withColumn("first", F.col("position") < shown)

@@ -48,16 +48,6 @@ def orphan_docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("""WITH c AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END AS updated_at FROM customer UNION ALL SELECT 'favorites', NULL)
-SELECT id, row_number() OVER (ORDER BY id <> 'favorites', updated_at DESC NULLS LAST, id) AS nth FROM c QUALIFY nth <= 50""")
-def collection_order(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.when(F.col("c_custkey") % 4 > 0, F.col("c_acctbal")).alias("updated_at"))
-    top = collections.with_favorites(c).orderBy(*collections.order()).limit(50)
-    from pyspark.sql import Window
-
-    return top.select("id", F.row_number().over(Window.orderBy(*collections.order())).cast("long").alias("nth"))
-
-
 @query("""WITH c AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END AS updated_at FROM customer UNION ALL SELECT 'favorites', NULL)
 SELECT id, row_number() OVER (ORDER BY id <> 'favorites', updated_at DESC NULLS LAST, id) AS nth FROM c""")
 def collection_order_all(spark, sf_dir):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from folioscope.functions import urls
-from folioscope.operators import library
+from folioscope.operators import library, maintenance
 from folioscope.plans.registry import query
 from folioscope.plans.tables import table
 
@@ -90,6 +90,15 @@ def short_links(spark, sf_dir):
     return library.short_links(table(spark, sf_dir, "pages").select(urls.slug(F.col("url")).alias("slug")).distinct())
 
 
+@query(f"""WITH {_SLUGGED}, had AS (SELECT page_id, slug AS new_slug, CASE page_id % 3 WHEN 0 THEN slug ELSE 'old-' || page_id END AS slug FROM slugged),
+moved AS (SELECT slug, new_slug, count(*) OVER (PARTITION BY new_slug) > 1 OR new_slug IN (SELECT slug FROM had) AS conflict FROM had WHERE slug <> new_slug)
+SELECT slug, new_slug, conflict FROM moved""")
+def recanonicalize(spark, sf_dir):
+    """A third of the pages have the name that their address gives, others an old one; some of the new names are taken."""
+    rows = table(spark, sf_dir, "pages").select(F.when(F.col("page_id") % 3 == 0, urls.slug(F.col("url"))).otherwise(F.concat(F.lit("old-"), F.col("page_id").cast("string"))).alias("slug"), "url")
+    return maintenance.recanonicalized(rows).select("slug", "new_slug", "conflict")
+
+
 @query("""WITH s AS (SELECT page_id, 'p-000000' || substr(sha256(url), 1, 2) || '-x' AS broken, 'p' || page_id || '-000000' || substr(sha256(url), 1, 2) AS slug FROM pages)
 SELECT right(slug, 8) AS id, count(*) AS claims, min(slug) AS slug, false AS given FROM s GROUP BY 1 HAVING count(*) > 1""")
 def short_link_collisions(spark, sf_dir):
@@ -97,29 +106,41 @@ def short_link_collisions(spark, sf_dir):
     return library.short_links(slugs).where(~F.col("given"))
 
 
-@query("""SELECT * FROM (VALUES
-  ('https://arxiv.org/pdf/2404.19756v1.pdf', '2404.19756', 1, 'https://arxiv.org/abs/2404.19756'),
-  ('http://export.arxiv.org/abs/hep-th/9901001v2', 'hep-th/9901001', 2, 'https://arxiv.org/abs/hep-th/9901001'),
-  ('https://ar5iv.labs.arxiv.org/html/2101.00001', '2101.00001', NULL, 'https://arxiv.org/abs/2101.00001'),
-  ('https://arxiv.org/abs/math.GT/0309136', 'math/0309136', NULL, 'https://arxiv.org/abs/math/0309136'),
-  ('https://arxiv.org/list/cs.CL/recent', NULL, NULL, 'https://arxiv.org/list/cs.CL/recent'),
-  ('https://example.org/abs/2404.19756', NULL, NULL, 'https://example.org/abs/2404.19756')) AS t(url, id, version, canonical)""")
+_PAPER = "lpad(CAST(1000 + page_id % 9000 AS VARCHAR), 4, '0') || '.' || lpad(CAST(page_id % 100000 AS VARCHAR), 5, '0')"
+_OLD_PAPER = "'cs/' || lpad(CAST(page_id % 10000000 AS VARCHAR), 7, '0')"
+
+
+@query(f"""SELECT page_id, CASE WHEN page_id % 5 < 2 THEN {_PAPER} WHEN page_id % 5 = 2 THEN {_OLD_PAPER} END AS id, CASE page_id % 5 WHEN 0 THEN 3 WHEN 2 THEN 12 END AS version,
+  CASE WHEN page_id % 5 < 2 THEN 'https://arxiv.org/abs/' || {_PAPER} WHEN page_id % 5 = 2 THEN 'https://arxiv.org/abs/' || {_OLD_PAPER} WHEN page_id % 5 = 3 THEN 'https://arxiv.org/list/cs.CL/' || page_id ELSE url END AS canonical FROM pages""")
 def arxiv_refs(spark, sf_dir):
-    rows = ["https://arxiv.org/pdf/2404.19756v1.pdf", "http://export.arxiv.org/abs/hep-th/9901001v2", "https://ar5iv.labs.arxiv.org/html/2101.00001", "https://arxiv.org/abs/math.GT/0309136", "https://arxiv.org/list/cs.CL/recent", "https://example.org/abs/2404.19756"]
-    paper = urls.arxiv(F.col("url"))
-    return spark.createDataFrame([(r,) for r in rows], "url string").select("url", paper["id"].alias("id"), paper["version"].alias("version"), urls.canonical(F.col("url")).alias("canonical"))
-
-
-@query("""SELECT * FROM (VALUES
-  ('https://github.com/Owner/Repo/blob/main/docs/A.md', 'https://github.com/owner/repo/blob/main/docs/A.md'),
-  ('https://raw.githubusercontent.com/Owner/Repo/refs/heads/main/README.md', 'https://github.com/owner/repo/blob/main/README.md'),
-  ('https://www.github.com/o/r/raw/v1.0/x.markdown?plain=1#L3', 'https://github.com/o/r/blob/v1.0/x.markdown'),
-  ('https://github.com/o/r/blob/main/x.mdx', 'https://github.com/o/r/blob/main/x.mdx'),
-  ('https://github.com/o/r', 'https://github.com/o/r'),
-  ('https://github.com/o/r/tree/main/x.md', 'https://github.com/o/r/tree/main/x.md')) AS t(url, canonical)""")
+    """A paper's file, its reading view, an old number with a subject class, a list, and every page's own address."""
+    k, n = F.col("page_id") % 5, F.col("page_id")
+    new = F.concat(F.lpad((1000 + n % 9000).cast("string"), 4, "0"), F.lit("."), F.lpad((n % 100000).cast("string"), 5, "0"))
+    old = F.lpad((n % 10000000).cast("string"), 7, "0")
+    url = (
+        F.when(k == 0, F.concat(F.lit("https://arxiv.org/pdf/"), new, F.lit("v3.pdf")))
+        .when(k == 1, F.concat(F.lit("http://ar5iv.labs.arxiv.org/html/"), new, F.lit("?x#y")))
+        .when(k == 2, F.concat(F.lit("https://export.arxiv.org/abs/cs.LG/"), old, F.lit("v12")))
+        .when(k == 3, F.concat(F.lit("https://arxiv.org/list/cs.CL/"), n.cast("string")))
+        .otherwise(F.col("url"))
+    )
+    rows = table(spark, sf_dir, "pages").select("page_id", url.alias("url"))
+    return rows.select("page_id", urls.arxiv(F.col("url"))["id"].alias("id"), urls.arxiv(F.col("url"))["version"].alias("version"), urls.canonical(F.col("url")).alias("canonical"))
+
+
+@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://github.com/owner/r' || page_id || '/blob/main/docs/A.md' WHEN 1 THEN 'https://github.com/owner/r' || page_id || '/blob/main/README.md'
+  WHEN 2 THEN 'https://github.com/o/r/blob/v1.0/x' || page_id || '.markdown' WHEN 3 THEN 'https://github.com/o/r/tree/main/x' || page_id || '.md' ELSE url END AS canonical FROM pages""")
 def github_refs(spark, sf_dir):
-    rows = ["https://github.com/Owner/Repo/blob/main/docs/A.md", "https://raw.githubusercontent.com/Owner/Repo/refs/heads/main/README.md", "https://www.github.com/o/r/raw/v1.0/x.markdown?plain=1#L3", "https://github.com/o/r/blob/main/x.mdx", "https://github.com/o/r", "https://github.com/o/r/tree/main/x.md"]
-    return spark.createDataFrame([(r,) for r in rows], "url string").select("url", urls.canonical(F.col("url")).alias("canonical"))
+    """A Markdown file's page, its raw text by a branch's full name, by a tag with a line, a folder, and every page's own address."""
+    k, n = F.col("page_id") % 5, F.col("page_id").cast("string")
+    url = (
+        F.when(k == 0, F.concat(F.lit("https://github.com/Owner/R"), n, F.lit("/blob/main/docs/A.md")))
+        .when(k == 1, F.concat(F.lit("https://raw.githubusercontent.com/Owner/R"), n, F.lit("/refs/heads/main/README.md")))
+        .when(k == 2, F.concat(F.lit("https://www.github.com/o/r/raw/v1.0/x"), n, F.lit(".markdown?plain=1#L3")))
+        .when(k == 3, F.concat(F.lit("https://github.com/o/r/tree/main/x"), n, F.lit(".md")))
+        .otherwise(F.col("url"))
+    )
+    return table(spark, sf_dir, "pages").select("page_id", urls.canonical(url).alias("canonical"))
 
 
 @query(r"""WITH h AS (SELECT page_id, (page_id * 37 % 256) || '.' || (page_id * 91 % 256) || '.' || (page_id % 256) || '.7' AS host FROM pages)
@@ -130,13 +151,6 @@ def private_addresses(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(host.alias("host")).select("host", urls.private_ipv4(F.col("host")).alias("private"))
 
 
-@query("""SELECT user_id, event_id, ts, nth FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth <= 5""")
-def clip_history_newest(spark, sf_dir):
-    from folioscope.operators.similar import latest
-
-    return latest(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 5).select("user_id", "event_id", "ts", F.col("nth").cast("long").alias("nth"))
-
-
 @query("""SELECT user_id, event_id, ts, nth FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth <= 500""")
 def clip_history_topk(spark, sf_dir):
     from folioscope.operators.similar import HISTORY_CAP, latest

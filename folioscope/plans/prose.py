@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from folioscope.functions import html, urls
-from folioscope.operators import emphasis, leads, offsets, pairs, ranks, threads
+from folioscope.functions import html, tags, urls
+from folioscope.operators import emphasis, leads, maintenance, offsets, pairs, ranks, terms, threads
 from folioscope.plans.registry import query
-from folioscope.plans.tables import table
+from folioscope.plans.tables import EXPLODED, ITEMS, items, table, tagged
 
 _WORD = "coalesce(nullif(regexp_extract(text, '[A-Za-z]{3,}'), ''), 'word')"
 
@@ -121,3 +121,34 @@ def repaired_pairs(spark, sf_dir):
     translation = F.when(k == 0, "eben").when(k == 1, "## T [#](#t)\n\neben").when(k == 2, "## T [#](#t)")
     rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("slug"), body.alias("body"), translation.alias("translation"))
     return pairs.repaired(rows).select("slug", "fate", F.col("new_body").alias("body"))
+
+
+_MOVES = "moves AS (SELECT p_partkey AS slug, CASE WHEN p_partkey % 5 = 0 THEN p_partkey + 1 WHEN p_partkey % 5 = 2 THEN p_partkey + 100000000 END AS new_slug FROM part WHERE p_partkey % 5 IN (0, 2))"
+
+
+@query(f"""WITH {ITEMS}, {_MOVES}, named AS (SELECT i.collection, i.pos, coalesce(m.new_slug, i.slug) AS slug, m.new_slug IS NOT NULL AS moved FROM items AS i LEFT JOIN moves AS m ON m.slug = i.slug)
+SELECT collection, pos, slug FROM named QUALIFY slug NOT IN (SELECT new_slug FROM moves) OR row_number() OVER (PARTITION BY collection, slug ORDER BY moved, pos) = 1""")
+def moved_members(spark, sf_dir):
+    """Parts get new names, some of which other members have: those stay where they are."""
+    k = F.col("p_partkey") % 5
+    new = F.when(k == 0, F.col("p_partkey") + 1).when(k == 2, F.col("p_partkey") + 100000000)
+    moves = table(spark, sf_dir, "part").where(k.isin(0, 2)).select(F.col("p_partkey").alias("slug"), new.alias("new_slug"))
+    return maintenance.followed(items(spark, sf_dir).select("collection", "pos", "slug"), moves)
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'articles/new-' || page_id || '/assets/a.png' WHEN 1 THEN NULL WHEN 2 THEN 'sites/s' || page_id || '/p.webp' END AS cover FROM pages""")
+def covers_followed(spark, sf_dir):
+    """Covers of documents that moved, that are gone, that stay, and none."""
+    k, n = F.col("page_id") % 4, F.col("page_id").cast("string")
+    slug = F.concat(F.lit("s"), n)
+    cover = F.when(k < 2, F.concat(F.lit("articles/"), slug, F.lit("/assets/a.png"))).when(k == 2, F.concat(F.lit("sites/"), slug, F.lit("/p.webp")))
+    rows = table(spark, sf_dir, "pages")
+    moves = rows.where(k < 2).select(slug.alias("slug"), F.when(k == 0, F.concat(F.lit("new-"), n)).alias("new_slug"))
+    return maintenance.covers_followed(rows.select("page_id", cover.alias("cover")), moves)
+
+
+@query(f"WITH {EXPLODED}, counted AS (SELECT key AS label, count(*) AS n FROM exploded GROUP BY key) SELECT label, n, row_number() OVER (ORDER BY n DESC, label) - 1 AS position, row_number() OVER (ORDER BY n DESC, label) <= 30 AS first FROM counted")
+def tag_chips(spark, sf_dir):
+    """All tags in lower case by use, ties by Chinese collation; the first thirty are shown at once."""
+    own = tagged(spark, sf_dir).select(F.explode(tags.listed(F.col("tags"), None, None)).alias("tag"))
+    return terms.chips(own.groupBy(F.lower("tag").alias("label")).agg(F.count("*").alias("n")))

@@ -102,11 +102,6 @@ def html_paragraphs(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(html.paragraphs(F.col("html"))).alias("pos", "text"))
 
 
-@query()
-def clip_markdown(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"), html.to_markdown(F.col("html")).alias("markdown"))
-
-
 BLOCKS = r"""parts AS (SELECT doc_id, i - 1 AS pos, ps[i] AS b FROM (SELECT doc_id, regexp_extract_all(text, '(?m)^[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)*') AS ps FROM documents), unnest(range(1, len(ps) + 1)) AS u(i)),
 blocks AS (SELECT doc_id, pos, regexp_replace(b, '\s+\z', '') AS text, CASE WHEN regexp_matches(b, '\A#{1,6}\s') OR regexp_matches(b, '\A[^\n]+\n(?:=+|-+)[ \t]*\z') THEN 'heading' WHEN regexp_matches(b, '\A {0,3}(?:[-*_][ \t]*){3,}\z') THEN 'thematicBreak'
   WHEN regexp_matches(b, '\A {0,3}>') THEN 'blockquote' WHEN regexp_matches(b, '\A {0,3}(?:[-*+]|\d{1,9}[.)])\s') THEN 'list' WHEN regexp_matches(b, '\A {0,3}\$\$') THEN 'math' WHEN regexp_matches(b, '\A {0,3}<[A-Za-z!/]') THEN 'html' ELSE 'paragraph' END AS type FROM parts)"""

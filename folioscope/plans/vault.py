@@ -42,9 +42,12 @@ def inbox_names(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", paths.inbox_name(F.col("ts"), F.col("event_id") % 10000).alias("name"))
 
 
-@query("SELECT * FROM (VALUES ('/tags/', '/search/'), ('/categories/', '/'), ('/favorites/', '/collections/favorites/'), ('/x/', NULL)) AS t(path, target)")
+@query(r"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN '/search/' WHEN 1 THEN '/' WHEN 2 THEN '/collections/favorites/' END AS target FROM pages""")
 def static_redirects(spark, sf_dir):
-    return spark.createDataFrame([(p,) for p in ("/tags/", "/categories/", "/favorites/", "/x/")], "path string").select("path", paths.redirect(F.col("path")).alias("target"))
+    """Old addresses of the site, and every fourth page's own path, which none leads from."""
+    own = F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1)
+    path = F.get(F.array(F.lit("/tags/"), F.lit("/categories/"), F.lit("/favorites/"), own), (F.col("page_id") % 4).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", paths.redirect(path).alias("target"))
 
 
 @query("SELECT page_id, substr(sha256(html), 1, 12) AS snapshot FROM pages")
@@ -115,12 +118,6 @@ def keep_better(spark, sf_dir):
     return translate.better(d.select("doc_id", "lang"), new, "doc_id", ["lang"])
 
 
-@query("SELECT 'old-' || CAST(page_id AS VARCHAR) AS slug FROM pages")
-def recanonicalize(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("old-"), F.col("page_id").cast("string")).alias("slug"), "url")
-    return maintenance.recanonicalized(pages).select("slug")
-
-
 @query("""WITH a AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY user_id), b AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY user_id)
 SELECT user_id, coalesce(b.n, 0) - coalesce(a.n, 0) AS n FROM a FULL JOIN b USING (user_id) WHERE coalesce(b.n, 0) <> coalesce(a.n, 0)""")
 def counts_diff(spark, sf_dir):

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from folioscope.operators import document, library, ranks
+from folioscope.operators import document, library, maintenance, ranks, terms
 
 
 def test_numbers_within_groups_of_any_size(spark):
@@ -38,3 +38,17 @@ def test_unclosed_math_is_prose():
     kinds = lambda text: [k for k, _ in document.split_blocks(text)]
     assert kinds("$$\na\n\nb\n\nc") == ["paragraph"] * 3 and kinds("$$\na\n$$\n\nb") == ["math", "paragraph"] and kinds("$$a$$\n\nb") == ["math", "paragraph"]
     assert kinds("$$\n\n" * 5000 + "$$ x")[-1] == "paragraph"
+
+
+def test_chips_by_collation(spark):
+    rows = spark.createDataFrame([("b", 2), ("B", 2), ("a", 2), ("中文", 2), ("阿", 2), ("z", 5)], "label string, n long")
+    got = {r.label: r.position for r in terms.chips(rows, shown=2).collect()}
+    order = sorted(got, key=got.get)
+    assert order[0] == "z" and order.index("a") < order.index("b") < order.index("B") < order.index("阿") < order.index("中文")
+    assert sum(r.first for r in terms.chips(rows, shown=2).collect()) == 2
+
+
+def test_moves(spark):
+    items = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "a"), (2, 1, "c"), (3, 0, "x")], "collection long, pos long, slug string")
+    moves = spark.createDataFrame([("a", "b"), ("c", "b")], "slug string, new_slug string")
+    assert sorted(map(tuple, maintenance.followed(items, moves).collect())) == [(1, 1, "b"), (2, 0, "b"), (3, 0, "x")]
