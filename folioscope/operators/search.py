@@ -1,6 +1,8 @@
 """Full-text search ranked by BM25 over an inverted index that Spark builds."""
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -26,3 +28,89 @@ def bm25(docs: DataFrame, query: str) -> DataFrame:
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return hits.join(F.broadcast(df), "term").groupBy("doc_id").agg(F.sum(part).alias("score"))
+
+
+#: Files of an index by the hash of a term; documents whose numbers lie this close share a block of postings.
+BUCKETS, BLOCK_DOCS = 64, 1024
+#: Words of an excerpt.
+EXCERPT = 30
+_WORD = r"[\p{L}\p{N}]+"
+BLOCKS = "term string, block long, most double, n int, docs array<long>, lengths array<int>, at array<array<int>>, bucket int"
+
+
+def _gain(tf: Column, length: Column, mean: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def _deltas(values: Column) -> Column:
+    """Differences of neighbours, which pack well; the first stays."""
+    return F.transform(values, lambda v, i: v - F.when(i == 0, 0).otherwise(F.get(values, i - 1)))
+
+
+def _sums(deltas: Column) -> Column:
+    """The values again."""
+    return F.transform(F.sequence(F.lit(1), F.size(deltas)), lambda i: F.aggregate(F.slice(deltas, F.lit(1), i), F.lit(0).cast("long"), lambda a, d: a + d))
+
+
+def write_index(docs: DataFrame, path: str) -> None:
+    """A positional index of (doc_id, text) at a path: blocks of postings in buckets of terms, and the corpus' sizes.
+
+    A block has a term's documents of one range of numbers: their numbers and positions as differences, lengths, and the
+    most that the term can add to the score of one of them. No group has more than BLOCK_DOCS documents, however
+    frequent a term is. doc_id is unique; null texts have no words.
+    """
+    words = docs.select("doc_id", tokens(F.col("text")).alias("w")).withColumn("length", F.size("w"))
+    sizes = words.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    sizes.write.parquet(f"{path}/sizes")
+    mean = F.lit(docs.sparkSession.read.parquet(f"{path}/sizes").first()["mean"] or 1.0)
+    places = words.select("doc_id", "length", F.posexplode("w").alias("pos", "term")).groupBy("term", "doc_id", "length").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    found = places.groupBy("term", F.floor(F.col("doc_id") / BLOCK_DOCS).alias("block")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "length", "at"))).alias("p"), F.max(_gain(F.size("at"), F.col("length"), mean)).alias("most"))
+    column = lambda name: F.transform("p", lambda p: p[name])
+    blocks = found.select(
+        "term", "block", "most", F.size("p").alias("n"), _deltas(F.transform(column("doc_id"), lambda d: d - F.col("block") * BLOCK_DOCS)).alias("docs"), column("length").alias("lengths"), F.transform(column("at"), _deltas).alias("at"),
+        F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"),
+    )
+    blocks.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/blocks")
+
+
+def top(spark: SparkSession, path: str, query: str, k: int) -> DataFrame:
+    """doc_id, score, position (from 1) and at of the k best documents by BM25 with one of the query's terms, ties by number.
+
+    Only the terms' buckets are read. Blocks with the highest bounds are scored first; then only those whose bound is
+    not below the k-th score so far, so the rest of the postings is never opened. at has the places of the terms.
+    """
+    asked = sorted({w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()})
+    named = spark.createDataFrame([(w,) for w in asked], "term string").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+    buckets = sorted({r.bucket for r in named.collect()})
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where(F.col("bucket").isin(buckets) & F.col("term").isin(asked))
+    sizes = spark.read.parquet(f"{path}/sizes").first()
+    often = {r.term: r.n for r in blocks.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    idf = {w: math.log(1 + (sizes["n"] - n + 0.5) / (n + 0.5)) for w, n in often.items()}
+    weight = F.create_map(*[F.lit(x) for pair in (idf or {"": 0.0}).items() for x in pair])[F.col("term")]
+    bounds = blocks.groupBy("block").agg(F.sum(weight * F.col("most")).alias("bound"))
+    first = [r.block for r in bounds.orderBy(F.desc("bound"), "block").limit(k).collect()]
+
+    def scored(some: DataFrame) -> DataFrame:
+        docs = F.transform(_sums(F.col("docs")), lambda d: d + F.col("block") * BLOCK_DOCS)
+        rows = some.select("term", weight.alias("idf"), F.explode(F.arrays_zip(docs.alias("doc_id"), "lengths", "at")).alias("p"))
+        tf = F.size("p.at")
+        gains = rows.select("p.doc_id", (F.col("idf") * _gain(tf, F.col("p.lengths"), F.lit(sizes["mean"] or 1.0))).alias("gain"), _sums(F.transform("p.at", lambda d: d.cast("long"))).alias("at"))
+        return gains.groupBy("doc_id").agg(F.sum("gain").alias("score"), F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
+
+    order = [F.desc("score"), F.col("doc_id")]
+    some = scored(blocks.where(F.col("block").isin(first))).orderBy(*order).limit(k)
+    least = some.agg(F.min("score").alias("least"), F.count("*").alias("n")).first()
+    # A sum in another order may differ in its last digit.
+    floor = least["least"] * (1 - 1e-9) if least["n"] == k else 0.0
+    rest = bounds.where((F.col("bound") >= floor) & ~F.col("block").isin(first)).select("block")
+    best = some.union(scored(blocks.join(rest, "block", "left_semi"))).orderBy(*order).limit(k)
+    return best.withColumn("position", F.row_number().over(Window.orderBy(*order))).select("doc_id", "score", "position", "at")
+
+
+def excerpts(found: DataFrame, docs: DataFrame, words: int = EXCERPT) -> DataFrame:
+    """doc_id, position and excerpt: the words of each found document around most of the terms' places, the first of equals."""
+    window = lambda start: F.size(F.filter("at", lambda p: (p >= start) & (p < start + words)))
+    best = F.array_max(F.transform("at", lambda p: F.struct(window(p).alias("n"), (-p).alias("start"))))
+    texts = docs.select("doc_id", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("w"))
+    starts = found.select("doc_id", "position", (-best["start"]).cast("int").alias("start"))
+    return texts.join(F.broadcast(starts), "doc_id").select("doc_id", "position", F.array_join(F.slice("w", F.col("start") + 1, F.lit(words)), " ").alias("excerpt"))

@@ -1,9 +1,11 @@
 """Queries over emphasis, code that two versions of a document share, and offsets inside pages and texts."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioscope.functions import html, tags, urls
-from folioscope.operators import emphasis, leads, maintenance, offsets, pairs, ranks, terms, threads
+from folioscope.operators import emphasis, leads, maintenance, offsets, pairs, ranks, search, terms, threads
 from folioscope.plans.registry import query
 from folioscope.plans.tables import EXPLODED, ITEMS, items, table, tagged
 
@@ -152,3 +154,19 @@ def tag_chips(spark, sf_dir):
     """All tags in lower case by use, ties by Chinese collation; the first thirty are shown at once."""
     own = tagged(spark, sf_dir).select(F.explode(tags.listed(F.col("tags"), None, None)).alias("tag"))
     return terms.chips(own.groupBy(F.lower("tag").alias("label")).agg(F.count("*").alias("n")))
+
+
+_ASKED = "the of and"
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+sizes AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
+hits AS (SELECT doc_id, len(w) AS length, t AS term, len(list_filter(w, lambda x: x = t)) AS tf FROM w, unnest(['the', 'of', 'and']) AS u(t)),
+df AS (SELECT term, count(*) AS df FROM hits WHERE tf > 0 GROUP BY term),
+scores AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM hits JOIN df USING (term), sizes WHERE tf > 0 GROUP BY doc_id)
+SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS position FROM scores ORDER BY position LIMIT 20""")
+def search_top(spark, sf_dir):
+    """The twenty best documents for three frequent words, from an index that is written first."""
+    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{uuid.uuid4().hex}"
+    search.write_index(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return search.top(spark, path, _ASKED, 20).select("doc_id", F.round("score", 6).alias("score"), F.col("position").cast("long").alias("position"))
