@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioscope.functions.spans import inside, matches
+from folioscope.functions.tags import folded
 
 
 def blocks(text: Column) -> Column:
@@ -116,3 +117,31 @@ def reader_view(blocks_: Column, translated: Column, failed: Column) -> Column:
     """How a document is shown: single without a usable translation, paired where blocks align, else stacked."""
     there = translated.isNotNull() & (F.size(translated) > 0) & ~F.coalesce(failed, F.lit(False))
     return F.when(~F.coalesce(there, F.lit(False)), "single").when(F.size(alignment_errors(blocks_, translated)) == 0, "paired").otherwise("stacked")
+
+
+#: Quotes and dashes that headings and titles write differently.
+_TYPED, _PLAIN = "\u2018\u2019\u201a\u201b\u201c\u201d\u201e\u201f\u2013\u2014", "\'\'\'\'\"\"\"\"--"
+
+
+def title_key(title: Column) -> Column:
+    """A title for comparison: compatibility forms, quotes, dashes, white space and case folded."""
+    return F.lower(F.trim(F.regexp_replace(F.translate(folded(title), _TYPED, _PLAIN), r"(?U)\s+", " ")))
+
+
+def first_heading(body: Column) -> Column:
+    """The text of a body's first block if it is a heading of the first level, else null."""
+    first = F.get(blocks(body), F.lit(0))
+    one = F.when(first["type"] == "heading", F.nullif(F.regexp_extract(first["text"], r"^ {0,3}#[ \t]+([^\n]*?)(?:[ \t]+#+)?[ \t]*$", 1), F.lit("")))
+    under = F.when(first["type"] == "heading", F.nullif(F.regexp_extract(first["text"], r"^([^#\n][^\n]*)\n=+[ \t]*$", 1), F.lit("")))
+    return plain_text(F.coalesce(one, under))
+
+
+def lifted(body: Column, translation: Column, title: Column) -> Column:
+    """struct<title_zh, lifted>: whether a page shows the body's first heading as its title, and the translation's heading then.
+
+    It is lifted if it says what the title says, and the translation, if there is one, has a heading too.
+    """
+    own, other = first_heading(body), first_heading(translation)
+    same = F.coalesce(title_key(own) == title_key(title), F.lit(False))
+    up = same & (translation.isNull() | other.isNotNull())
+    return F.struct(F.when(up, other).alias("title_zh"), up.alias("lifted"))

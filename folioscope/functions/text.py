@@ -41,10 +41,14 @@ def language(body: Column, threshold: float = 0.3) -> Column:
     return F.when(han_ratio(body) >= threshold, F.lit("zh")).otherwise(F.lit("en"))
 
 
+#: Marks that close a sentence, and those that may stand behind one, once.
+ENDS, CLOSERS = "。．.！!？?", "\"'」』”’）)】\\]"
+
+
 def is_finished(summary: Column) -> Column:
-    """Ends with a sentence mark that is no ellipsis, perhaps within quotes."""
-    bare = F.regexp_replace(summary, r"""(?U)[\s"'”’」』)）]+$""", "")
-    return bare.rlike("[.!?。！？]$") & ~bare.rlike(r"(?:\.\.|…)$")
+    """Ends with a sentence mark that is no ellipsis, perhaps with one closing sign behind it."""
+    last = F.regexp_extract(F.regexp_replace(summary, r"(?U)\s+$", ""), rf"([{ENDS}…]+)[{CLOSERS}]?$", 1)
+    return (last != "") & ~last.rlike(r"\.\.$|…$")
 
 
 def simplified_quotes(text: Column) -> Column:
@@ -66,12 +70,14 @@ def is_readable(body: Column) -> Column:
     return F.regexp_replace(F.coalesce(body, F.lit("")), r"(?U)\s", "") != ""
 
 
+#: What a reader doesn't see: pictures, targets of links, tags, signs of markup, white space beyond one.
+_TARGET = r"\((?:[^()\\]++|\\.|\([^()]*+\))*+\)"
+UNSEEN = rf"(?U)!\[(?:[^\[\]\\]++|\\.)*+\]{_TARGET}|(?<=\]){_TARGET}|<[^<>]+>|[#>*_`~|\[\]-]+|\s+"
+
+
 def visible_length(markdown: Column) -> Column:
-    """Length of what a reader sees: without image and link targets, marks and extra white space."""
-    out = markdown
-    for pattern, by in ((r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^[#>\-*+ \t]+", ""), (r"[*_`~|]", ""), (r"(?U)\s+", " ")):
-        out = F.regexp_replace(out, pattern, by)
-    return F.length(F.trim(out)).cast("long")
+    """Length of what a reader sees, each stretch of what he doesn't as one space."""
+    return F.length(F.trim(F.regexp_replace(F.regexp_replace(markdown, UNSEEN, " "), " {2,}", " "))).cast("long")
 
 
 def retry_after_ms(header: Column) -> Column:

@@ -112,6 +112,18 @@ def normalize(url: Column) -> Column:
     return let(plain, canonical)
 
 
+def source_of(url: Column) -> Column:
+    """Where a body was read, without query and fragment, if a publisher's rule files it elsewhere; else null."""
+    bare = F.regexp_extract(url, _AUTHORITY + r"([^?#]*)", 3)
+    plain = F.concat(F.nullif(origin(url), F.lit("")), F.coalesce(F.nullif(without_dots(encoded(bare, PATH_SET)), F.lit("")), F.lit("/")))
+    return let(plain, lambda u: F.when(canonical(u) != u, u))
+
+
+def site_href(*candidates: Column) -> Column:
+    """The first of some addresses that is an http(s) URL with a host; only such may be linked."""
+    return F.coalesce(*[F.when(c.rlike(r"(?i)^\s*https?:[/\\]*[^/\\?#\s]"), F.trim(c)) for c in candidates])
+
+
 def slug(url: Column) -> Column:
     """Host and path in ASCII, at most 60 long, and 8 hex digits of the normal form's SHA-256."""
     return let(normalize(url), _slug_of)

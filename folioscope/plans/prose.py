@@ -4,8 +4,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from folioscope.functions import html, tags, urls
-from folioscope.operators import emphasis, leads, maintenance, offsets, pairs, ranks, search, terms, threads
+from folioscope.functions import html, markdown, tags, urls
+from folioscope.operators import emphasis, layout, leads, maintenance, offsets, pairs, ranks, search, terms, threads
 from folioscope.plans.registry import query
 from folioscope.plans.tables import EXPLODED, ITEMS, items, table, tagged
 
@@ -170,3 +170,51 @@ def search_top(spark, sf_dir):
     path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{uuid.uuid4().hex}"
     search.write_index(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return search.top(spark, path, _ASKED, 20).select("doc_id", F.round("score", 6).alias("score"), F.col("position").cast("long").alias("position"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '标题 ' || doc_id END AS title_zh, doc_id % 4 < 2 AS lifted FROM documents""")
+def titles_lifted(spark, sf_dir):
+    """Every text under a heading that is the title with other quotes, with a translation's heading, with none, with a translation without one, and under another."""
+    k, n = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    head = F.when(k == 3, F.lit("# Other")).otherwise(F.concat(F.lit("# Say \u201c**No**\u201d \u2014  "), n))
+    body = F.concat(head, F.lit("\n\n"), "text")
+    translation = F.when(k == 0, F.concat(F.lit("# 标题 "), n, F.lit("\n\n文"))).when(k == 2, "文")
+    rows = table(spark, sf_dir, "documents").select("doc_id", markdown.lifted(body, translation, F.concat(F.lit('say "no" - '), n)).alias("t"))
+    return rows.select("doc_id", "t.title_zh", "t.lifted")
+
+
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://arxiv.org/html/' || lpad(CAST(1000 + page_id % 9000 AS VARCHAR), 4, '0') || '.12345v2' WHEN 1 THEN 'https://raw.githubusercontent.com/O/r' || page_id || '/main/A.md' END AS source,
+  CASE page_id % 3 WHEN 0 THEN NULL ELSE url END AS href FROM pages""")
+def source_urls(spark, sf_dir):
+    """Bodies that a rule files elsewhere and one that stays; addresses that may be linked, and scripts that may not."""
+    k, n = F.col("page_id") % 3, F.col("page_id")
+    at = F.when(k == 0, F.concat(F.lit("https://arxiv.org/html/"), F.lpad((1000 + n % 9000).cast("string"), 4, "0"), F.lit(".12345v2?context=cs#S3"))).when(k == 1, F.concat(F.lit("https://raw.githubusercontent.com/O/r"), n.cast("string"), F.lit("/main/A.md"))).otherwise(F.col("url"))
+    said = F.when(k == 0, "javascript:alert(1)").when(k == 1, F.lit(None).cast("string")).otherwise(F.col("url"))
+    other = F.when(k == 0, "local:a.pdf").otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.source_of(at).alias("source"), urls.site_href(said, other).alias("href"))
+
+
+_CHUNKS = """chunks AS (SELECT doc_id, i, n, (n + 1) // 2 AS half, substr(t, 40 * i + 1, 40) AS chunk FROM (SELECT doc_id, t, (length(t) + 39) // 40 AS n FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS t FROM documents)), unnest(range(n)) AS u(i))"""
+
+
+@query(f"""WITH {_CHUNKS}, whole AS (SELECT *, n >= 6 AS two FROM chunks),
+placed AS (SELECT doc_id, i + CASE WHEN two THEN 1 ELSE 0 END AS pos, 'line' AS kind, chunk AS text FROM whole
+  UNION ALL SELECT doc_id, 0, 'line', 'Title ' || doc_id FROM whole WHERE two AND i = 0
+  UNION ALL SELECT doc_id, n + 1, 'line', 'Table ' || doc_id FROM whole WHERE two AND i = 0
+  UNION ALL SELECT doc_id, n + 2, 'table', '| k | ' || doc_id || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| a | 1 |' || chr(10) || '| b | 2 |' FROM whole WHERE two AND i = 0)
+SELECT doc_id AS doc, CAST(1 AS BIGINT) AS page, CAST(pos AS BIGINT) AS pos, kind, text FROM placed""")
+def pdf_reading_order(spark, sf_dir):
+    """Every text's letters in two columns under a title and over a table, where it fills them; else in one."""
+    letters = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.regexp_replace("text", "[^A-Za-z]", "").alias("t"))
+    n = F.ceil(F.length("t") / 40).cast("int")
+    rows = letters.withColumn("n", n).withColumn("two", F.col("n") >= 6).withColumn("half", F.expr("(n + 1) div 2")).where("n > 0")
+    chunks = rows.select("doc", "n", "two", "half", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring("t", 40 * i + 1, F.lit(40)))).alias("i", "text"))
+    right = F.col("two") & (F.col("i") >= F.col("half"))
+    placed = chunks.select("doc", F.when(right, 320.0).otherwise(60.0).alias("x"), (-12.0 * F.when(right, F.col("i") - F.col("half")).otherwise(F.col("i"))).alias("y"), F.lit(200.0).alias("width"), F.lit(10.0).alias("size"), "text")
+    k, low = F.col("doc").cast("string"), -12.0 * (F.col("half") + 2)
+    run = lambda x, y, width, said: F.struct(F.lit(x).cast("double").alias("x"), y.cast("double").alias("y"), F.lit(width).cast("double").alias("width"), F.lit(10.0).alias("size"), said.alias("text"))
+    put = [run(60, F.lit(30), 460, F.concat(F.lit("Title "), k))] + [run(x, low - 14 * j, 30, F.lit(t) if t else k) for j, row in enumerate((("k", ""), ("a", "1"), ("b", "2"))) for x, t in zip((60, 200), row)]
+    # A caption across both columns parts the table from them.
+    put.append(run(60, low + 12, 460, F.concat(F.lit("Table "), k)))
+    extra = rows.where("two").select("doc", F.explode(F.array(*put)).alias("r")).select("doc", "r.*")
+    return layout.in_reading_order(placed.union(extra).withColumn("page", F.lit(1).cast("long")))
