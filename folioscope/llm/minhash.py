@@ -34,7 +34,7 @@ BANDS = SIZE // BAND
 #: Links have 100 * common >= PERCENT * together.
 PERCENT = 85
 #: Rounds of pivots; what is open then is compared pair by pair.
-ROUNDS = 4
+ROUNDS = 2
 _EMPTY, _GOLDEN = np.uint64((1 << 64) - 1), np.uint64(0x9E3779B97F4A7C15)
 #: Names a class without any doc_id; it comes after all others.
 _LAST = (1 << 63) - 1
