@@ -168,6 +168,24 @@ def _edges(compared: DataFrame, percent: int) -> DataFrame:
     return compared.where(F.col("common") >= _enough("p_size", "x_size", percent)).select(F.least(p, x).alias("a"), F.greatest(p, x).alias("b"))
 
 
+def _merged(rooted: DataFrame, edges: DataFrame) -> DataFrame:
+    """rooted (node and root) with more links: components of the roots that these join, whose nodes follow.
+
+    A node without a row in rooted is a root, its own.
+    """
+    of = rooted.select(F.col("node").alias("of"), "root")
+    ends = edges
+    for end in "ab":
+        ends = ends.join(of, F.col(end) == F.col("of"), "left").withColumn(end, F.coalesce("root", end)).drop("of", "root")
+    between = saved(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if not between.limit(1).count():
+        return rooted
+    moved = components(between)
+    to = moved.select(F.col("node").alias("of"), F.col("root").alias("to"))
+    followed = rooted.join(to, F.col("root") == F.col("of"), "left").select("node", F.coalesce("to", "root").alias("root"))
+    return saved(followed.union(moved.select("node", "root")))
+
+
 def _open(met: DataFrame, labels: DataFrame) -> DataFrame:
     """chain, key, c1 and label of the buckets of three classes or more that lie in several components."""
     labelled = met.join(labels, "c1", "left").select("chain", "key", "c1", F.coalesce("label", "c1").alias("label"))
@@ -196,7 +214,7 @@ def _rooted(met: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -
     """
     wanted = classes.join(met.select("c1").distinct(), "c1", "left_semi").select("name", "at1", "at2", "c1")
     sets = saved(_sets(docs, wanted))
-    met, known, more, compared, edges = met.withColumn("chain", F.lit(0).cast("long")), None, None, None, None
+    met, known, more, compared, rooted = met.withColumn("chain", F.lit(0).cast("long")), None, None, None, None
     for turn in range(ROUNDS + 1):
         with_pivot = saved(met.join(_pivots(met), "key").withColumn("next", F.xxhash64("chain", "p")))
         pairs = with_pivot.where("p <> c1").groupBy("p", F.col("c1").alias("x")).agg((F.max("n") > 2).alias("wanted"))
@@ -204,8 +222,7 @@ def _rooted(met: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -
             pairs = pairs.select("p", "x").union(more).distinct().join(compared.select("p", "x"), ["p", "x"], "left_anti").withColumn("wanted", F.lit(False))
         now = saved(_compared(pairs, sets))
         compared = now if compared is None else compared.union(now)
-        edges = _edges(now, percent) if edges is None else edges.union(_edges(now, percent))
-        rooted = components(edges)
+        rooted = components(_edges(now, percent)) if rooted is None else _merged(rooted, _edges(now, percent))
         labels = rooted.select(F.col("node.c1").alias("c1"), F.col("root.c1").alias("label"))
         open_met = saved(_open(with_pivot.select("chain", "key", "c1"), labels))
         if not open_met.limit(1).count():
@@ -213,13 +230,12 @@ def _rooted(met: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -
         if turn == ROUNDS:
             a, b = (open_met.select("key", F.col("c1").alias(c), F.col("label").alias(f"{c}_label")) for c in ("p", "x"))
             rest = a.join(b, "key").where("p < x AND p_label <> x_label").select("p", "x").distinct().withColumn("wanted", F.lit(False))
-            return components(edges.union(_edges(saved(_compared(rest, sets)), percent)))
+            return _merged(rooted, _edges(saved(_compared(rest, sets)), percent))
         members = open_met.join(with_pivot.select("key", "p", "next").distinct(), "key").where("p <> c1").select("chain", "next", "p", F.col("c1").alias("x"), "label").distinct()
         known = saved(_beyond(members, known if turn else None, compared))
         met, more = saved(_meet_again(known, percent)), saved(_may_link(known, percent))
 
 
-
 def _beyond(members: DataFrame, known: DataFrame | None, compared: DataFrame) -> DataFrame:
     """chain, x, label, x_size, common and added of classes, once their chain has one more pivot."""
     if known is None:

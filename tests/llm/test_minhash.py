@@ -93,6 +93,21 @@ def test_what_is_open_after_all_rounds_is_compared(spark, awkward, monkeypatch):
     assert sorted(map(tuple, minhash.near_duplicates(awkward(docs)).collect()), key=str) == brute(docs)
 
 
+def test_more_links_join_components(spark):
+    """Chains of components, links within one, new nodes, repeated links, and a smaller root that comes last."""
+
+    def table(pairs):
+        return spark.createDataFrame([((a, 0), (b, 0)) for a, b in pairs], "a struct<name:long,c1:long>, b struct<name:long,c1:long>")
+
+    def of(rooted):
+        return sorted((r.node.name, r.root.name) for r in rooted.collect())
+
+    first, second = [(2, 3), (3, 4), (10, 11), (20, 21)], [(4, 11), (11, 10), (20, 30), (1, 21), (1, 21), (40, 41)]
+    rooted = minhash.components(table(first))
+    assert of(minhash._merged(rooted, table(second))) == of(minhash.components(table(first + second)))
+    assert of(minhash._merged(rooted, table([(2, 4)]))) == of(minhash._merged(rooted, table([]))) == of(rooted)
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(3)
     for n, common in ((1, 1), (7, 6), (40, 36), (3000, 2700)):
