@@ -5,20 +5,29 @@ from pyspark.sql import functions as F
 
 #: Ranges into which all rows are cut, about.
 CUTS = 200
+#: Halvings that find a place among the cuts. Fewer than 2 ** 16 are drawn: their number varies about CUTS with the hash.
+_STEPS = 16
+
+
+def _below(cuts: str, at: Column) -> Column:
+    """How many of the sorted cuts are below a value: steps of falling powers of two, each taken if the cut there is below."""
+    steps = F.expr(f"filter(array({', '.join(str(1 << k) for k in reversed(range(_STEPS)))}), s -> s <= size({cuts}))")
+    taken = lambda n, s: n + F.when(F.get(cuts, n + s - 1) < at, s).otherwise(0)
+    return F.aggregate(steps, F.lit(0), taken)
 
 
 def ranged(rows: DataFrame, group: str | None, at: Column) -> DataFrame:
     """The rows with _at, their place in the order, and _range, a number that grows with group and place.
 
     Cut points are about CUTS places, drawn by their hash: a row of one array of bounded size, which is the only thing
-    that every task gets (the cross join is with that row).
+    that every task gets (the cross join is with that row). A row finds its range by halving, in _STEPS comparisons.
     """
     whole = F.struct(F.col(group).alias("g"), at.alias("at")) if group else F.struct(at.alias("at"))
     keyed = rows.withColumn("_at", whole)
     every = max(1, rows.count() // CUTS)
     drawn = keyed.where(F.pmod(F.xxhash64("_at"), F.lit(every)) == 0).select("_at")
     cuts = F.broadcast(drawn.distinct().agg(F.array_sort(F.collect_list("_at")).alias("_cuts")))
-    return keyed.crossJoin(cuts).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_at")))).drop("_cuts")
+    return keyed.crossJoin(cuts).withColumn("_range", _below("_cuts", F.col("_at"))).drop("_cuts")
 
 
 def numbered(rows: DataFrame, group: str | None, at: Column, name: str = "position") -> DataFrame:

@@ -52,3 +52,13 @@ def test_moves(spark):
     items = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "a"), (2, 1, "c"), (3, 0, "x")], "collection long, pos long, slug string")
     moves = spark.createDataFrame([("a", "b"), ("c", "b")], "slug string, new_slug string")
     assert sorted(map(tuple, maintenance.followed(items, moves).collect())) == [(1, 1, "b"), (2, 0, "b"), (3, 0, "x")]
+
+
+def test_ranges_are_found_by_halving(spark):
+    cuts = [[], [3], list(range(0, 400, 2)), [1] * 5 + [7] * 60, list(range(1000))]
+    rows = [(c, v) for c in cuts for v in (-1, 0, 1, 2, 3, 7, 199, 398, 399, 1000)]
+    got = spark.createDataFrame(rows, "c array<int>, v int").select("c", "v", ranks._below("c", F.col("v")).alias("n")).collect()
+    assert all(r.n == sum(x < r.v for x in r.c) for r in got)
+    placed = ranks.ranged(spark.range(2000), None, F.struct("id"))
+    assert "filter(_cuts" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    assert [r[0] for r in placed.orderBy("id").select("_range").collect()] == sorted(r[0] for r in placed.select("_range").collect())
