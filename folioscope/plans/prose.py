@@ -53,9 +53,9 @@ def page_addresses(spark, sf_dir):
 FROM (SELECT doc_id, '# ' || doc_id || ' `a' || doc_id || '` [b](u' || doc_id || ')' || chr(10) || chr(10) || '- x' || chr(10) || '  ~~~' || chr(10) || '  c' || doc_id || chr(10) || '  ~~~' || chr(10) || chr(10) || '> $e' || doc_id || '$ <i>f</i> `g' || doc_id || '`' AS body,
   ['`a' || doc_id || '`', '(u' || doc_id || ')', '~~~' || chr(10) || '  c' || doc_id || chr(10) || '  ~~~', '$e' || doc_id || '$', '<i>', '</i>', '`g' || doc_id || '`'] AS vs FROM documents), unnest(range(1, 8)) AS u(i), LATERAL (SELECT vs[i] AS value)""")
 def text_ranges(spark, sf_dir):
-    """Code, targets, math and tags in a heading, a list's fence and a quote, for every document; its text follows as letters and spaces."""
+    """Code, targets, math and tags in a heading, a list's fence and a quote, for every document; its text follows as letters and spaces, from its first letter on, so no indent makes it code."""
     n = F.col("doc_id").cast("string")
-    body = F.concat(F.lit("# "), n, F.lit(" `a"), n, F.lit("` [b](u"), n, F.lit(")\n\n- x\n  ~~~\n  c"), n, F.lit("\n  ~~~\n\n> $e"), n, F.lit("$ <i>f</i> `g"), n, F.lit("`\n\n"), F.regexp_replace("text", r"[^\p{L} ]+", " "))
+    body = F.concat(F.lit("# "), n, F.lit(" `a"), n, F.lit("` [b](u"), n, F.lit(")\n\n- x\n  ~~~\n  c"), n, F.lit("\n  ~~~\n\n> $e"), n, F.lit("$ <i>f</i> `g"), n, F.lit("`\n\n"), F.ltrim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L} ]+", " ")))
     return offsets.text_ranges(table(spark, sf_dir, "documents").select("doc_id", body.alias("text")))
 
 
