@@ -75,12 +75,16 @@ def feed(docs: DataFrame, at: str, key: str, size: int = FEED_SIZE) -> DataFrame
     return docs.orderBy(*newest(docs, at, key)).limit(size)
 
 
-def short_links(slugs: DataFrame) -> DataFrame:
-    """id, the slugs that claim it, and whether it is given: only an id with one claimant is."""
+def claims(slugs: DataFrame) -> DataFrame:
+    """slug and the id that its name claims, whether it is given or not; a name without one is left out."""
     from folioscope.functions.urls import short_id
 
-    claims = slugs.select("slug", short_id(F.col("slug")).alias("id")).where("id IS NOT NULL")
-    return claims.groupBy("id").agg(F.count("*").alias("claims"), F.min("slug").alias("slug")).withColumn("given", F.col("claims") == 1)
+    return slugs.select("slug", short_id(F.col("slug")).alias("id")).where("id IS NOT NULL")
+
+
+def short_links(slugs: DataFrame) -> DataFrame:
+    """id, the slugs that claim it, and whether it is given: only an id with one claimant is."""
+    return claims(slugs).groupBy("id").agg(F.count("*").alias("claims"), F.min("slug").alias("slug")).withColumn("given", F.col("claims") == 1)
 
 
 def date_label(at: Column, year: int) -> Column:

@@ -23,3 +23,7 @@ def test_clip_blocks_of_headings_cut_within_an_entity(spark, tmp_path):
     page = "<html><body><article><h1>{}</h1><p>Some words of a paragraph, and more of them &amp; so on.</article></body></html>"
     rows = [(i, "https://x.org/a", page.format(head)) for i, head in enumerate(("you &amp; me&amp", "said &quot", "a &am", "a &", "a &#3", "a &#38", "R&ampD", "whole &amp; &quot;b&quot;"))]
     same_as_sql(spark, tmp_path, "clip_blocks", pages=(rows, "page_id long, url string, html string"))
+
+
+def test_redirect_lines_of_an_id_that_two_names_claim(spark, tmp_path):
+    same_as_sql(spark, tmp_path, "redirect_lines", pages=([(122369,), (458350,), (1,)], "page_id long"))
