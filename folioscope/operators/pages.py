@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 from folioscope.operators import library
 
 
-def article_pages(articles: DataFrame, items: DataFrame, listed_terms: DataFrame) -> DataFrame:
-    """One row for each article (slug, url, tags), unlisted ones too: collections, short or long link, terms with a page."""
+def article_pages(articles: DataFrame, items: DataFrame, listed_terms: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """One row for each article (slug, url, tags), unlisted ones too: collections, short or long link, terms with a page.
+
+    ids are the short ids (slug, id) to link by; without them those that are given, to one claimant each.
+    """
+    ids = library.short_links(articles.select("slug")).where("given") if ids is None else ids
     members = items.groupBy("slug").agg(F.array_join(F.array_sort(F.collect_set(F.col("collection").cast("string"))), ",").alias("collections"))
-    links = library.short_links(articles.select("slug")).where("given").select("slug", F.concat(F.lit("/s/"), "id", F.lit("/")).alias("short"))
+    links = ids.select("slug", F.concat(F.lit("/s/"), "id", F.lit("/")).alias("short"))
     tags = articles.select("slug", F.posexplode("tags").alias("pos", "tag")).join(listed_terms.select(F.col("term").alias("tag")).distinct(), "tag", "left_semi")
     shown = tags.groupBy("slug").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tag"))), lambda t: t["tag"]), "|").alias("terms"))
     out = articles.select("slug", "url").join(members, "slug", "left").join(links, "slug", "left").join(shown, "slug", "left")

@@ -27,3 +27,8 @@ def test_clip_blocks_of_headings_cut_within_an_entity(spark, tmp_path):
 
 def test_redirect_lines_of_an_id_that_two_names_claim(spark, tmp_path):
     same_as_sql(spark, tmp_path, "redirect_lines", pages=([(122369,), (458350,), (1,)], "page_id long"))
+
+
+def test_article_pages_with_gaps_and_an_id_that_two_names_claim(spark, tmp_path):
+    rows = [(n, "en", f"src{n % 3}") for n in (508355, 305120, 0, 7, 40, 41)]
+    same_as_sql(spark, tmp_path, "article_pages", documents=(rows, "doc_id long, lang string, source string"))
