@@ -27,8 +27,8 @@ def left_over(assets: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def within_caps(found: DataFrame, count: int, size: int) -> DataFrame:
-    """Pictures (slug, pos, bytes) in order while a document's number and bytes allow."""
-    w = Window.partitionBy("slug").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    """Pictures (slug, pos, bytes) in order while a document's number and bytes allow; of equal places the smaller goes first."""
+    w = Window.partitionBy("slug").orderBy("pos", "bytes").rowsBetween(Window.unboundedPreceding, 0)
     return found.withColumn("taken", (F.count("*").over(w) <= count) & (F.sum("bytes").over(w) <= size))
 
 

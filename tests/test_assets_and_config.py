@@ -42,3 +42,10 @@ def test_translation_rules(spark):
 def test_feed_items_are_escaped(spark):
     df = spark.createDataFrame([("s", 'A & "B" <c>', "https://x.org/?a&b", None, "short")], "slug string, title string, url string, summary string, excerpt string")
     assert sinks.feed_items(df).first().item == "<item><title>A &amp; &quot;B&quot; &lt;c&gt;</title><link>https://x.org/?a&amp;b</link><description>short</description></item>"
+
+
+def test_caps_don_t_depend_on_the_order_of_rows(spark):
+    rows = [("a", 1, 80), ("a", 2, 30), ("a", 2, 5), ("b", 0, 91), ("b", 0, 90)]
+    for own in (rows, rows[::-1]):
+        got = assets.within_caps(spark.createDataFrame(own, "slug string, pos long, bytes long").coalesce(1), 3, 90).collect()
+        assert sorted(map(tuple, got)) == [("a", 1, 80, True), ("a", 2, 5, True), ("a", 2, 30, False), ("b", 0, 90, True), ("b", 0, 91, False)]
