@@ -5,11 +5,13 @@ with a run as wide as most of a region, such as a title over two columns, part i
 the other; a band is cut at its widest gutter, and its left part is read before the right one, each cut on.
 """
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from statistics import median
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: A gutter's least width, the share of a region's width that parts it into bands, and lines on each side, at least.
 GUTTER, SPANS, LINES = 12.0, 0.6, 3
@@ -18,6 +20,8 @@ SAME_LINE, SAME_START, CELL_GAP = 2.0, 3.0, 1.5
 #: Rows of a table, at least; characters of a cell, at most, where two sides of a gap share their baselines.
 ROWS, CELL = 3, 24
 
+NAMES, KINDS = ["doc", "page", "pos", "kind", "text"], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+
 Run = tuple[float, float, float, float, str]  # x, y, width, size, text
 
 
@@ -48,7 +52,8 @@ def gutter(runs: list[Run]) -> tuple[float, float] | None:
         return None
     # Short cells that share their baselines are a table's, not columns'.
     bases = [[line[0][1] for line in side] for side in sides]
-    shared = sum(any(abs(a - b) <= SAME_LINE for b in bases[1]) for a in bases[0]) if len(bases[0]) <= 400 else len({round(b / SAME_LINE) for b in bases[0]} & {round(b / SAME_LINE) for b in bases[1]})
+    other = sorted(bases[1])
+    shared = sum(any(abs(a - b) <= SAME_LINE for b in other[max(k - 1, 0) : k + 1]) for a in bases[0] for k in [bisect_left(other, a)])
     short = median(sum(len(r[4]) for r in line) for side in sides for line in side) <= CELL
     return None if short and shared >= 0.8 * min(map(len, sides)) else best
 
@@ -116,10 +121,32 @@ def blocks(runs: list[Run]) -> list[tuple[str, str]]:
 def in_reading_order(runs: DataFrame) -> DataFrame:
     """doc, page, pos, kind and text: a row for each line, and one for each table as Markdown. Blank and null runs are left out."""
 
-    def read(page: pd.DataFrame) -> pd.DataFrame:
-        kept = [(float(x), float(y), float(w), float(s), t) for x, y, w, s, t in zip(page["x"], page["y"], page["width"], page["size"], page["text"]) if isinstance(t, str) and t.strip()]
-        found = blocks(kept)
-        n = len(found)
-        return pd.DataFrame({"doc": [page["doc"].iloc[0]] * n, "page": [page["page"].iloc[0]] * n, "pos": list(range(n)), "kind": [k for k, _ in found], "text": [t for _, t in found]}).astype({"doc": "int64", "page": "int64", "pos": "int64", "kind": "str", "text": "str"})
-
-    return runs.select("doc", "page", "x", "y", "width", "size", "text").groupBy("doc", "page").applyInPandas(read, "doc long, page long, pos long, kind string, text string")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted, so a page's are next to each other; only a page and the rows found in a batch are held.
+        at, page, out = None, [], []
+
+        def close() -> None:
+            out.extend((*at, pos, kind, text) for pos, (kind, text) in enumerate(blocks(page)))
+            page.clear()
+
+        def found() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(KINDS)], NAMES)
+            out.clear()
+            return rows
+
+        for batch in batches:
+            for doc, nth, *values, text in zip(*(column.to_pylist() for column in batch.columns)):
+                if at != (doc, nth):
+                    if page:
+                        close()
+                    at = (doc, nth)
+                if text and text.strip():
+                    page.append((*values, text))
+            yield found()
+        if page:
+            close()
+        yield found()
+
+    numbers = [F.col(c).cast("double") for c in ("x", "y", "width", "size")]
+    rows = runs.select(F.col("doc").cast("long"), F.col("page").cast("long"), *numbers, F.col("text").cast("string")).repartition("doc", "page").sortWithinPartitions("doc", "page")
+    return rows.mapInArrow(run, "doc long, page long, pos long, kind string, text string")

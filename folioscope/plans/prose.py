@@ -208,7 +208,7 @@ def pdf_reading_order(spark, sf_dir):
     letters = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.regexp_replace("text", "[^A-Za-z]", "").alias("t"))
     n = F.ceil(F.length("t") / 40).cast("int")
     rows = letters.withColumn("n", n).withColumn("two", F.col("n") >= 6).withColumn("half", F.expr("(n + 1) div 2")).where("n > 0")
-    chunks = rows.select("doc", "n", "two", "half", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring("t", 40 * i + 1, F.lit(40)))).alias("i", "text"))
+    chunks = rows.select("doc", "n", "two", "half", F.posexplode(F.regexp_extract_all("t", F.lit(".{1,40}"), F.lit(0))).alias("i", "text"))
     right = F.col("two") & (F.col("i") >= F.col("half"))
     placed = chunks.select("doc", F.when(right, 320.0).otherwise(60.0).alias("x"), (-12.0 * F.when(right, F.col("i") - F.col("half")).otherwise(F.col("i"))).alias("y"), F.lit(200.0).alias("width"), F.lit(10.0).alias("size"), "text")
     k, low = F.col("doc").cast("string"), -12.0 * (F.col("half") + 2)

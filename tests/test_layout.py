@@ -30,3 +30,18 @@ def test_awkward_pages(spark):
     rows = [(1, 1, 60.0, 10.0, 5.0, 10.0, "b"), (1, 1, 60.0, 30.0, 5.0, 10.0, "a"), (1, 2, 0.0, 0.0, 0.0, 0.0, None), (1, 1, 60.0, 10.0, 5.0, 10.0, "b")]
     got = layout.in_reading_order(spark.createDataFrame(rows, "doc long, page long, x double, y double, width double, size double, text string"))
     assert sorted(map(tuple, got.collect())) == [(1, 1, 0, "line", "a"), (1, 1, 1, "line", "b b")]
+
+
+def test_long_columns_share_baselines_only_within_reach():
+    """Above 400 lines too, baselines count as shared by their distance: these lie just within it."""
+    cells = lambda x, top: [(x, top - 12.0 * i, 30.0, 10.0, f"{x} {i}") for i in range(450)]
+    assert layout.gutter(cells(60.0, 9000.9) + cells(200.0, 8999.1)) is None
+    assert layout.gutter(cells(60.0, 9000.0) + cells(200.0, 8996.0)) == (90.0, 200.0)
+
+
+def test_pages_are_read_without_a_table_for_each(spark):
+    rows = [(d, p, 60.0, -12.0 * i, 100.0, 10.0, f"{d} {p} {i}") for d in range(40) for p in (1, 2) for i in range(30)] + [(None, 1, 0.0, 0.0, 1.0, 1.0, "no doc"), (99, 1, 0.0, 0.0, 1.0, 1.0, " ")]
+    runs = spark.createDataFrame(rows[::-1], "doc long, page long, x double, y double, width double, size double, text string").repartition(7, "x", "y")
+    read = layout.in_reading_order(runs)
+    assert "FlatMapGroupsInPandas" not in read._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, read.collect()), key=str) == sorted([(d, p, -int(y / 12), "line", t) for d, p, _, y, _, _, t in rows[:-1]], key=str)
