@@ -1,6 +1,7 @@
+import pyarrow as pa
 import pytest
 
-from folioscope.operators.emphasis import repaired, spans_of, with_cjk_emphasis, emphasised
+from folioscope.operators.emphasis import emphasised, pieces, repaired, spans_of, with_cjk_emphasis
 
 
 @pytest.mark.parametrize("text, spans", [
@@ -43,3 +44,10 @@ def test_rows(spark):
     assert sorted(map(tuple, with_cjk_emphasis(docs).collect()), key=str) == [(1, "细节*真的*很"), (1, "细节*真的*很"), (2, ""), (None, None)]
     assert [tuple(r) for r in emphasised(with_cjk_emphasis(docs)).collect()] == [(1, 2, 5, 1)] * 2
     assert with_cjk_emphasis(docs.limit(0)).count() == 0
+
+
+def test_batches_come_in_pieces_of_bounded_bytes():
+    texts = ["a" * 4, None, "b" * 4, "c" * 30, "", "d"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts, pa.string())], ["doc_id", "text"])
+    got = [p["text"].to_pylist() for p in pieces([batch, batch.slice(0, 0)], 8)]
+    assert got == [["a" * 4, None, "b" * 4], ["c" * 30], ["", "d"], []]
