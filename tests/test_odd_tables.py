@@ -25,6 +25,11 @@ def test_clip_blocks_of_headings_cut_within_an_entity(spark, tmp_path):
     same_as_sql(spark, tmp_path, "clip_blocks", pages=(rows, "page_id long, url string, html string"))
 
 
+def test_clip_blocks_of_many_marks_left_open(spark, tmp_path):
+    page = "<html><body><article><h1>Head</h1>" + "".join(f"<p>Words {i}.</p><p><b>More {i}<br>" for i in range(130)) + "</article></body></html>"
+    same_as_sql(spark, tmp_path, "clip_blocks", pages=([(1, "https://x.org/a", page), (2, "https://x.org/b", "<article><h1>H</h1><p><b>One<br></article>")], "page_id long, url string, html string"))
+
+
 def test_redirect_lines_of_an_id_that_two_names_claim(spark, tmp_path):
     same_as_sql(spark, tmp_path, "redirect_lines", pages=([(122369,), (458350,), (1,)], "page_id long"))
 
